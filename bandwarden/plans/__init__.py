@@ -1,2 +1,2 @@
 """Query catalogue; importing a module registers its queries."""
-from . import frame_queries  # noqa: F401
+from . import frame_queries, stack_queries  # noqa: F401
