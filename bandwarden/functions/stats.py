@@ -5,7 +5,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,14 +54,30 @@ def geometric_edges(lo: float, hi: float, n: int) -> list[float]:
     return [lo, *mid, hi]
 
 
-def edge_bin(x: Column, edges: Sequence[float]) -> Column:
-    """Index of the bin ``edges[i] <= x < edges[i+1]`` for ascending edges.
-
-    ``width_bucket``-like search written as a balanced tree of comparisons, so
-    it stays inside generated code with log2(n) tests a row."""
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(x >= F.lit(float(edges[mid])), search(mid, hi)).otherwise(search(lo, mid - 1))
-    return F.when(x >= F.lit(float(edges[0])), search(0, len(edges) - 1)).otherwise(F.lit(-1))
+def with_edge_bin(df: DataFrame, name: str, x: Column, edges: Sequence[float]) -> DataFrame:
+    """Adds the index of the bin ``edges[i] <= x < edges[i+1]`` for ascending
+    edges; -1 below the first and the last index from the last edge on.
+
+    Long lists must be in constant ratio (after a leading zero): the index is
+    then arithmetic, moved by one where rounding put it beside its edge.  Each
+    step is its own column so that none is repeated in generated code."""
+    edges = [float(e) for e in edges]
+    keep = [c for c in df.columns if c != name]
+    held = df.withColumn("_x", x)
+    v = F.col("_x")
+    if len(edges) <= 48:
+        total = F.lit(-1)
+        for e in edges:
+            total = total + (v >= F.lit(e)).cast("int")
+        return held.withColumn(name, total).select(*keep, name)
+    lead = next(i for i, e in enumerate(edges) if e > 0)
+    first, n = math.log10(edges[lead]), len(edges) - lead
+    step = (math.log10(edges[-1]) - first) / (n - 1)
+    if any(abs((math.log10(e) - first) / step - i) > 0.25 for i, e in enumerate(edges[lead:])):
+        raise ValueError("more than 48 edges must be in constant ratio")
+    table = F.array(*[F.lit(e) for e in edges])
+    raw = F.floor((F.log10(v) - F.lit(first)) / F.lit(step)).cast("int") + lead
+    guess = F.when(v > 0, F.least(F.greatest(raw, F.lit(lead - 1)), F.lit(len(edges) - 1))).otherwise(F.lit(lead - 1))
+    g = F.col("_g")
+    moved = (g + F.when(F.get(table, g + 1) <= v, 1).otherwise(0) - F.when(F.get(table, g) > v, 1).otherwise(0))
+    return held.withColumn("_g", guess).withColumn(name, F.when(v.isNotNull(), moved)).select(*keep, name)
