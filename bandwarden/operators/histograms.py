@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .numbering import running_sums
 from .quantiles import grouped_quantiles
 from .small import join_small
 
@@ -109,19 +110,9 @@ def survival(df: DataFrame, keys: Sequence[str], value: Column, grid: Sequence[f
         (F.col("above") / F.col("total")).alias("survival"))
 
 
-def tail_ccdf(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Share of values at or beyond each distinct value.
-
-    Values are counted first; the running sum is over distinct values, split
-    into value blocks so that a hot group is not one task."""
+def tail_ccdf(df: DataFrame, keys: Sequence[str], value: Column, max_rows: int | None = None) -> DataFrame:
+    """Share of values at or beyond each distinct value; equal values are
+    counted before the running sum."""
     v = df.select(*keys, value.alias("x")).where("x IS NOT NULL").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
-    block = F.floor(F.log2(F.greatest(F.abs("x"), F.lit(1e-300))) * 64) * F.signum("x")
-    v = v.withColumn("_b", block)
-    blocks = v.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
-    above = W.partitionBy(*keys).orderBy(F.col("_b").desc())
-    blocks = blocks.withColumn("_above", F.sum("_n").over(above) - F.col("_n")).withColumn(
-        "total", F.sum("_n").over(W.partitionBy(*keys))).drop("_n")
-    inner = W.partitionBy(*keys, "_b").orderBy(F.col("x").desc())
-    return (v.withColumn("_in", F.sum("n").over(inner)).join(blocks, [*keys, "_b"])
-            .select(*keys, "x", (F.col("_in") + F.col("_above")).alias("n_at_least"),
-                    ((F.col("_in") + F.col("_above")) / F.col("total")).alias("ccdf")))
+    r = running_sums(v, keys, "x", ["n"], descending=True, max_rows=max_rows)
+    return r.select(*keys, "x", F.col("cum_n").alias("n_at_least"), (F.col("cum_n") / F.col("all_n")).alias("ccdf"))

@@ -68,3 +68,27 @@ def global_number(df: DataFrame, order: Sequence[str], name: str, first: int = 0
     order = [_name(o) for o in order]
     numbered = _number_sorted_runs(df.withColumn("_all", F.lit(0)), ["_all"], order, name)
     return numbered.drop("_all").withColumn(name, F.col(name) + first)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
+                 max_rows: int | None = None, limit: int = C.HOT_GROUP_ROWS) -> DataFrame:
+    """Inclusive running sums ``cum_<name>`` and totals ``all_<name>`` over
+    distinct ``order`` values of each group.
+
+    With a hot group the table is range-sorted over all tasks, summed inside
+    each sorted run, and shifted by the sums of the runs before it."""
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    totals = [F.sum(s).over(W.partitionBy(*keys)).alias(f"all_{s}") for s in sums]
+    small = max_rows is not None and max_rows <= limit
+    if small or hot_groups(df, keys, limit).isEmpty():
+        w = W.partitionBy(*keys).orderBy(by)
+        return df.select("*", *[F.sum(s).over(w).alias(f"cum_{s}") for s in sums], *totals)
+    runs_of = materialize(df.repartitionByRange(*[F.col(k) for k in keys], by).withColumn("_run", F.spark_partition_id()))
+    per = runs_of.groupBy(*keys, "_run").agg(*[F.sum(s).alias(s) for s in sums])
+    before = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    shift = per.select(*keys, "_run", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_b_{s}") for s in sums], *totals)
+    local = W.partitionBy(*keys, "_run").orderBy(by)
+    inside = runs_of.select("*", *[F.sum(s).over(local).alias(f"_l_{s}") for s in sums])
+    return inside.join(shift, [*keys, "_run"]).select(
+        *df.columns, *[(F.col(f"_l_{s}") + F.col(f"_b_{s}")).alias(f"cum_{s}") for s in sums],
+        *[F.col(f"all_{s}") for s in sums])

@@ -100,7 +100,7 @@ FROM k WINDOW w AS (PARTITION BY physical_channel ORDER BY x DESC)""")
 def tail_ccdf(spark, d):
     df = V.detector_frames(spark, d).where(c("f") > c("mu0") + 0.012 * c("mu0"))
     x = F.round(1000 * (c("f") - c("mu0")) / c("mu0"), 3)
-    return rounded(H.tail_ccdf(df, ["physical_channel"], x), "ccdf")
+    return rounded(H.tail_ccdf(df, ["physical_channel"], x, max_rows=V.frame_bound(spark, d)), "ccdf")
 
 
 _HL = lambda h: f"lpad(({h})::VARCHAR, 2, '0') || ':00-' || lpad((({h})+1)::VARCHAR, 2, '0') || ':00'"
