@@ -117,13 +117,17 @@ def average_ranks(df: DataFrame, column: str, name: str, max_rows: int | None =
     return df.join(ranks, column)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Linear correlation, undefined for a constant side."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, x: str, y: str, max_rows: int | None = None) -> DataFrame:
     """Rank correlation; undefined below three rows or for a constant side."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = average_ranks(average_ranks(ok, x, "_rx", max_rows), y, "_ry", max_rows)
     n = F.count(F.lit(1))
-    good = (n >= 3) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return r.agg(n.alias("n"), F.when(good, F.corr("_rx", "_ry")).alias("rho"))
+    return r.agg(n.alias("n"), F.when(n >= 3, correlation("_rx", "_ry")).alias("rho"))
 
 
 def spearman_bootstrap(df: DataFrame, x: str, y: str, replicates: int = 200, seed: int = 0) -> DataFrame:
@@ -142,6 +146,6 @@ def spearman_bootstrap(df: DataFrame, x: str, y: str, replicates: int = 200, see
         w = W.partitionBy("replicate").orderBy(col)
         ties = F.count(F.lit(1)).over(W.partitionBy("replicate", col))
         return F.rank().over(w) + (ties - 1) / 2
-    r = s.select("replicate", rank(x).alias("rx"), rank(y).alias("ry")).groupBy("replicate").agg(F.corr("rx", "ry").alias("rho"))
+    r = s.select("replicate", rank(x).alias("rx"), rank(y).alias("ry")).groupBy("replicate").agg(correlation("rx", "ry").alias("rho"))
     return r.where(F.col("rho").isNotNull() & ~F.isnan("rho")).agg(
         F.percentile("rho", F.lit(0.025)).alias("low"), F.percentile("rho", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("replicates"))

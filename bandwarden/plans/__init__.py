@@ -1,2 +1,2 @@
 """Query catalogue; importing a module registers its queries."""
-from . import calibration_queries, distribution_queries, frame_queries, stack_queries, trial_queries  # noqa: F401
+from . import block_queries, calibration_queries, distribution_queries, frame_queries, stack_queries, trial_queries  # noqa: F401

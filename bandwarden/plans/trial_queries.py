@@ -43,8 +43,8 @@ tq AS (SELECT *, CAST(ceil(threshold*65536.0::DOUBLE) AS BIGINT) AS multiplier_q
 
 
 @query("order_statistic_threshold", with_(TRIALS) + _ORD + """
-SELECT tq.offset_bin, round(threshold, 9) AS threshold, order_index, null_trials, count(*) FILTER (nu.ratio > threshold) AS null_exceedances,
- round(count(*) FILTER (nu.ratio > threshold)/null_trials, 9) AS empirical_p_fa, null_trials*0.01 >= 1 AS resolved, multiplier_q16 FROM tq JOIN nu USING (offset_bin) GROUP BY ALL""")
+SELECT tq.offset_bin, round(any_value(threshold), 9) AS threshold, any_value(order_index) AS order_index, any_value(null_trials) AS null_trials, count(*) FILTER (nu.ratio > threshold) AS null_exceedances,
+ round(count(*) FILTER (nu.ratio > threshold)/any_value(null_trials), 9) AS empirical_p_fa, any_value(null_trials)*0.01 >= 1 AS resolved, any_value(multiplier_q16) AS multiplier_q16 FROM tq JOIN nu USING (offset_bin) GROUP BY 1""")
 def order_threshold(spark, d):
     null = V.trials(spark, d).where("snr_db = 0")
     out = T.order_statistic_threshold(null, ["offset_bin"], "ratio", 0.01, max_rows=bound(spark, d))
