@@ -30,13 +30,16 @@ def _eq(a: str, b: str, keys: Sequence[str]) -> list[Column]:
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Spec],
                       aggs: Sequence[Column] = (), max_rows: int | None = None,
                       limit: int = C.HOT_GROUP_ROWS, bins: int = 1024,
-                      gather: int = 100_000) -> DataFrame:
+                      gather: int = 100_000, accuracy: int | None = None) -> DataFrame:
     """One row per group with plain aggregates ``aggs`` and the quantiles of
     ``specs`` (name -> (value, probability)); NULL values are left out.
 
     ``max_rows`` bounds the input; within ``limit`` the check for hot groups
-    is not needed.
+    is not needed.  ``accuracy`` asks for the approximate sketch instead.
     """
+    if accuracy is not None:
+        rough = [F.percentile_approx(_col(v), float(q), accuracy).cast("double").alias(n) for n, (v, q) in specs.items()]
+        return df.groupBy(*keys).agg(*aggs, *rough)
     exact = [F.percentile(_col(v), F.lit(float(q))).alias(n) for n, (v, q) in specs.items()]
     plain = lambda d: d.groupBy(*keys).agg(*aggs, *exact)
     if max_rows is not None and max_rows <= limit:
@@ -54,7 +57,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Sp
     if aggs:
         base = big.groupBy(*keys).agg(*aggs)
         answer = (base.alias("b").join(answer.alias("a"), _eq("b", "a", keys), "left")
-                  .select("b.*", *[F.col(f"a.{n}") for n in specs])) if keys else base.crossJoin(answer)
+                  .select("b.*", *[F.col(f"a.{n}") for n in specs])) if keys else base.join(F.broadcast(answer), F.lit(True))
     return answer if cold is None else plain(cold).unionByName(answer.select(*plain(cold).columns))
 
 

@@ -19,33 +19,52 @@ def frame_bound(spark: SparkSession, folder: str) -> int:
     return row_bound(spark, folder, "lineitem")
 
 
-def frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Frame rows: powers, norms, baseband power, unit start, frame in unit."""
-    li = table(spark, folder, "lineitem")
+def _base(li: DataFrame) -> DataFrame:
+    """Line items as frames before numbering."""
     c = F.col
     noise = (c("l_orderkey") * 7919 + c("l_partkey") * 104729 + c("l_linenumber").cast("long") * 1299709) % 20001 - 10000
     ch = (F.lit(14) + c("l_suppkey") % 4).cast("int")
-    base = li.select(
+    return li.select(
         ch.alias("physical_channel"), c("l_orderkey").alias("event_id"), "l_linenumber", "l_partkey",
         "l_suppkey", "l_extendedprice", c("l_quantity").cast("long").alias("q"), noise.alias("noise"),
         ((c("l_returnflag") == "R") & (ch == 17)).alias("tail"),
         ((c("l_discount") == 0) & (c("l_tax") == 0)).alias("dead"))
-    base = number_within(
-        base, ["physical_channel", "event_id"],
-        ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "frame_in_unit",
-        max_rows=frame_bound(spark, folder))
-    powers = base.select(
-        "physical_channel", "event_id", c("frame_in_unit").cast("int"),
+
+
+def _powers(base: DataFrame, *keep: str) -> DataFrame:
+    """Powers, norms and baseband power; all fit in 64 bits (at most
+    50*(10**6 + 10**4 + 500*partkey))."""
+    c = F.col
+    return base.select(
+        "physical_channel", "event_id", *keep,
         (c("q") * (F.lit(1000000) + c("noise") + F.when(c("tail"), c("l_partkey") * 500).otherwise(0))).alias("p_target"),
         F.when(c("dead"), F.lit(0)).otherwise(c("q") * 2000000).cast("long").alias("p_ref_sum"),
         (F.lit(6000) + c("physical_channel") - 14).cast("long").alias("target_norm_sq"),
         F.lit(12000).cast("long").alias("reference_norm_sum_sq"),
         (c("q").cast("double") * 2.56).alias("baseband_power"))
+
+
+def frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frame rows: powers, norms, baseband power, unit start, frame in unit."""
+    base = number_within(
+        _base(table(spark, folder, "lineitem")), ["physical_channel", "event_id"],
+        ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "frame_in_unit",
+        max_rows=frame_bound(spark, folder))
+    powers = _powers(base.withColumn("frame_in_unit", F.col("frame_in_unit").cast("int")), "frame_in_unit")
     orders = table(spark, folder, "orders").select(
-        c("o_orderkey").alias("event_id"), clock.ntz_seconds(c("o_orderdate")).alias("unit_time0"))
+        F.col("o_orderkey").alias("event_id"), clock.ntz_seconds(F.col("o_orderdate")).alias("unit_time0"))
     return powers.join(orders, "event_id")
 
 
+def stream_frames(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """The same powers from a file stream, with data time ten milliseconds per
+    event; frames are not numbered because a stream has no order."""
+    layout = table(spark, folder, "lineitem").schema
+    li = (spark.readStream.schema(layout).option("pathGlobFilter", "lineitem*.parquet")
+          .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    return with_detector(_powers(_base(li))).withColumn("data_time", F.col("event_id") * 0.01)
+
+
 def with_detector(df: DataFrame) -> DataFrame:
     """Adds validity, ratio, null ratio, exact mask and the frame gate flag."""
     c = F.col
