@@ -248,14 +248,11 @@ def inject_tone(frames: DataFrame, keys: list[str], streams: int, cycles: float,
     """Frames with a tone added: the sum is rounded, clipped and counted.
 
     ``cycles`` is the tone frequency in cycles per sample and the phase of a
-    stream is hashed from the seed, so any frame can be redone alone.  A zero
+    stream follows from the seed, so any frame can be redone alone.  A zero
     amplitude returns the payload unchanged."""
     types = dict(frames.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", payload binary, clip_count long, n_samples long"
-    words = np.arange(streams, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
-    words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    words = (words ^ (words >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    phase = 2 * np.pi * ((words >> np.uint64(11)).astype(float) / 2.0**53)
+    phase = 2 * np.pi * np.random.default_rng(seed).random(streams)
 
     def run(batches):
         for pdf in batches:

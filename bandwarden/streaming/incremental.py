@@ -6,12 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _handled(spark: SparkSession, path: str, key: DataFrame, batch_id: int) -> DataFrame | None:
+    """Keys written by other batches; the layout is given because a table of
+    empty batches has no file to read it from."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    layout = StructType([*key.schema.fields, StructField("batch_id", LongType())])
+    return spark.read.schema(layout).parquet(path).where(F.col("batch_id") != batch_id).select(*key.columns).distinct()
 
 
 def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine: str, problem: F.Column | None = None,
@@ -25,9 +30,9 @@ def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine
         spark = batch.sparkSession
         todo = batch
         for path in (out, quarantine):
-            done = _read_or_none(spark, path)
+            done = _handled(spark, path, batch.select(key), batch_id)
             if done is not None:
-                todo = todo.join(done.where(F.col("batch_id") != batch_id).select(key).distinct(), key, "left_anti")
+                todo = todo.join(done, key, "left_anti")
         if cap is not None:
             todo = todo.where(F.col("frame_in_unit") < cap)
         bad = todo.where(problem).select(key).distinct() if problem is not None else todo.select(key).limit(0)
