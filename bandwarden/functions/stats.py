@@ -41,10 +41,13 @@ def normal_cdf(x: pd.Series) -> pd.Series:
 
 
 def uniform_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Half-open equal bins with the last one closed; undefined outside."""
+    """Half-open equal bins with the last one closed; -1 outside.
+
+    The result is never NULL: a nullable key of a later join would make the
+    optimizer copy this expression into a not-null filter at the scan."""
     raw = F.floor((x - lo) / ((hi - lo) / F.lit(float(bins))))
     inside = (x >= lo) & (x <= hi)
-    return F.when(inside, F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int"))
+    return F.coalesce(F.when(inside, F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")), F.lit(-1))
 
 
 def geometric_edges(lo: float, hi: float, n: int) -> list[float]:
@@ -56,7 +59,7 @@ def geometric_edges(lo: float, hi: float, n: int) -> list[float]:
 
 def with_edge_bin(df: DataFrame, name: str, x: Column, edges: Sequence[float]) -> DataFrame:
     """Adds the index of the bin ``edges[i] <= x < edges[i+1]`` for ascending
-    edges; -1 below the first and the last index from the last edge on.
+    edges; -1 below the first and for NULL, the last index from the last edge on.
 
     Long lists must be in constant ratio (after a leading zero): the index is
     then arithmetic, moved by one where rounding put it beside its edge.  Each
@@ -69,7 +72,7 @@ def with_edge_bin(df: DataFrame, name: str, x: Column, edges: Sequence[float]) -
         total = F.lit(-1)
         for e in edges:
             total = total + (v >= F.lit(e)).cast("int")
-        return held.withColumn(name, total).select(*keep, name)
+        return held.withColumn(name, F.coalesce(total, F.lit(-1))).select(*keep, name)
     lead = next(i for i, e in enumerate(edges) if e > 0)
     first, n = math.log10(edges[lead]), len(edges) - lead
     step = (math.log10(edges[-1]) - first) / (n - 1)
@@ -80,4 +83,4 @@ def with_edge_bin(df: DataFrame, name: str, x: Column, edges: Sequence[float]) -
     guess = F.when(v > 0, F.least(F.greatest(raw, F.lit(lead - 1)), F.lit(len(edges) - 1))).otherwise(F.lit(lead - 1))
     g = F.col("_g")
     moved = (g + F.when(F.get(table, g + 1) <= v, 1).otherwise(0) - F.when(F.get(table, g) > v, 1).otherwise(0))
-    return held.withColumn("_g", guess).withColumn(name, F.when(v.isNotNull(), moved)).select(*keep, name)
+    return held.withColumn("_g", guess).withColumn(name, F.coalesce(moved, F.lit(-1))).select(*keep, name)

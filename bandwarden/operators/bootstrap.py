@@ -6,7 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import number_within
+from .. import constants as C
+from ..session import materialize
+from .numbering import number_within, running_sums
 from .quantiles import grouped_quantiles
 from .small import join_small
 
@@ -23,8 +25,8 @@ def resampled_sums(units: DataFrame, keys: Sequence[str], unit: str, sums: Seque
     Draw d of replicate r picks unit ``hash(seed, r, d) mod U``.  Draws are
     counted per (replicate, unit rank) before they meet the units, so the join
     is an equi-join on the rank and the result one row per replicate."""
-    ranked = number_within(units, keys, [unit], "_rank", max_rows=max_rows)
-    size = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
+    ranked = materialize(number_within(units, keys, [unit], "_rank", max_rows=max_rows))
+    size = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
     sized = join_small(ranked.select(*keys, F.col("_rank").alias("_d")), size, keys)
     draws = sized.select(*keys, "_u", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d", *keys), F.col("_u"))
@@ -40,7 +42,7 @@ def ratio_band(units: DataFrame, keys: Sequence[str], unit: str, num: str, den:
     r = reps.withColumn("_r", F.col(num) / F.greatest(F.col(den), F.lit(1.0)))
     lo, hi = probabilities
     return grouped_quantiles(r, keys, {"low": ("_r", lo), "high": ("_r", hi)},
-                             [F.stddev_samp("_r").alias("error"), F.count(F.lit(1)).alias("replicates")])
+                             [F.stddev_samp("_r").alias("error"), F.count(F.lit(1)).alias("replicates")], max_rows=replicates)
 
 
 def weighted_high_quantile(df: DataFrame, keys: Sequence[str], unit: str, value: str, q: float = 0.999,
@@ -55,9 +57,10 @@ def weighted_high_quantile(df: DataFrame, keys: Sequence[str], unit: str, value:
     resampled quantile lies in that tail."""
     cut = grouped_quantiles(df, keys, {"_cut": (value, max(0.0, 1 - 4 * (1 - q)))}, max_rows=max_rows)
     j = join_small(df.select(*keys, unit, value), cut, keys)
+    j = materialize(j)
     units = j.groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("n"))
-    ranked = number_within(units, keys, [unit], "_rank", max_rows=max_rows)
-    size = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
+    ranked = materialize(number_within(units, keys, [unit], "_rank", max_rows=max_rows))
+    size = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
     draws = join_small(ranked.select(*keys, F.col("_rank").alias("_d")), size, keys).select(
         *keys, "_u", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d", *keys), F.col("_u"))
@@ -66,10 +69,11 @@ def weighted_high_quantile(df: DataFrame, keys: Sequence[str], unit: str, value:
     top = j.where(F.col(value) >= F.col("_cut")).groupBy(*keys, unit, value).agg(F.count(F.lit(1)).alias("c"))
     weighted = top.join(times.select(*keys, "replicate", unit, "w"), [*keys, unit]).groupBy(*keys, "replicate", value).agg(
         F.sum(F.col("c") * F.col("w")).alias("w"))
-    from .numbering import running_sums
-    r = running_sums(weighted, [*keys, "replicate"], value, ["w"], descending=True)
+    weighted = weighted if max_rows is not None and max_rows <= C.HOT_GROUP_ROWS else materialize(weighted)
+    r = running_sums(weighted, [*keys, "replicate"], value, ["w"], descending=True, max_rows=max_rows)
     r = r.join(total, [*keys, "replicate"])
     # smallest value whose weight from below reaches q of the total
     ok = r.where(F.col("total") - F.col("cum_w") + F.col("w") >= F.lit(q) * F.col("total"))
     reps = ok.groupBy(*keys, "replicate").agg(F.min(value).alias("_r"))
-    return grouped_quantiles(reps, keys, {"low": ("_r", 0.16), "high": ("_r", 0.84)}, [F.count(F.lit(1)).alias("replicates")])
+    return grouped_quantiles(reps, keys, {"low": ("_r", 0.16), "high": ("_r", 0.84)}, [F.count(F.lit(1)).alias("replicates")],
+                             max_rows=replicates)

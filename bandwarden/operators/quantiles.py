@@ -34,14 +34,13 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Sp
     """One row per group with plain aggregates ``aggs`` and the quantiles of
     ``specs`` (name -> (value, probability)); NULL values are left out.
 
-    ``max_rows`` bounds the input; within ``limit`` the check for hot groups
-    is not needed.  ``accuracy`` asks for the approximate sketch instead.
+    ``max_rows`` bounds the input, or at least any one group; within ``limit``
+    the check for hot groups is not needed.  ``accuracy`` asks for the approximate sketch instead.
     """
     if accuracy is not None:
         rough = [F.percentile_approx(_col(v), float(q), accuracy).cast("double").alias(n) for n, (v, q) in specs.items()]
         return df.groupBy(*keys).agg(*aggs, *rough)
-    exact = [F.percentile(_col(v), F.lit(float(q))).alias(n) for n, (v, q) in specs.items()]
-    plain = lambda d: d.groupBy(*keys).agg(*aggs, *exact)
+    plain = lambda d: _plain(d, keys, specs, aggs)
     if max_rows is not None and max_rows <= limit:
         return plain(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -61,6 +60,21 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Sp
     return answer if cold is None else plain(cold).unionByName(answer.select(*plain(cold).columns))
 
 
+def _plain(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Spec], aggs: Sequence[Column]) -> DataFrame:
+    """Built-in percentiles, one value map per distinct value column."""
+    wanted: dict[str, tuple[Column, list[float]]] = {}
+    place: dict[str, tuple[str, int]] = {}
+    for name, (value, q) in specs.items():
+        column, probs = wanted.setdefault(value if isinstance(value, str) else repr(value), (_col(value), []))
+        probs.append(float(q))
+        place[name] = (column, len(probs) - 1)
+    slot = {id(column): f"_p{i}" for i, (column, _) in enumerate(wanted.values())}
+    maps = [F.percentile(column, F.array(*[F.lit(q) for q in probs])).alias(slot[id(column)]) for column, probs in wanted.values()]
+    g = df.groupBy(*keys).agg(*aggs, *maps)
+    keep = [c for c in g.columns if c not in slot.values()]
+    return g.select(*keep, *[F.get(slot[id(column)], F.lit(i)).alias(n) for n, (column, i) in place.items()])
+
+
 def _narrow(df: DataFrame, keys: list[str], specs: Mapping[str, Spec], bins: int, gather: int) -> DataFrame:
     gid = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_g"))
     melted = materialize(

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import materialize
 from .quantiles import grouped_quantiles
 from .small import join_scalar, join_small
 
@@ -31,8 +32,10 @@ def three_arm_mask(df: DataFrame, max_rows: int | None = None, sigmas: float = 5
 
     Needs ``mu`` and a ``core`` flag per frame.  The veto compares power over
     the unit baseline with 1 + 5 robust deviations of the core frames."""
-    base = unit_baseline(df, ["baseband_power"], max_rows)
+    df = materialize(df.select(*UNIT, "f", "mu", "mu0", "core", "baseband_power"))
+    base = materialize(unit_baseline(df, ["baseband_power"], max_rows))
     j = df.join(base, UNIT).withColumn("pn", F.col("baseband_power") / F.col("base_baseband_power"))
+    j = materialize(j.select("physical_channel", "f", "mu", "mu0", "core", "pn"))
     core_pn = F.when(F.col("core"), F.col("pn"))
     med = grouped_quantiles(j, ["physical_channel"], {"_m": (core_pn, 0.5)}, max_rows=max_rows)
     j = join_small(j, med, ["physical_channel"])
@@ -59,6 +62,7 @@ def three_arm_mask(df: DataFrame, max_rows: int | None = None, sigmas: float = 5
 def tail_decomposition(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Median target and reference power over the unit core baseline for the
     low tail, the core and the high tail.  Needs ``lo``, ``core``, ``hi``."""
+    df = materialize(df.select(*UNIT, "lo", "core", "hi", "p_target", "p_ref_sum"))
     base = unit_baseline(df, ["p_target", "p_ref_sum"], max_rows)
     part = F.when(F.col("lo"), "low").when(F.col("hi"), "high").when(F.col("core"), "core")
     j = df.join(base, UNIT).withColumn("part", part).where(F.col("part").isNotNull())
@@ -88,6 +92,7 @@ def sub_null_tail(df: DataFrame, scale: DataFrame, k: float = 5.0, max_rows: int
     """Frames below ``mu - k*sigma``: share, depth, power against the bulk,
     units hit and the share of the most affected unit."""
     j = join_small(df, scale.select("physical_channel", "mu", "sigma"), ["physical_channel"])
+    j = materialize(j.select(*UNIT, "f", "mu", "sigma", "baseband_power"))
     f, mu, s = F.col("f"), F.col("mu"), F.col("sigma")
     sub, bulk = f < mu - k * s, F.abs(f - mu) <= s
     p = F.col("baseband_power")

@@ -27,7 +27,7 @@ def threshold_sweep(df: DataFrame, grid_db: Sequence[float], control_floor_db: f
     held = df.where("valid").select("physical_channel", "baseband_power", "f", "mu0")
     for k in factors:
         tests = tests + (F.col("f") > F.col("mu0") * F.lit(k)).cast("int")
-    cells = held.withColumn("_i", tests).groupBy("physical_channel", "_i").agg(
+    cells = held.withColumn("_i", F.coalesce(tests, F.lit(0))).groupBy("physical_channel", "_i").agg(
         F.count(F.lit(1)).alias("n"), F.sum("baseband_power").alias("p"))
     grid_of = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(x).alias("excess_db")) for i, x in enumerate(grid)]
                                 + [F.struct(F.lit(len(grid)).alias("_i"), F.lit(None).cast("double").alias("excess_db"))]))

@@ -103,12 +103,11 @@ def core_zero_point(df: DataFrame, max_rows: int | None = None, rounds: int = 20
     aggregation per round for all channels, with only the centres (one row per
     channel) reaching the driver.
     """
-    data = df.where(F.col("valid") & F.col("f").isNotNull()).select("physical_channel", "event_id", "f", "mu0", "reject")
+    data = materialize(df.where(F.col("valid") & F.col("f").isNotNull()).select("physical_channel", "f", "mu0", "reject"))
     start = distribution_mode(data, max_rows=max_rows)
     if max_rows is not None and max_rows <= C.HOT_GROUP_ROWS:
         centre = _settle_bounded(data, start, rounds)
     else:
-        data = data.persist()
         centre = _settle_rounds(data, start, rounds, max_rows)
     j = join_small(data.drop("mu0"), centre, ["physical_channel"])
     near = F.abs(F.col("f") - F.col("centre")) <= F.lit(C.CORE_WINDOW) * F.col("mu0")
