@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from .gate import require_empty
 from .numbering import global_number
 
@@ -15,16 +16,19 @@ def duplicate_identities(df: DataFrame) -> DataFrame:
     return df.groupBy("physical_channel", *IDENTITY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def common_identities(df: DataFrame, channels: int | None = None) -> DataFrame:
+def channel_bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col("physical_channel") - C.FIRST_CHANNEL)
+
+
+def common_identities(df: DataFrame, *extra: Column) -> DataFrame:
     """(event, frame) pairs that every channel holds.
 
-    Each identity is one small group of at most one row per channel, so the
-    shuffle is even; the channel count is one extra aggregate."""
-    held = df.groupBy(*IDENTITY).agg(F.count_distinct("physical_channel").alias("_held"))
-    if channels is not None:
-        return held.where(F.col("_held") == channels).drop("_held")
-    total = df.agg(F.count_distinct("physical_channel").alias("_all"))
-    return held.join(F.broadcast(total), F.col("_held") == F.col("_all")).select(*IDENTITY)
+    The channels of an identity are bits of one long, so the aggregation has a
+    fixed-size state and one shuffle; the bits of all channels are one more
+    aggregate."""
+    held = df.groupBy(*IDENTITY).agg(F.bit_or(channel_bit()).alias("_bits"), *extra)
+    total = df.agg(F.bit_or(channel_bit()).alias("_all"))
+    return held.join(F.broadcast(total), F.col("_bits") == F.col("_all")).drop("_bits", "_all")
 
 
 def align_frames(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -48,13 +52,16 @@ def drop_counts(df: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) - F.count("_c")).alias("n_dropped"))
 
 
-def number_frames(aligned: DataFrame, order: tuple[str, ...] = ("unit_time0", "event_id", "frame_in_unit")) -> DataFrame:
-    """Common ``frame_index`` in the order of the reference channel.
+def numbered_identities(df: DataFrame, order: tuple[str, ...] = ("unit_time0", "event_id", "frame_in_unit")) -> DataFrame:
+    """Common identities with a contiguous ``frame_index`` in survey order."""
+    ids = common_identities(df, F.min("unit_time0").alias("unit_time0"))
+    return global_number(ids, order, "frame_index").drop("unit_time0")
+
 
-    Identities are numbered once over all tasks and joined back."""
-    ids = aligned.groupBy(*IDENTITY).agg(F.min("unit_time0").alias("unit_time0"))
-    numbered = global_number(ids, order, "frame_index").drop("unit_time0")
-    return aligned.join(numbered, list(IDENTITY))
+def align_and_number(df: DataFrame) -> DataFrame:
+    """Frames of the common identities with their common ``frame_index``: one
+    pass finds and numbers the identities, one join brings them to the frames."""
+    return df.join(numbered_identities(df), list(IDENTITY))
 
 
 def event_boundaries(frames: DataFrame) -> DataFrame:

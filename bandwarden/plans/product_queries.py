@@ -155,7 +155,7 @@ def inventory_round_trip(spark, d):
 nb AS (SELECT event_id, frame_in_unit, ROW_NUMBER() OVER (ORDER BY min(unit_time0), event_id, frame_in_unit) - 1 AS frame_index FROM v SEMI JOIN cm USING (event_id, frame_in_unit) GROUP BY 1, 2)
 SELECT frame_index, max(f) FILTER (physical_channel=14) AS "14", max(f) FILTER (physical_channel=15) AS "15", max(f) FILTER (physical_channel=16) AS "16", max(f) FILTER (physical_channel=17) AS "17" FROM v JOIN nb USING (event_id, frame_in_unit) GROUP BY 1""")
 def wide(spark, d):
-    df = align.number_frames(align.align_frames(V.detector_frames(spark, d)))
+    df = align.align_and_number(V.detector_frames(spark, d))
     path = scratch(spark, "stack")
     products.write_stack(df.select("frame_index", "physical_channel", "f"), path)
     return products.wide_view(spark.read.parquet(path), "f", [14, 15, 16, 17])

@@ -21,7 +21,7 @@ NUM = COMMON + ", nb AS (SELECT event_id, frame_in_unit, ROW_NUMBER() OVER (ORDE
 SELECT nb.frame_index, v.event_id, v.frame_in_unit, v.physical_channel, v.f, CAST(v.reject AS INT) AS mask FROM v JOIN nb USING (event_id, frame_in_unit)""")
 def align_frames(spark, d):
     df = V.detector_frames(spark, d)
-    return align.number_frames(align.align_frames(df)).select(
+    return align.align_and_number(df).select(
         "frame_index", "event_id", "frame_in_unit", "physical_channel", "f", c("reject").cast("int").alias("mask"))
 
 
@@ -130,7 +130,7 @@ SELECT dense_rank() OVER (ORDER BY chunk) - 1 AS chunk_index, physical_channel,
  round(quantile_cont(shelf_db, 0.5) FILTER (valid), 6) AS shelf_db_median, round(quantile_cont(shelf_db, 0.95) FILTER (valid), 6) AS shelf_db_p95
 FROM j GROUP BY chunk, physical_channel""")
 def chunks(spark, d):
-    df = align.number_frames(align.align_frames(V.detector_frames(spark, d)))
+    df = align.align_and_number(V.detector_frames(spark, d))
     df = df.withColumn("q_db", U.to_db(c("f") / c("mu0"))).withColumn(
         "shelf_db", U.excess_to_shelf_db(U.to_db(c("f") / c("mu0") - 1)))
     out = reduce.chunk_reductions(df, max_rows=V.frame_bound(spark, d))
@@ -143,8 +143,7 @@ def chunks(spark, d):
 , l AS (SELECT event_id, frame_index, lag(event_id) OVER (ORDER BY frame_index) AS prev FROM nb)
 SELECT event_id, frame_index FROM l WHERE prev IS NULL OR prev <> event_id""")
 def boundaries(spark, d):
-    df = align.number_frames(align.align_frames(V.frames(spark, d)))
-    return align.event_boundaries(df)
+    return align.event_boundaries(align.numbered_identities(V.frames(spark, d)))
 
 
 @query("frame_numbering", with_(FRAMES) + """
