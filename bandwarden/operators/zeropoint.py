@@ -175,22 +175,23 @@ def half_sample_mode(df: DataFrame, keys: Sequence[str], value: str, max_rows: i
     hot = materialize(hot_groups(data, keys, limit).select(*keys))
     if hot.isEmpty():
         return small(data)
-    cold = data.join(F.broadcast(hot), keys, "left_anti")
-    big = number_within(data.join(F.broadcast(hot), keys, "left_semi"), keys, ["_x"], "_r", limit=limit)
+    n_hot = hot.count()
+    cold = join_small(data, hot, keys, rows=n_hot, how="left_anti")
+    big = number_within(join_small(data, hot, keys, rows=n_hot, how="left_semi"), keys, ["_x"], "_r", limit=limit)
     big = materialize(big)
     while True:
         size = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_first"))
         wide = size.where(F.col("_n") > limit).withColumn("_h", F.floor((F.col("_n") + 1) / 2))
         if wide.isEmpty():
             break
-        a = big.join(F.broadcast(wide), keys)
+        a = join_small(big, wide, keys, rows=n_hot)
         ends = a.select(*keys, F.col("_r").alias("_s"), F.col("_x").alias("_xs"),
                         (F.col("_r") + F.col("_h") - 1).alias("_r"), "_h")
         pairs = ends.join(big.withColumnRenamed("_x", "_xe"), [*keys, "_r"])
         width = F.col("_xe") - F.col("_xs")
         best = pairs.groupBy(*keys).agg(F.min(F.struct(width.alias("w"), F.col("_s"))).alias("b"), F.min("_h").alias("_h"))
         keep = best.select(*keys, F.col("b._s").alias("_lo"), (F.col("b._s") + F.col("_h") - 1).alias("_hi"))
-        j = big.join(F.broadcast(keep), keys, "left")
+        j = join_small(big, keep, keys, rows=n_hot, how="left")
         inside = F.col("_lo").isNull() | F.col("_r").between(F.col("_lo"), F.col("_hi"))
         big = materialize(j.where(inside).select(*keys, "_x", "_r"))
     return small(cold).unionByName(small(big.select(*keys, "_x")))
