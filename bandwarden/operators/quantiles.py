@@ -43,14 +43,16 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Sp
     plain = lambda d: _plain(d, keys, specs, aggs)
     if max_rows is not None and max_rows <= limit:
         return plain(df)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = materialize(counts.where(F.col("_n") > limit).select(*keys))
-    if hot.isEmpty():
-        return plain(df)
     if keys:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = materialize(counts.where(F.col("_n") > limit).select(*keys))
+        if hot.isEmpty():
+            return plain(df)
         cold = df.alias("d").join(hot.alias("h"), _eq("d", "h", keys), "left_anti")
         big = df.alias("d").join(hot.alias("h"), _eq("d", "h", keys), "left_semi")
     else:
+        if df.count() <= limit:
+            return plain(df)
         cold, big = None, df
     answer = _narrow(big, list(keys), specs, bins, gather)
     if aggs:
