@@ -31,10 +31,10 @@ _LO, _HI = wilson("k", "n")
 
 @query("sweep_summary", with_(TRIALS) + f"""
 , s AS (SELECT snr_db, offset_bin, count(*) AS n, avg(ratio) AS mean, stddev_pop(ratio) AS std, max(ratio) AS max, count(*) FILTER (ratio > 1.005::DOUBLE) AS k FROM trials GROUP BY 1, 2)
-SELECT snr_db, offset_bin, n AS trials, round(mean, 9) AS mean, round(std, 9) AS std, round(max, 9) AS max, k AS detected, round(k/n, 9) AS rate, round({_LO}, 9) AS rate_lo, round({_HI}, 9) AS rate_hi FROM s""")
+SELECT snr_db, offset_bin, n AS trials, round(mean, 12) AS mean, round(std, 9) AS std, round(max, 9) AS max, k AS detected, round(k/n, 9) AS rate, round({_LO}, 9) AS rate_lo, round({_HI}, 9) AS rate_hi FROM s""")
 def sweep_summary(spark, d):
     out = T.sweep_summary(V.trials(spark, d), ["snr_db", "offset_bin"], "ratio", c("ratio") > 1.005)
-    return rounded(out, "mean", "std", "max", "rate", "rate_lo", "rate_hi")
+    return rounded(rounded(out, "std", "max", "rate", "rate_lo", "rate_hi"), "mean", digits=12)
 
 
 _ORD = """, nu AS (SELECT offset_bin, ratio, row_number() OVER (PARTITION BY offset_bin ORDER BY ratio) - 1 AS i, count(*) OVER (PARTITION BY offset_bin) AS n FROM trials WHERE snr_db = 0),
