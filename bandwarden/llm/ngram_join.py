@@ -125,7 +125,7 @@ def _rare_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return passed.select("doc_id", "node").distinct(), rare
 
 
-def _blocks(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidate_blocks(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Block of every candidate set, and the pairs of blocks to compare."""
     hubs = rare.groupBy("token").agg(F.min("node").alias("hub"))
     groups = components(rare.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(docs.mapInArrow(batches(_prefixes), "doc_id long, n long, node binary, prefix array<long>"))
     passed, rare = _rare_tokens(sets)
-    placed, pairs = _blocks(rare)
+    placed, pairs = candidate_blocks(rare)
     slim = sets.select("doc_id", "n", "node")
     wanted = passed.join(placed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     whole = (docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -5,9 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .line_dedup import op10_line_join
+from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard
+from .packing import op2_vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op4_ngram_jaccard,)
+    q.__name__: q for q in (op2_vector_packing, op4_ngram_jaccard, op9_source_mixing, op10_line_join)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_source_mixing": mixing.ORACLE}

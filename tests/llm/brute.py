@@ -44,3 +44,21 @@ def jaccard_components(rows: list[tuple[int, str | None]]) -> set[tuple[int, int
     for i, (d, _) in enumerate(rows):
         first[top(i)] = min(d, first.get(top(i), d))
     return sorted((d, len(sets[i]), first[top(i)] if sets[i] else d) for i, (d, _) in enumerate(rows))
+
+
+def repeated_lines(rows: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
+    """(doc_id, line) of every line with an earlier match."""
+    lines = [(d, i, shingle_set(x)) for d, t in rows for i, x in enumerate((t or "").split("\n"))]
+    lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])
+    holders, out, done = {}, set(), []
+    for d, i, s in lines:
+        near: dict = {}
+        for g in s:
+            for j in holders.get(g, ()):
+                near[j] = near.get(j, 0) + 1
+        if any(100 * both >= 80 * (len(s) + len(done[j]) - both) for j, both in near.items()):
+            out.add((d, i))
+        for g in s:
+            holders.setdefault(g, []).append(len(done))
+        done.append(s)
+    return out
