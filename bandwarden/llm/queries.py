@@ -5,13 +5,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import line_rules, mixing
 from .line_dedup import op10_line_join
+from .line_rules import op3_line_frequency
 from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard
 from .packing import op2_vector_packing
+from .quality_fm import op1_quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_vector_packing, op4_ngram_jaccard, op9_source_mixing, op10_line_join)
+    q.__name__: q for q in (op1_quality_fm, op2_vector_packing, op3_line_frequency, op4_ngram_jaccard, op9_source_mixing, op10_line_join)
 }
-ORACLES: dict[str, str] = {"op9_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_frequency": line_rules.ORACLE, "op9_source_mixing": mixing.ORACLE}
