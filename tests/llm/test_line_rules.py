@@ -21,9 +21,9 @@ def test_matches_sql(spark, sf):
 
 def test_common_lines_deplete_and_edges(spark, tmp_path):
     own = "one two three four five six seven eight nine ten eleven twelve"
-    rows = [(i, f"Shared  Line of {'the ' * 6}host\n\n{own} {i}", "h") for i in range(30)]
-    rows += [(100 + i, "shared line OF the the the the the the host\nsmall rest here", "h") for i in range(3)]
-    rows += [(200, "shared line of the the the the the the host\nsmall rest here but in another host", "g"), (201, None, None), (202, "", None),
+    rows = [(i, f"Shared  Line of {'t1 t2 t3 t4 t5 t6 '}host\n\n{own} {i}", "h") for i in range(30)]
+    rows += [(100 + i, "shared line OF t1 t2 t3 t4 t5 t6 host\nsmall rest here", "h") for i in range(3)]
+    rows += [(200, "shared line of t1 t2 t3 t4 t5 t6 host\nsmall rest here but in another host", "g"), (201, None, None), (202, "", None),
              (203, "a b c d e f a b c d e f a b", None), (204, "x y\nx y\nX y\n \n", "h"), (205, "q " * 3000, "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS words", "'z' AS host")
     docs.write.parquet(str(tmp_path / "d"))
