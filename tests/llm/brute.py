@@ -62,3 +62,23 @@ def repeated_lines(rows: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
             holders.setdefault(g, []).append(len(done))
         done.append(s)
     return out
+
+
+def repeats_removed(rows: list[tuple[int, str | None]], k: int = 20) -> list[tuple]:
+    """Rows (doc_id, n_words, n_removed, kept_sha256) for distinct ids."""
+    import hashlib
+    first: dict = {}
+    texts = {d: words(t) for d, t in rows}
+    for d in sorted(texts):
+        w = texts[d]
+        for i in range(len(w) - k + 1):
+            first.setdefault(tuple(w[i:i + k]), (d, i))
+    out = []
+    for d, w in texts.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - k + 1):
+            if first[tuple(w[i:i + k])] != (d, i):
+                gone[i:i + k] = [True] * k
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
