@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import block_search, line_rules, mixing
 from .anchors import op5_difference_cover
 from .block_search import op8_block_pruning
+from .html_lstm import op7_block_labeller
 from .lattice_lm import op6_lattice_likelihood
 from .line_dedup import op10_line_join
 from .line_rules import op3_line_frequency
@@ -19,7 +20,7 @@ from .quality_fm import op1_quality_fm
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_quality_fm, op2_vector_packing, op3_line_frequency, op4_ngram_jaccard, op5_difference_cover, op6_lattice_likelihood,
-        op8_block_pruning, op9_source_mixing, op10_line_join)
+        op7_block_labeller, op8_block_pruning, op9_source_mixing, op10_line_join)
 }
 ORACLES: dict[str, str] = {
     "op3_line_frequency": line_rules.ORACLE, "op8_block_pruning": block_search.ORACLE, "op9_source_mixing": mixing.ORACLE}
