@@ -1,11 +1,54 @@
-"""Cleaning pipeline over ``documents``; each stage applies one operator of ``bandwarden.llm``."""
+"""Cleaning pipeline over ``documents``; each stage applies one operator of ``bandwarden.llm``.
+
+A stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns its result; ``run`` writes each result
+as Parquet and reads it back as the next stage's ``docs``.  All stages but the last return the columns of ``docs``.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bandwarden.llm import line_dedup, mixing, ngram_join, packing, quality_fm
 from bandwarden.llm.tables import table, written
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, trained on the labels of ``docs``, predicts to be good."""
+    return quality_fm.accepted(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches; one that loses its last word goes."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates; documents without words stay."""
+    found = ngram_join.near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document once for every pass over its source that takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", source_mixing),
+    ("packing", sequence_packing),
+]
+
+#: The classifier is trained and the tokenizer is a file: SQL states neither; tests/llm restates every stage.
 ORACLE_SQL = None
 
 
