@@ -112,3 +112,5 @@ NON_PRIMARY_CLASSES = (
 HOT_GROUP_ROWS = 1_000_000
 # A side of at most this many rows may be broadcast.
 BROADCAST_ROWS = 200_000
+# A group of at most this many rows may be one sorted array.
+MODE_ROWS = 200_000

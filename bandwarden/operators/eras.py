@@ -1,8 +1,6 @@
 """Activity eras: change points in monthly levels and what follows from them."""
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,41 +15,44 @@ from .small import CHANNEL_ROWS, join_small
 ERA_ROWS = CHANNEL_ROWS * C.ERA_MAX
 
 
-def rank_sum_z(left: np.ndarray, right: np.ndarray) -> float:
-    """Tie-corrected normal deviate of the rank sum of two samples."""
-    na, nb = len(left), len(right)
-    n = na + nb
-    if na == 0 or nb == 0 or n < 2:
-        return 0.0
-    pooled = pd.Series(np.concatenate([left, right]))
-    u = pooled.rank(method="average").to_numpy()[:na].sum() - na * (na + 1) / 2
-    ties = pooled.value_counts().to_numpy(float)
-    var = na * nb / 12 * (n + 1 - (ties**3 - ties).sum() / (n * (n - 1)))
-    return 0.0 if var <= 0 else float((u - na * nb / 2) / math.sqrt(var))
+def split_scores(months: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Score of a new era at every position of a run of months; zero where none may start.
+
+    All positions share one ranking of the run, so the rank sums left of them are a running sum and the tie-corrected
+    variance differs only by the two sample sizes."""
+    n = len(level)
+    at = np.arange(1, n)
+    series = pd.Series(level)
+    rank_sum = series.rank(method="average").cumsum().to_numpy()[:-1]
+    tied = series.value_counts().to_numpy(float)
+    spread = at * (n - at) / 12 * (n + 1 - (tied ** 3 - tied).sum() / (n * (n - 1)))
+    away = np.abs(rank_sum - at * (at + 1) / 2 - at * (n - at) / 2)
+    z = np.divide(away, np.sqrt(spread), out=np.zeros(n - 1), where=spread > 0)
+    before = series.expanding().median().to_numpy()[:-1]
+    after = series[::-1].expanding().median().to_numpy()[::-1][1:]
+    step = np.abs(after - before)
+    days = C.DAYS_PER_MONTH * np.minimum(months[at - 1] - months[0] + 1, months[-1] - months[at] + 1)
+    allowed = ((np.minimum(at, n - at) >= C.ERA_MIN_MONTHS) & (days >= C.ERA_MIN_DAYS)
+               & (step >= C.ERA_MIN_STEP_DB) & (z >= C.ERA_Z))
+    return np.concatenate([[0.0], np.where(allowed, z * step, 0.0)])
 
 
 def cut_months(months: np.ndarray, level: np.ndarray) -> list[int]:
-    """Positions where a new era starts, strongest admissible split first."""
-    cuts: list[int] = []
+    """Positions where a new era starts.
 
-    def split(lo: int, hi: int) -> None:
-        if len(cuts) >= C.ERA_MAX - 1:
-            return
-        best = (0.0, -1)
-        for k in range(lo + C.ERA_MIN_MONTHS, hi - C.ERA_MIN_MONTHS + 1):
-            days = min(months[k - 1] - months[lo] + 1, months[hi - 1] - months[k] + 1) * C.DAYS_PER_MONTH
-            step = abs(np.median(level[k:hi]) - np.median(level[lo:k]))
-            if days < C.ERA_MIN_DAYS or step < C.ERA_MIN_STEP_DB:
-                continue
-            z = abs(rank_sum_z(level[lo:k], level[k:hi]))
-            if z >= C.ERA_Z and z * step > best[0]:
-                best = (z * step, k)
-        if best[1] >= 0:
-            cuts.append(best[1])
-            split(lo, best[1])
-            split(best[1], hi)
-
-    split(0, len(months))
+    Runs wait in a stack, earlier months on top; the best position of a run cuts it in two, as long as there are fewer
+    than the greatest number of eras."""
+    cuts: list[int] = []
+    waiting = [(0, len(months))]
+    while waiting and len(cuts) < C.ERA_MAX - 1:
+        lo, hi = waiting.pop()
+        if hi - lo < 2 * C.ERA_MIN_MONTHS:
+            continue
+        score = split_scores(months[lo:hi], level[lo:hi])
+        best = int(score.argmax())
+        if score[best] > 0:
+            cuts.append(lo + best)
+            waiting += [(lo + best, hi), (lo, lo + best)]
     return sorted(cuts)
 
 

@@ -55,11 +55,13 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Sp
             return plain(df)
         cold, big = None, df
     answer = _narrow(big, list(keys), specs, bins, gather)
-    if aggs:
-        base = big.groupBy(*keys).agg(*aggs)
-        answer = (base.alias("b").join(answer.alias("a"), _eq("b", "a", keys), "left")
-                  .select("b.*", *[F.col(f"a.{n}") for n in specs])) if keys else base.join(F.broadcast(answer), F.lit(True))
-    return answer if cold is None else plain(cold).unionByName(answer.select(*plain(cold).columns))
+    # Every group has a row, also one whose values are all NULL.
+    base = big.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
+    names = [c for c in base.columns if c != "_n" or aggs]
+    on = _eq("b", "a", keys) if keys else F.lit(True)
+    answer = base.alias("b").join(answer.alias("a") if keys else F.broadcast(answer).alias("a"), on, "left").select(
+        *[F.col(f"b.{c}") for c in names], *[F.col(f"a.{n}") for n in specs])
+    return answer if cold is None else plain(cold).unionByName(answer)
 
 
 def _plain(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Spec], aggs: Sequence[Column]) -> DataFrame:
@@ -78,20 +80,36 @@ def _plain(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Spec], aggs:
 
 
 def _narrow(df: DataFrame, keys: list[str], specs: Mapping[str, Spec], bins: int, gather: int) -> DataFrame:
+    """Quantiles of the groups that have a value.
+
+    Infinities and NaN, which is the largest, are only counted; the search runs over the finite values between them."""
     gid = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_g"))
+    columns: dict[str, Column] = {}
+    place = {name: list(columns).index(key) for name, (v, _) in specs.items()
+             for key in [v if isinstance(v, str) else repr(v)] if columns.setdefault(key, _col(v)) is not None}
+    values = F.array(*[c.cast("double") for c in columns.values()])
     melted = materialize(
-        df.select(gid.alias("g"), F.posexplode(F.array(*[_col(v).cast("double") for v, _ in specs.values()])))
-        .where(F.col("col").isNotNull()).select("g", F.col("pos").alias("m"), F.col("col").alias("v"))
-    )
-    probs = F.array(*[F.lit(float(q)) for _, q in specs.values()])
+        df.select(gid.alias("g"), F.posexplode(values)).where(F.col("col").isNotNull())
+        .select("g", F.col("pos").alias("m"), F.col("col").alias("v")))
+    v = F.col("v")
+    low, high = v == float("-inf"), v == float("inf")
+    finite = ~low & ~high & ~F.isnan(v)
     stats = melted.groupBy("g", "m").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = F.element_at(probs, F.col("m") + 1) * (F.col("n") - 1)
-    todo = stats.select(
-        "g", "m", "lo", "hi", F.lit(0).cast("long").alias("base"), F.col("n").alias("c"), at.alias("at"),
-        F.explode(F.array_distinct(F.array(F.floor(at).cast("long"), F.ceil(at).cast("long")))).alias("rank"))
+        F.count("v").alias("n"), F.count_if(low).alias("below"), F.count_if(finite).alias("c"), F.count_if(high).alias("above"),
+        F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(place[name]).alias("m"), F.lit(float(q)).alias("q"))
+                       for i, (name, (_, q)) in enumerate(specs.items())])
+    asked = stats.withColumn("w", F.explode(F.filter(wanted, lambda w: w["m"] == F.col("m"))))
+    at = F.col("w.q") * (F.col("n") - 1)
+    ends = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    ranks = asked.select("g", "m", F.col("w.spec").alias("spec"), at.alias("at"), F.explode(ends).alias("rank"), "below", "c", "above", "lo", "hi")
+    ranks = materialize(ranks)
+    r = F.col("rank") - F.col("below")
+    outside = F.when(r < 0, F.lit(float("-inf"))).when(r >= F.col("c") + F.col("above"), F.lit(float("nan"))).when(r >= F.col("c"), F.lit(float("inf")))
+    known = ranks.select("g", "spec", "at", "rank", outside.alias("x"))
+    todo = materialize(ranks.where(outside.isNull()).select(
+        "g", "m", "lo", "hi", F.lit(0).cast("long").alias("base"), "c", r.alias("rank")).distinct())
     done = None
-    todo = materialize(todo)
     while True:
         open_ = todo.where((F.col("lo") < F.col("hi")) & (F.col("c") > gather))
         closed = todo.where((F.col("lo") == F.col("hi")) | (F.col("c") <= gather))
@@ -100,41 +118,46 @@ def _narrow(df: DataFrame, keys: list[str], specs: Mapping[str, Spec], bins: int
             break
         todo = materialize(_round(melted, open_, bins))
     picked = _gather(melted, done)
-    pair = picked.groupBy("g", "m").agg(F.first("at").alias("at"), F.min_by("x", "rank").alias("a"),
-                                        F.max_by("x", "rank").alias("b"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    wide = pair.groupBy("g").agg(*[
-        F.max(F.when(F.col("m") == i, value)).alias(n) for i, n in enumerate(specs)])
+    inside = (ranks.where(outside.isNull()).select("g", "m", "spec", "at", "rank", r.alias("_r")).alias("k")
+              .join(picked.alias("p"), (F.col("k.g") == F.col("p.g")) & (F.col("k.m") == F.col("p.m")) & (F.col("k._r") == F.col("p.rank")))
+              .select("k.g", "k.spec", "k.at", "k.rank", "p.x"))
+    pair = known.where("x IS NOT NULL").unionByName(inside).groupBy("g", "spec").agg(
+        F.first("at").alias("at"), F.min_by("x", "rank").alias("a"), F.max_by("x", "rank").alias("b"))
+    # The built-in's own weighting, so that both ways give the same bits.
+    value = F.when(F.ceil("at") == F.floor("at"), F.col("a")).otherwise(
+        (F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    wide = pair.groupBy("g").agg(*[F.max(F.when(F.col("spec") == i, value)).alias(n) for i, n in enumerate(specs)])
     return wide.select(*[F.col("g")[k].alias(k) for k in keys], *specs)
 
 
 def _round(melted: DataFrame, todo: DataFrame, bins: int) -> DataFrame:
-    small = F.broadcast(todo) if todo.count() <= C.BROADCAST_ROWS else todo
-    width = (F.col("t.hi") - F.col("t.lo")) / F.lit(float(bins))
-    b = F.least(F.floor((F.col("d.v") - F.col("t.lo")) / width), F.lit(bins - 1))
+    """Each open interval cut to the bin that holds its rank.
+
+    Where an interval is too narrow for equal bins its smallest value alone is one bin, so every round makes it smaller."""
+    lo, hi, v = F.col("t.lo"), F.col("t.hi"), F.col("d.v")
+    width = hi / F.lit(float(bins)) - lo / F.lit(float(bins))
+    b = F.when(lo + width > lo, F.least(F.floor((v / width) - (lo / width)), F.lit(bins - 1))).otherwise((v > lo).cast("long"))
     hits = (
-        melted.alias("d").join(small.alias("t"), (F.col("d.g") == F.col("t.g")) & (F.col("d.m") == F.col("t.m"))
-                               & F.col("d.v").between(F.col("t.lo"), F.col("t.hi")))
-        .groupBy("t.g", "t.m", "t.rank", "t.base", "t.at", b.alias("b"))
+        melted.alias("d").join(todo.alias("t"), (F.col("d.g") == F.col("t.g")) & (F.col("d.m") == F.col("t.m")) & v.between(lo, hi))
+        .groupBy("t.g", "t.m", "t.rank", "t.base", b.alias("b"))
         .agg(F.count(F.lit(1)).alias("c"), F.min("d.v").alias("lo"), F.max("d.v").alias("hi"))
     )
     w = W.partitionBy("g", "m", "rank").orderBy("b")
     upto = hits.withColumn("_end", F.col("base") + F.sum("c").over(w))
     start = F.col("_end") - F.col("c")
     return upto.where((start <= F.col("rank")) & (F.col("rank") < F.col("_end"))).select(
-        "g", "m", "lo", "hi", start.cast("long").alias("base"), "c", "at", "rank")
+        "g", "m", "lo", "hi", start.cast("long").alias("base"), "c", "rank")
 
 
 def _gather(melted: DataFrame, done: DataFrame) -> DataFrame:
     """Value at the wanted rank; at most ``gather`` values per target."""
-    known = done.where(F.col("lo") == F.col("hi")).select("g", "m", "at", "rank", F.col("lo").alias("x"))
-    rest = done.where(F.col("lo") < F.col("hi"))
-    small = F.broadcast(rest) if rest.count() <= C.BROADCAST_ROWS else rest
+    known = done.where(F.col("lo") == F.col("hi")).select("g", "m", "rank", F.col("lo").alias("x"))
+    small = done.where(F.col("lo") < F.col("hi"))
     values = (
         melted.alias("d").join(small.alias("t"), (F.col("d.g") == F.col("t.g")) & (F.col("d.m") == F.col("t.m"))
                                & F.col("d.v").between(F.col("t.lo"), F.col("t.hi")))
-        .groupBy("t.g", "t.m", "t.at", "t.rank", "t.base").agg(F.array_sort(F.collect_list("d.v")).alias("vs"))
-        .select("g", "m", "at", "rank", F.get("vs", (F.col("rank") - F.col("base")).cast("int")).alias("x"))
+        .groupBy("t.g", "t.m", "t.rank", "t.base").agg(F.array_sort(F.collect_list("d.v")).alias("vs"))
+        .select("g", "m", "rank", F.get("vs", (F.col("rank") - F.col("base")).cast("int")).alias("x"))
     )
     return known.unionByName(values)
 

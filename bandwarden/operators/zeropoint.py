@@ -140,53 +140,60 @@ def diurnal_mask_profile(df: DataFrame, hour: Column, min_n: int = 50) -> DataFr
 
 # --- half-sample mode --------------------------------------------------------
 
-def _shortest_half(x: np.ndarray) -> float:
-    """Mode of a sorted sample: keep the shortest half until 3 or 2 remain."""
-    while len(x) > 3:
-        half = (len(x) + 1) // 2
-        start = int(np.argmin(x[half - 1:] - x[: len(x) - half + 1]))
-        x = x[start:start + half]
-    if len(x) == 3:
-        left, right = x[1] - x[0], x[2] - x[1]
-        return float(x[1] if left == right else (x[0] + x[1]) / 2 if left < right else (x[1] + x[2]) / 2)
-    return float(np.mean(x)) if len(x) else float("nan")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _densest_half(values: Column) -> Column:
+    """The narrowest run of half of a sorted array, the first of equals."""
+    half = F.ceil(F.size(values) / 2).cast("int")
+    width = F.zip_with(F.slice(values, half, F.size(values) - half + 1), F.slice(values, F.lit(1), F.size(values) - half + 1),
+                       lambda last, first: last - first)
+    return F.slice(values, _let(width, lambda w: F.array_position(w, F.array_min(w)).cast("int")), half)
+
+
+def _mode_of_few(values: Column) -> Column:
+    """Mean of one or two values; of three, the middle of the closer pair, or the middle one if both are as close."""
+    low, mid, high = (F.get(values, i) for i in range(3))
+    lean = F.signum((high - mid) - (mid - low))
+    of_three = F.when(lean == 0, mid).when(lean > 0, (low + mid) / 2).otherwise((mid + high) / 2)
+    return F.when(F.size(values) == 3, of_three).when(F.size(values) == 2, (low + mid) / 2).otherwise(low)
 
 
 def half_sample_mode(df: DataFrame, keys: Sequence[str], value: str, max_rows: int | None = None,
-                     limit: int = C.HOT_GROUP_ROWS) -> DataFrame:
+                     limit: int = C.MODE_ROWS) -> DataFrame:
     """Half-sample mode per group.
 
-    A group up to ``limit`` rows is one bounded pandas call.  In a larger one
-    each halving is a join of ranks r and r+h-1 over all tasks, until the
-    remaining half is bounded; every halving drops half of the rows.
+    While a group has more than ``limit`` rows, a halving joins ranks r and r+h-1 over all tasks and drops half of the
+    rows.  What is left of each group is one sorted array, halved by array functions until three values remain.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema if f.name != "_x") + ", mode double"
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.iloc[:1][keys].copy()
-        out["mode"] = _shortest_half(np.sort(pdf["_x"].to_numpy(float)))
-        return out
+    def finish(d: DataFrame) -> DataFrame:
+        halvings = F.ceil(F.log2(F.size("_v"))).cast("int")
+        left = F.aggregate(F.sequence(F.lit(0), halvings), F.col("_v"),
+                           lambda v, _: F.when(F.size(v) > 3, _densest_half(v)).otherwise(v))
+        few = d.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_v")).select(*keys, left.alias("_v"))
+        return few.select(*keys, _mode_of_few(F.col("_v")).alias("mode"))
 
-    small = lambda d: d.groupBy(*keys).applyInPandas(solve, schema)
     if max_rows is not None and max_rows <= limit:
-        return small(data)
+        return finish(data)
     hot = materialize(hot_groups(data, keys, limit).select(*keys))
     if hot.isEmpty():
-        return small(data)
+        return finish(data)
     n_hot = hot.count()
     cold = join_small(data, hot, keys, rows=n_hot, how="left_anti")
     big = number_within(join_small(data, hot, keys, rows=n_hot, how="left_semi"), keys, ["_x"], "_r", limit=limit)
     big = materialize(big)
     while True:
-        size = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_first"))
+        size = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         wide = size.where(F.col("_n") > limit).withColumn("_h", F.floor((F.col("_n") + 1) / 2))
         if wide.isEmpty():
             break
-        a = join_small(big, wide, keys, rows=n_hot)
-        ends = a.select(*keys, F.col("_r").alias("_s"), F.col("_x").alias("_xs"),
-                        (F.col("_r") + F.col("_h") - 1).alias("_r"), "_h")
+        ends = join_small(big, wide, keys, rows=n_hot).select(
+            *keys, F.col("_r").alias("_s"), F.col("_x").alias("_xs"), (F.col("_r") + F.col("_h") - 1).alias("_r"), "_h")
         pairs = ends.join(big.withColumnRenamed("_x", "_xe"), [*keys, "_r"])
         width = F.col("_xe") - F.col("_xs")
         best = pairs.groupBy(*keys).agg(F.min(F.struct(width.alias("w"), F.col("_s"))).alias("b"), F.min("_h").alias("_h"))
@@ -194,7 +201,7 @@ def half_sample_mode(df: DataFrame, keys: Sequence[str], value: str, max_rows: i
         j = join_small(big, keep, keys, rows=n_hot, how="left")
         inside = F.col("_lo").isNull() | F.col("_r").between(F.col("_lo"), F.col("_hi"))
         big = materialize(j.where(inside).select(*keys, "_x", "_r"))
-    return small(cold).unionByName(small(big.select(*keys, "_x")))
+    return finish(cold).unionByName(finish(big.select(*keys, "_x")))
 
 
 def null_scale_about(df: DataFrame, centre: str = "mu", max_rows: int | None = None) -> DataFrame:

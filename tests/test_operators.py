@@ -304,8 +304,10 @@ def test_era_step_is_found(spark):
 
 
 def test_rank_sum_ties():
-    assert eras.rank_sum_z(np.array([1.0, 1, 1]), np.array([1.0, 1])) == 0.0
-    assert eras.rank_sum_z(np.arange(10.0), np.arange(10.0) + 100) < -3.5
+    months = np.arange(24)
+    assert not eras.split_scores(months, np.ones(24)).any()
+    score = eras.split_scores(months, np.r_[np.arange(12.0) / 100, 50 + np.arange(12.0) / 100])
+    assert score.argmax() == 12 and abs(score[12] - 50 * 72 / np.sqrt(300)) < 1e-9
 
 
 def test_sweep_keeps_equal_to_direct_count(spark):

@@ -1,4 +1,6 @@
 """Paths taken by hot groups must give the results of the plain ones."""
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -62,16 +64,15 @@ def test_hot_running_sums(skewed, down):
 
 
 def _mode(x):
-    x = np.sort(x)
-    while x.size > 3:
-        h = (x.size + 1) // 2
-        w = x[h - 1:] - x[:x.size - h + 1]
-        j = int(np.argmin(w))
-        x = x[j:j + h]
-    if x.size < 3:
-        return x.mean()
-    a, b = x[1] - x[0], x[2] - x[1]
-    return (x[0] + x[1]) / 2 if a < b else (x[1] + x[2]) / 2 if b < a else x[1]
+    """Direct search over all windows of every half, with exact fractions."""
+    v = sorted(map(Fraction, x.tolist()))
+    while len(v) > 3:
+        h = -(-len(v) // 2)
+        v = min((v[i:i + h] for i in range(len(v) - h + 1)), key=lambda w: w[-1] - w[0])
+    pairs = [v[i:i + 2] for i in range(len(v) - 1)]
+    widths = [b - a for a, b in pairs]
+    closest = [p for p, w in zip(pairs, widths) if w == min(widths)] or [v]
+    return float(v[1] if len(closest) == 2 else sum(closest[0]) / len(closest[0]))
 
 
 @pytest.mark.parametrize("limit", [10**6, 200])
@@ -125,3 +126,17 @@ def test_sketch_option(skewed):
 def test_tails_flags_are_exclusive(spark):
     t = exposure.with_tails(V.detector_frames(spark, SF), F.col("mu0"))
     assert t.where("(hi AND lo) OR (hi AND core) OR (lo AND core)").count() == 0
+
+
+def test_split_quantiles_keep_groups_and_take_infinities(spark):
+    r = np.random.default_rng(12)
+    rows = [(0, float(x)) for x in r.standard_normal(400)] + [(0, float("inf"))] * 3 + [(0, float("-inf"))] * 2 + [(0, float("nan"))]
+    rows += [(1, None)] * 80 + [(2, float("inf"))] * 70 + [(3, 1e-323 * (i % 3)) for i in range(90)] + [(4, s * 1.7e308) for s in (-1, 1)] * 40
+    df = spark.createDataFrame(rows, "k int, x double")
+    specs = {"lo": ("x", 0.0), "a": ("x", 0.3), "b": ("x", 0.777), "c": ("x", 0.995), "hi": ("x", 1.0)}
+    for keys, aggs in ((["k"], []), (["k"], [F.count("x").alias("n")]), ([], [])):
+        plain = grouped_quantiles(df, keys, specs, aggs)
+        split = grouped_quantiles(df, keys, specs, aggs, limit=50, gather=20, bins=16)
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, split.select(*plain.columns).collect()))
+    nothing = grouped_quantiles(df.where("k = 1"), [], {"a": ("x", .5)}, limit=50, gather=20).collect()
+    assert [tuple(x) for x in nothing] == [(None,)]
