@@ -23,6 +23,7 @@ REFERENCE_OFFSET_BINS = 2
 # --- television allocation (fixed values) -----------------------------------
 FIRST_CHANNEL = 14
 LAST_CHANNEL = 69
+LAST_ALLOCATION = 36
 FIRST_CHANNEL_LOWER_EDGE_HZ = 470.0e6
 CHANNEL_WIDTH_HZ = 6.0e6
 PILOT_OFFSET_HZ = 309441.0

@@ -1,11 +1,15 @@
 """Units to archive events by day, each event used once."""
 from __future__ import annotations
 
+import datetime
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+TODAY, ONE_DAY = datetime.timedelta(0), datetime.timedelta(days=1)
 OUTCOMES = ("exact", "classok", "daypure", "mixed", "orphan")
 
 
@@ -23,33 +27,26 @@ def _islands(units: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    units = pdf[pdf["is_unit"]].sort_values(["order", "id"])
-    events = pdf[~pdf["is_unit"]].sort_values(["order", "id"])
-    by_day: dict[object, list] = {}
-    for e in events.itertuples():
-        by_day.setdefault(e.day, []).append(e)
-    used: set[int] = set()
-    rows = []
-    for u in units.itertuples():
-        result = (None, None, "orphan")
-        for shift in (0, -1, 1):
-            free = [e for e in by_day.get(u.day + pd.Timedelta(days=shift).to_pytimedelta(), []) if e.id not in used]
-            if not free:
-                continue
-            match = [e for e in free if e.n_frames == u.n_frames]
-            pool = match or free
-            classes = {e.event_class for e in pool}
-            used.add(pool[0].id)
-            if len(match) == 1:
-                kind = "exact"
-            elif len(classes) == 1:
-                kind = "classok" if match else "daypure"
-            else:
-                kind = "mixed"
-            result = (pool[0].id, None if kind == "mixed" else pool[0].event_class, kind)
-            break
-        rows.append((u.physical_channel, u.id, *result))
-    return pd.DataFrame(rows, columns=["physical_channel", "unit_id", "event_id", "event_class", "outcome"])
+    """Outcomes of one run of days.  ``pools`` holds each day's events that are still free, in their order."""
+    pools: dict[object, dict[int, tuple[int, str]]] = defaultdict(dict)
+    for event in pdf[~pdf["is_unit"]].sort_values(["order", "id"]).itertuples():
+        pools[event.day][event.id] = (event.n_frames, event.event_class)
+    answers = []
+    for unit in pdf[pdf["is_unit"]].sort_values(["order", "id"]).itertuples():
+        pool = next((p for p in (pools.get(unit.day + d) for d in (TODAY, -ONE_DAY, ONE_DAY)) if p), None)
+        if pool is None:
+            answers.append((unit.id, None, None, "orphan"))
+            continue
+        alike = {key: kind for key, (frames, kind) in pool.items() if frames == unit.n_frames}
+        considered = alike or {key: kind for key, (_, kind) in pool.items()}
+        taken = next(iter(considered))
+        pure = len(set(considered.values())) == 1
+        outcome = ("exact" if len(alike) == 1 else "mixed" if not pure else "classok" if alike else "daypure")
+        answers.append((unit.id, taken, None if outcome == "mixed" else pool.pop(taken)[1], outcome))
+        pool.pop(taken, None)
+    out = pd.DataFrame(answers, columns=["unit_id", "event_id", "event_class", "outcome"])
+    out.insert(0, "physical_channel", pdf["physical_channel"].iloc[0])
+    return out
 
 
 def assign_units(units: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..session import materialize
 from .numbering import number_within, running_sums
 from .quantiles import grouped_quantiles
@@ -46,34 +45,47 @@ def ratio_band(units: DataFrame, keys: Sequence[str], unit: str, num: str, den:
 
 
 def weighted_high_quantile(df: DataFrame, keys: Sequence[str], unit: str, value: str, q: float = 0.999,
-                           replicates: int = 100, seed: int = 5, bins: int = 4096,
+                           replicates: int = 300, seed: int = 5,
                            max_rows: int | None = None) -> DataFrame:
     """Interval of a high quantile under unit resampling.
 
-    Each replicate weighs a frame by how often its unit was drawn.  Only rows
-    that can hold the quantile are kept: per group the values above its
-    ``1 - 4*(1 - q)`` quantile, with the weight below them taken from the
-    drawn unit sizes, so the answer equals the one over all rows whenever the
-    resampled quantile lies in that tail."""
-    cut = grouped_quantiles(df, keys, {"_cut": (value, max(0.0, 1 - 4 * (1 - q)))}, max_rows=max_rows)
-    j = join_small(df.select(*keys, unit, value), cut, keys)
-    j = materialize(j)
-    units = j.groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("n"))
+    Each replicate weighs a frame by how often its unit was drawn.  A pass takes the values from a cut upwards, with the
+    weight below it from the drawn unit sizes; a replicate whose quantile lies below the cut is left for the next pass,
+    which takes a tail four times as large, until every replicate has its answer."""
+    data = materialize(df.where(F.col(value).isNotNull()).select(*keys, unit, value))
+    units = data.groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("n"))
     ranked = materialize(number_within(units, keys, [unit], "_rank", max_rows=max_rows))
     size = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
     draws = join_small(ranked.select(*keys, F.col("_rank").alias("_d")), size, keys).select(
         *keys, "_u", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d", *keys), F.col("_u"))
-    times = draws.groupBy(*keys, "replicate", pick.alias("_rank")).agg(F.count(F.lit(1)).alias("w")).join(ranked, [*keys, "_rank"])
-    total = times.groupBy(*keys, "replicate").agg(F.sum(F.col("w") * F.col("n")).alias("total"))
-    top = j.where(F.col(value) >= F.col("_cut")).groupBy(*keys, unit, value).agg(F.count(F.lit(1)).alias("c"))
-    weighted = top.join(times.select(*keys, "replicate", unit, "w"), [*keys, unit]).groupBy(*keys, "replicate", value).agg(
-        F.sum(F.col("c") * F.col("w")).alias("w"))
-    weighted = weighted if max_rows is not None and max_rows <= C.HOT_GROUP_ROWS else materialize(weighted)
-    r = running_sums(weighted, [*keys, "replicate"], value, ["w"], descending=True, max_rows=max_rows)
-    r = r.join(total, [*keys, "replicate"])
-    # smallest value whose weight from below reaches q of the total
-    ok = r.where(F.col("total") - F.col("cum_w") + F.col("w") >= F.lit(q) * F.col("total"))
-    reps = ok.groupBy(*keys, "replicate").agg(F.min(value).alias("_r"))
-    return grouped_quantiles(reps, keys, {"low": ("_r", 0.16), "high": ("_r", 0.84)}, [F.count(F.lit(1)).alias("replicates")],
+    times = materialize(draws.groupBy(*keys, "replicate", pick.alias("_rank")).agg(F.count(F.lit(1)).alias("w")).join(ranked, [*keys, "_rank"])
+                        .select(*keys, "replicate", unit, "w", "n"))
+    waiting = materialize(times.groupBy(*keys, "replicate").agg(F.sum(F.col("w") * F.col("n")).alias("total")))
+    answers, tail = None, 4.0
+    while not waiting.isEmpty():
+        whole = tail * (1 - q) >= 1
+        if whole:
+            top = data
+        else:
+            cut = grouped_quantiles(data, keys, {"_cut": (value, 1 - tail * (1 - q))}, max_rows=max_rows)
+            top = join_small(data, cut, keys).where(F.col(value) >= F.col("_cut"))
+        counted = top.groupBy(*keys, unit, value).agg(F.count(F.lit(1)).alias("c"))
+        asked = times.join(waiting.select(*keys, "replicate"), [*keys, "replicate"], "left_semi").select(*keys, "replicate", unit, "w")
+        weighted = materialize(counted.join(asked, [*keys, unit]).groupBy(*keys, "replicate", value).agg(
+            F.sum(F.col("c") * F.col("w")).alias("w")))
+        held = weighted.groupBy(*keys, "replicate").agg(F.sum("w").alias("held"))
+        state = waiting.join(held, [*keys, "replicate"], "left").withColumn(
+            "inside", F.lit(True) if whole else F.col("total") - F.coalesce("held", F.lit(0)) < F.lit(q) * F.col("total"))
+        ready = materialize(state.where("inside").select(*keys, "replicate", "total"))
+        r = running_sums(weighted, [*keys, "replicate"], value, ["w"], descending=True, max_rows=max_rows).join(ready, [*keys, "replicate"])
+        # smallest value whose weight from below reaches q of the total
+        ok = r.where(F.col("total") - F.col("cum_w") + F.col("w") >= F.lit(q) * F.col("total"))
+        found = materialize(ok.groupBy(*keys, "replicate").agg(F.min(value).alias("_r")))
+        answers = found if answers is None else answers.unionByName(found)
+        waiting = materialize(waiting.join(ready.select(*keys, "replicate"), [*keys, "replicate"], "left_anti"))
+        tail *= 4
+    if answers is None:
+        answers = waiting.select(*keys, "replicate", F.lit(None).cast("double").alias("_r"))
+    return grouped_quantiles(answers, keys, {"low": ("_r", 0.16), "high": ("_r", 0.84)}, [F.count(F.lit(1)).alias("replicates")],
                              max_rows=replicates)

@@ -1,6 +1,8 @@
 """Applying a threshold policy and the verdicts that follow from it."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,31 +35,35 @@ def disposition(shift_db: Column, occupancy: Column) -> Column:
             .when(occupancy <= C.CLEAN_OCCUPANCY, "keep, light masking").otherwise("keep, heavy masking"))
 
 
-def channel_dispositions(coarse: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Keep or discard for each coarse channel from the allocations it touches.
+def channel_dispositions(coarse: DataFrame, verdicts: DataFrame, pending: Sequence[int] = ()) -> DataFrame:
+    """Keep or discard for each coarse channel from all allocations it touches, scanned or not.
 
-    ``coarse``: freq_id; ``verdicts``: physical_channel, kept.  Touched
-    allocations are at most two consecutive numbers, found by arithmetic."""
+    ``coarse``: freq_id; ``verdicts``: physical_channel, kept.  Allocations in ``pending`` count as kept until they have
+    a verdict.  Touched allocations are at most two consecutive numbers, found by arithmetic."""
     mid = F.lit(C.BAND_TOP_HZ) - F.col("freq_id") * F.lit(C.SAMPLE_RATE_HZ)
     lo, hi = mid - C.SAMPLE_RATE_HZ / 2, mid + C.SAMPLE_RATE_HZ / 2
-    at = lambda x: F.floor((x - C.FIRST_CHANNEL_LOWER_EDGE_HZ) / C.CHANNEL_WIDTH_HZ) + C.FIRST_CHANNEL
-    first, last = at(lo).cast("int"), (F.ceil((hi - C.FIRST_CHANNEL_LOWER_EDGE_HZ) / C.CHANNEL_WIDTH_HZ) + C.FIRST_CHANNEL - 1).cast("int")
+    place = lambda x: (x - C.FIRST_CHANNEL_LOWER_EDGE_HZ) / C.CHANNEL_WIDTH_HZ + C.FIRST_CHANNEL
+    first = F.greatest(F.floor(place(lo)), F.lit(C.FIRST_CHANNEL)).cast("int")
+    last = F.least(F.ceil(place(hi)) - 1, F.lit(C.LAST_ALLOCATION)).cast("int")
     touch = coarse.select("freq_id", lo.alias("f_lo"), hi.alias("f_hi"), F.explode(F.sequence(first, last)).alias("physical_channel"))
     pilot_fid = F.bround((F.lit(C.BAND_TOP_HZ) - (C.FIRST_CHANNEL_LOWER_EDGE_HZ + (F.col("physical_channel") - C.FIRST_CHANNEL)
                                                   * C.CHANNEL_WIDTH_HZ + C.PILOT_OFFSET_HZ)) / C.SAMPLE_RATE_HZ)
-    j = touch.join(F.broadcast(verdicts.select("physical_channel", "kept")), "physical_channel")
+    j = touch.join(F.broadcast(verdicts.select("physical_channel", "kept")), "physical_channel", "left")  # one row a channel
+    held = F.coalesce("kept", F.col("physical_channel").isin(list(pending)) if pending else F.lit(False))
+    monitor = F.coalesce(~F.col("kept"), F.lit(False)) & (pilot_fid == F.col("freq_id"))
     g = j.groupBy("freq_id", "f_lo", "f_hi").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("kept").cast("int")).alias("any_kept"),
-        F.max((pilot_fid == F.col("freq_id")).cast("int")).alias("pilot"), F.min("physical_channel").alias("a"),
-        F.max("physical_channel").alias("b"))
-    kept, shared, a = F.col("any_kept") == 1, F.col("n") == 2, F.col("a").cast("string")
+        F.count(F.lit(1)).alias("n"), F.bool_or(held).alias("any_kept"), F.bool_or(monitor).alias("pilot"),
+        F.min("physical_channel").alias("a"), F.max("physical_channel").alias("b"))
+    shared, a = F.col("n") == 2, F.col("a").cast("string")
+    outer = ~shared & ((F.col("f_lo") < C.FIRST_CHANNEL_LOWER_EDGE_HZ)
+                       | (F.col("f_hi") > C.FIRST_CHANNEL_LOWER_EDGE_HZ + C.CHANNEL_WIDTH_HZ * (C.LAST_ALLOCATION - C.FIRST_CHANNEL + 1)))
     pair = F.concat(F.lit("edge shared: ch"), a, F.lit("/ch"), F.col("b").cast("string"))
-    return g.select("freq_id", "f_lo", "f_hi",
-                    F.when(kept | (F.col("pilot") == 1), "keep").otherwise("discard").alias("disposition"),
-                    F.when(kept & shared, pair).when(kept, F.concat(F.lit("kept allocation ch"), a))
-                    .when(F.col("pilot") == 1, F.concat(F.lit("pilot monitor, excised ch"), a))
-                    .when(shared, F.concat(pair, F.lit(", both excised")))
-                    .otherwise(F.concat(F.lit("interior of excised ch"), a)).alias("reason"))
+    reason = (F.when(F.col("any_kept"), F.when(shared, pair).otherwise(F.concat(F.lit("kept allocation ch"), a)))
+              .when(F.col("pilot"), F.concat(F.lit("pilot monitor, excised ch"), a))
+              .when(shared, F.concat(pair, F.lit(", both excised")))
+              .when(outer, "band edge (shares non-DTV spectrum)").otherwise(F.concat(F.lit("interior of excised ch"), a)))
+    keep = F.col("any_kept") | F.col("pilot") | outer
+    return g.select("freq_id", "f_lo", "f_hi", F.when(keep, "keep").otherwise("discard").alias("disposition"), reason.alias("reason"))
 
 
 def contiguous_ranges(df: DataFrame, keys: list[str], number: str = "freq_id") -> DataFrame:

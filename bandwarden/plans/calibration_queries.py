@@ -319,18 +319,21 @@ def verdicts(spark, d):
 
 _DISP = """
 , vd AS (SELECT physical_channel, count(*) FILTER (reject)/count(*) < 0.55 AS kept FROM fv GROUP BY 1),
-fids AS (SELECT unnest(range(783, 845)) AS freq_id),
+fids AS (SELECT unnest(range(492, 846)) AS freq_id),
 fe AS (SELECT freq_id, 800e6::DOUBLE - freq_id*390625.0::DOUBLE - 195312.5 AS f_lo, 800e6::DOUBLE - freq_id*390625.0::DOUBLE + 195312.5 AS f_hi FROM fids),
-to_ AS (SELECT fe.*, physical_channel, kept, CAST(round_even((800e6 - (470e6 + (physical_channel-14)*6e6 + 309441.0))/390625.0, 0) AS BIGINT) AS pf FROM fe JOIN vd ON f_lo < 470e6 + (physical_channel-13)*6e6 AND f_hi > 470e6 + (physical_channel-14)*6e6),
-ds AS (SELECT freq_id, f_lo, f_hi, count(*) AS n, bool_or(kept) AS k, bool_or(pf = freq_id) AS p, min(physical_channel) AS a, max(physical_channel) AS b FROM to_ GROUP BY 1, 2, 3),
-dr AS (SELECT freq_id, f_lo, f_hi, CASE WHEN k OR p THEN 'keep' ELSE 'discard' END AS disposition,
- CASE WHEN k AND n=2 THEN 'edge shared: ch' || a || '/ch' || b WHEN k THEN 'kept allocation ch' || a WHEN p THEN 'pilot monitor, excised ch' || a WHEN n=2 THEN 'edge shared: ch' || a || '/ch' || b || ', both excised' ELSE 'interior of excised ch' || a END AS reason FROM ds)"""
+al AS (SELECT unnest(range(14, 37)) AS physical_channel),
+to_ AS (SELECT fe.*, al.physical_channel, coalesce(kept, FALSE) AS kept, kept IS NOT NULL AND NOT kept AND CAST(round_even((800e6 - (470e6 + (al.physical_channel-14)*6e6 + 309441.0))/390625.0, 0) AS BIGINT) = freq_id AS p
+ FROM fe JOIN al ON f_lo < 470e6 + (al.physical_channel-13)*6e6 AND f_hi > 470e6 + (al.physical_channel-14)*6e6 LEFT JOIN vd ON vd.physical_channel = al.physical_channel),
+ds AS (SELECT freq_id, f_lo, f_hi, count(*) AS n, bool_or(kept) AS k, bool_or(p) AS p, min(physical_channel) AS a, max(physical_channel) AS b FROM to_ GROUP BY 1, 2, 3),
+dr AS (SELECT freq_id, f_lo, f_hi, CASE WHEN k OR p THEN 'keep' WHEN n = 1 AND (f_hi > 608e6 OR f_lo < 470e6) THEN 'keep' ELSE 'discard' END AS disposition,
+ CASE WHEN k AND n=2 THEN 'edge shared: ch' || a || '/ch' || b WHEN k THEN 'kept allocation ch' || a WHEN p THEN 'pilot monitor, excised ch' || a WHEN n=2 THEN 'edge shared: ch' || a || '/ch' || b || ', both excised'
+  WHEN f_hi > 608e6 OR f_lo < 470e6 THEN 'band edge (shares non-DTV spectrum)' ELSE 'interior of excised ch' || a END AS reason FROM ds)"""
 
 
 def _dispositions(spark, d):
     df = valid(spark, d)
     kept = df.groupBy("physical_channel").agg((F.count_if("reject") / F.count(F.lit(1)) < 0.55).alias("kept"))
-    return policy.channel_dispositions(spark.range(783, 845).withColumnRenamed("id", "freq_id"), kept)
+    return policy.channel_dispositions(spark.range(492, 846).withColumnRenamed("id", "freq_id"), kept)
 
 
 @query("channel_dispositions", with_(FV) + _DISP + "SELECT * FROM dr")
@@ -349,19 +352,19 @@ def ranges(spark, d):
 def rate_band(spark, d):
     df = exposure.with_tails(V.detector_frames(spark, d), c("mu0"))
     u = bootstrap.unit_sums(df, ["physical_channel"], "event_id", {"h": c("hi").cast("int"), "n": F.lit(1)})
-    return bootstrap.ratio_band(u, ["physical_channel"], "event_id", "h", "n", replicates=20, max_rows=bound(spark, d))
+    return bootstrap.ratio_band(u, ["physical_channel"], "event_id", "h", "n", replicates=300, max_rows=bound(spark, d))
 
 
 @query("bootstrap_core_mean_error")
 def core_error(spark, d):
     df = exposure.with_tails(V.detector_frames(spark, d), c("mu0")).where("core")
     u = bootstrap.unit_sums(df, ["physical_channel"], "event_id", {"s": c("f"), "n": F.lit(1)})
-    return bootstrap.ratio_band(u, ["physical_channel"], "event_id", "s", "n", replicates=20, seed=11, max_rows=bound(spark, d))
+    return bootstrap.ratio_band(u, ["physical_channel"], "event_id", "s", "n", replicates=300, seed=11, max_rows=bound(spark, d))
 
 
 @query("bootstrap_high_quantile")
 def high_quantile(spark, d):
-    return bootstrap.weighted_high_quantile(valid(spark, d), ["physical_channel"], "event_id", "f", replicates=20, max_rows=bound(spark, d))
+    return bootstrap.weighted_high_quantile(valid(spark, d), ["physical_channel"], "event_id", "f", replicates=300, max_rows=bound(spark, d))
 
 
 def _stepped(spark, d):

@@ -346,9 +346,9 @@ def centre_bin(spark, d):
 
 def _stored(spark, d):
     """Stored spectra of each channel: healthy power spread over the shape of
-    one label's spectrum, plus the constant of the ceiling frames."""
+    the spectra of the labels that fall to it, plus the constant of the ceiling frames."""
     counts = P.ceiling_counts(gate.with_reasons(V.detector_frames(spark, d)))
-    shape = V.spectrum(spark, d).where("spectrum_id < 4").select((c("spectrum_id") + 14).cast("int").alias("physical_channel"), "bin", "power")
+    shape = V.spectrum(spark, d).groupBy((c("spectrum_id") % 4 + 14).cast("int").alias("physical_channel"), "bin").agg(F.sum("power").alias("power"))
     total = shape.groupBy("physical_channel").agg(F.sum("power").alias("_t"))
     j = shape.join(total, "physical_channel").join(F.broadcast(counts), "physical_channel")
     dc = lambda n: F.when(c("bin") == 0, c(n) * 128.0 * NB * NB).otherwise(0.0)
@@ -357,7 +357,8 @@ def _stored(spark, d):
 
 
 CORR = """, ck AS (SELECT physical_channel, coalesce(sum(baseband_power) FILTER (len(reasons)=0 AND valid), 0) AS pb, coalesce(sum(baseband_power) FILTER (len(reasons)=0 AND valid AND NOT reject), 0) AS pa FROM g GROUP BY 1),
-sh AS (SELECT CAST(spectrum_id+14 AS INT) AS physical_channel, bin, power, sum(power) OVER (PARTITION BY spectrum_id) AS t FROM spec WHERE spectrum_id < 4)"""
+sp AS (SELECT CAST(spectrum_id % 4 + 14 AS INT) AS physical_channel, bin, sum(power) AS power FROM spec GROUP BY 1, 2),
+sh AS (SELECT *, sum(power) OVER (PARTITION BY physical_channel) AS t FROM sp)"""
 
 
 @query("health_corrected_spectra", with_(FRAMES, SPECTRUM) + GATE + CORR + """

@@ -10,7 +10,7 @@ from ..functions import clock, keys
 from ..operators import align, assignment, blocks, evidence, quality as K, spectra as P
 from ..session import ensure_checkpoint_dir
 from ..sources import inventory, products, views as V
-from ..sources.tables import row_bound, table
+from ..sources.tables import row_bound, stream_table, table
 from ..streaming import incremental, windows
 from .distribution_queries import rounded
 from .fine_queries import calibrated
@@ -230,8 +230,7 @@ def stream_power(spark, d):
 @query("streaming_spectrum_accumulator", with_(FINE) + """
 SELECT physical_channel, CAST(bin AS INT) AS bin, round(sum(x), 3) AS before, round(coalesce(sum(x) FILTER (x <= 1.05::DOUBLE), 0), 3) AS after, count(*) AS n FROM fine GROUP BY 1, 2""")
 def stream_spectrum(spark, d):
-    layout = table(spark, d, "embeddings").schema
-    e = spark.readStream.schema(layout).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
+    e = stream_table(spark, d, "embeddings")
     b = e.select((F.lit(14) + c("label") % 4).cast("int").alias("physical_channel"), F.posexplode("embedding").alias("bin", "e"))
     x = (F.lit(1.0).cast("float") + c("e")).cast("double")
     b = b.select("physical_channel", "bin", x.alias("before"), F.when(x <= 1.05, x).otherwise(0.0).alias("after"))
@@ -244,7 +243,6 @@ SELECT unit_key, CASE WHEN bad THEN 0 ELSE n_frames END AS n_frames, CASE WHEN b
 def incremental_scan(spark, d):
     """Scans twice; the second call finds nothing new."""
     root = scratch(spark, "scan")
-    layout = table(spark, d, "lineitem").schema
 
     def process(good):
         return good.groupBy("unit_key").agg(F.count(F.lit(1)).alias("n_frames"), F.sum("baseband_power").alias("power_sum"))
@@ -254,8 +252,9 @@ def incremental_scan(spark, d):
         q = (df.writeStream.foreachBatch(incremental.upsert_units(process, f"{root}/out", f"{root}/bad", c("baseband_power") > 127))
              .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
         q.awaitTermination()
-    good = spark.read.parquet(f"{root}/out").select("unit_key", "n_frames", F.round("power_sum", 4).alias("power_sum"), F.lit(False).alias("quarantined"))
-    bad = spark.read.parquet(f"{root}/bad").select("unit_key", F.lit(0).cast("long").alias("n_frames"), F.lit(0.0).alias("power_sum"), F.lit(True).alias("quarantined"))
+    parts = incremental.saved(spark, f"{root}/out", f"{root}/bad")
+    good = parts.groupBy("unit_key").agg(F.sum("n_frames").alias("n_frames"), F.round(F.sum("power_sum"), 4).alias("power_sum"), F.lit(False).alias("quarantined"))
+    bad = incremental.refused_units(spark, f"{root}/bad").select("unit_key", F.lit(0).cast("long").alias("n_frames"), F.lit(0.0).alias("power_sum"), F.lit(True).alias("quarantined"))
     return good.unionByName(bad)
 
 

@@ -14,15 +14,21 @@ from .registry import query
 c = F.col
 
 
+def grouped_trials(spark, d):
+    """Trials under the numbers 0 to 996, so that a trial has rows over the whole grid."""
+    return V.trials(spark, d).withColumn("trial", c("trial") % 997)
+
+
 def bound(spark, d):
     return row_bound(spark, d, "lineitem")
 
 
 @query("paired_trials", with_(TRIALS) + """
-, p AS (SELECT trial FROM trials WHERE snr_db <= 2 GROUP BY 1 HAVING count(DISTINCT snr_db) = 3)
-SELECT trial, snr_db, count(*) AS n FROM trials SEMI JOIN p USING (trial) WHERE snr_db <= 2 GROUP BY 1, 2""")
+, tt AS (SELECT trial % 997 AS trial, snr_db FROM trials),
+p AS (SELECT trial FROM tt GROUP BY 1 HAVING count(DISTINCT snr_db) = (SELECT count(DISTINCT snr_db) FROM tt))
+SELECT trial, snr_db, count(*) AS n FROM tt SEMI JOIN p USING (trial) GROUP BY 1, 2""")
 def paired(spark, d):
-    t = V.trials(spark, d).where("snr_db <= 2")
+    t = grouped_trials(spark, d)
     return T.paired_trials(t, "trial", "snr_db").groupBy("trial", "snr_db").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,8 +104,8 @@ def ks(spark, d):
 
 @query("paired_crossing_bootstrap")
 def crossing_bootstrap(spark, d):
-    t = T.paired_trials(V.trials(spark, d).where("snr_db IN (0, 5, 10)"), "trial", "snr_db")
-    return T.paired_crossing_bootstrap(t, "trial", "snr_db", "ratio", 1.004, 0.6, 50, 7, max_rows=bound(spark, d))
+    t = T.paired_trials(grouped_trials(spark, d), "trial", "snr_db")
+    return T.paired_crossing_bootstrap(t, "trial", "snr_db", "ratio", 1.004, 0.6, 300, 7, max_rows=bound(spark, d))
 
 
 _PTS = ", pt AS (SELECT snr_db AS amplitude, count(*) AS n_valid, avg(ratio-1) AS rho_hat, stddev_samp(ratio-1)/sqrt(count(*)) AS rho_sem, snr_db*snr_db AS injected_power FROM trials GROUP BY 1)"
@@ -219,4 +225,4 @@ def spearman(spark, d):
 @query("spearman_bootstrap")
 def spearman_bootstrap(spark, d):
     rec = S.associate_lines(V.lines(spark, d), V.census(spark, d), max_rows=part_bound(spark, d))
-    return S.spearman_bootstrap(S.offset_dispersion(rec, max_rows=part_bound(spark, d)), "mad_hz", "rms_hz", 100)
+    return S.spearman_bootstrap(S.offset_dispersion(rec, max_rows=part_bound(spark, d)), "mad_hz", "rms_hz", 300)

@@ -6,12 +6,13 @@ them with the same text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import clock, exact, geometry
 from ..operators.numbering import number_within
-from .tables import row_bound, table
+from .tables import row_bound, stream_table, table
 
 
 def frame_bound(spark: SparkSession, folder: str) -> int:
@@ -59,9 +60,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 def stream_frames(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """The same powers from a file stream, with data time ten milliseconds per
     event; frames are not numbered because a stream has no order."""
-    layout = table(spark, folder, "lineitem").schema
-    li = (spark.readStream.schema(layout).option("pathGlobFilter", "lineitem*.parquet")
-          .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    li = stream_table(spark, folder, "lineitem", maxFilesPerTrigger=files_per_trigger)
     return with_detector(_powers(_base(li))).withColumn("data_time", F.col("event_id") * 0.01)
 
 
@@ -104,11 +103,13 @@ def units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Integer samples of 128-sample frames: K = 8, 16 windows, one stream."""
+    """Integer samples of 128-sample frames: K = 8, 16 windows, one stream.
+
+    A frame is complete when all of its 128 samples are there; others are left out."""
     ev, c = table(spark, folder, "events"), F.col
-    whole = row_bound(spark, folder, "events") // 128 * 128
     e = c("event_id")
-    return ev.where(e < whole).select(
+    held = F.count(F.lit(1)).over(W.partitionBy(F.floor(e / 128)))
+    return ev.withColumn("_held", held).where("_held = 128").select(
         F.floor(e / 128).cast("int").alias("frame"), (e % 128).cast("int").alias("n"),
         F.floor((e % 128) / 8).cast("int").alias("win"), (e % 8).cast("int").alias("k"),
         (F.round(c("value") * 100).cast("long") % 16 - 8).alias("re"),

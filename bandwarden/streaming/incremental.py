@@ -6,44 +6,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
-
-
-def _handled(spark: SparkSession, path: str, key: DataFrame, batch_id: int) -> DataFrame | None:
-    """Keys written by other batches; the layout is given because a table of
-    empty batches has no file to read it from."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    layout = StructType([*key.schema.fields, StructField("batch_id", LongType())])
-    return spark.read.schema(layout).parquet(path).where(F.col("batch_id") != batch_id).select(*key.columns).distinct()
+from pyspark.sql.types import StructType
 
 
 def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine: str, problem: F.Column | None = None,
                  key: str = "unit_key", cap: int | None = None) -> Callable[[DataFrame, int], None]:
     """Batch function of a scan that is safe to repeat.
 
-    Units already saved or quarantined are taken out by anti-joins, a unit
-    with a ``problem`` goes to quarantine whole, and each batch writes into a
-    partition named after its number, so a replayed batch overwrites itself."""
+    The stream's checkpoint hands every row to one batch, so a unit may be spread over any number of batches: each
+    writes its own part.  A unit with a ``problem`` in any batch is quarantined whole, which ``saved`` applies when it
+    reads, and so is every unit of a batch whose processing raises.  Frames from ``cap`` on are not processed, and their
+    units are reported as capped.  A batch writes into partitions named after its number; a replay overwrites itself,
+    and no batch reads what others have written."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        todo = batch
-        for path in (out, quarantine):
-            done = _handled(spark, path, batch.select(key), batch_id)
-            if done is not None:
-                todo = todo.join(done, key, "left_anti")
-        if cap is not None:
-            todo = todo.where(F.col("frame_in_unit") < cap)
-        bad = todo.where(problem).select(key).distinct() if problem is not None else todo.select(key).limit(0)
-        good = todo.join(bad, key, "left_anti")
-        write = lambda df, path: (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-                                  .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-        write(process(good), out)
-        write(bad.withColumn("error", F.lit("refused")).withColumn("failed", F.lit(False)), quarantine)
+        batch = batch.persist()
+        try:
+            bad = batch.where(problem).select(key).distinct() if problem is not None else batch.select(key).limit(0)
+            good = batch.join(bad, key, "left_anti")
+            if cap is not None:
+                good = good.where(F.col("frame_in_unit") < cap)
+            refused = bad.select(key, F.lit("refused").alias("error"), F.lit(False).alias("failed"))
+            try:
+                _write(process(good), out, batch_id)
+            except Exception as problem_of_batch:  # the scan goes on; the units stay visible as failed
+                refused = batch.select(key).distinct().select(
+                    key, F.lit(type(problem_of_batch).__name__).alias("error"), F.lit(True).alias("failed"))
+            if cap is not None:
+                over = batch.where(F.col("frame_in_unit") >= cap).select(key).distinct()
+                refused = refused.unionByName(over.select(key, F.lit("capped").alias("error"), F.lit(False).alias("failed")))
+            _write(refused, quarantine, batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
+
+
+def refused_units(spark: SparkSession, quarantine: str, key: str = "unit_key") -> DataFrame:
+    """Units that were refused or whose processing failed, with the reasons."""
+    rows = spark.read.parquet(quarantine).where("error <> 'capped'")
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set("error")).alias("errors"), F.bool_or("failed").alias("failed"))
+
+
+def saved(spark: SparkSession, out: str, quarantine: str, key: str = "unit_key") -> DataFrame:
+    """Saved parts of the units that are not quarantined, flagged where frames beyond the cap were left out."""
+    bad = spark.read.parquet(quarantine)
+    capped = bad.where("error = 'capped'").select(key).distinct().withColumn("capped", F.lit(True))
+    parts = spark.read.parquet(out).join(refused_units(spark, quarantine, key), key, "left_anti")
+    return parts.join(capped, key, "left").withColumn("capped", F.coalesce("capped", F.lit(False)))
+
+
 def scan(spark: SparkSession, source: str, layout: StructType, checkpoint: str, out: str, quarantine: str,
          process: Callable[[DataFrame], DataFrame], problem=None, files_per_trigger: int = 100, key: str = "unit_key",
          cap: int | None = None) -> StreamingQuery:
