@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import materialize
 from .gate import require_empty
-from .numbering import global_number
+from .numbering import total_before
 
 IDENTITY = ("event_id", "frame_in_unit")
 
@@ -52,10 +53,17 @@ def drop_counts(df: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) - F.count("_c")).alias("n_dropped"))
 
 
-def numbered_identities(df: DataFrame, order: tuple[str, ...] = ("unit_time0", "event_id", "frame_in_unit")) -> DataFrame:
-    """Common identities with a contiguous ``frame_index`` in survey order."""
+def numbered_identities(df: DataFrame) -> DataFrame:
+    """Common identities with a contiguous ``frame_index`` by event start, event and frame.
+
+    Only events, of which there are far fewer than frames, are put in order: an event's first number is the count of
+    identities in the events before it."""
     ids = common_identities(df, F.min("unit_time0").alias("unit_time0"))
-    return global_number(ids, order, "frame_index").drop("unit_time0")
+    ids = materialize(ids)
+    events = ids.groupBy("event_id").agg(F.min("unit_time0").alias("unit_time0"), F.count(F.lit(1)).alias("_n"))
+    starts = total_before(events, ["unit_time0", "event_id"], "_n", "_start").select("event_id", "_start")
+    place = F.row_number().over(W.partitionBy("event_id").orderBy("frame_in_unit")) - 1
+    return ids.withColumn("_p", place).join(starts, "event_id").select(*IDENTITY, (F.col("_start") + F.col("_p")).alias("frame_index"))
 
 
 def align_and_number(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Block job: packed samples to frame products, and its relational twin.
 
 A block is one binary payload of packed samples, time-major over streams.  The
-payload is cut into frames by Spark; each Arrow batch of frames is reduced with
-a few NumPy calls, so nothing larger than a batch is ever held.
+payload is cut into frames by Spark; the frames of an Arrow batch are reduced a few
+at a time, so what NumPy holds follows one frame and not the batch.
 """
 from __future__ import annotations
 
@@ -35,8 +35,8 @@ def rank_violations(blocks: DataFrame, nfft: int) -> DataFrame:
 def pack_frames(samples: DataFrame, keys: list[str], order: str, byte: Column) -> DataFrame:
     """Binary payload from sample rows; a key holds one bounded block."""
     cells = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), byte.alias("b"))))
-    text = F.array_join(F.transform(cells, lambda s: F.lpad(F.hex(s["b"].cast("long")), 2, "0")), "")
-    return samples.groupBy(*keys).agg(F.unhex(text).alias("payload"))
+    text = F.array_join(F.transform(cells, lambda s: F.char(s["b"].cast("long"))), "")  # one Latin-1 letter per byte
+    return samples.groupBy(*keys).agg(F.encode(text, "ISO-8859-1").alias("payload"))
 
 
 def with_row_index(samples: DataFrame, window: int, windows: int, stream: Column, sense: Column | None = None) -> DataFrame:
@@ -79,25 +79,52 @@ def quantize(df: DataFrame, re: str, im: str, keys: list[str], clip_sigma: float
 
 # --- batch kernels -----------------------------------------------------------
 
+CHUNK_SAMPLES = 1 << 22  # samples worked on at once, whatever the Arrow batch holds
+
+
 def unpack(payloads, streams: int) -> np.ndarray:
-    """Complex samples ``[frame, time, stream]`` of equally long payloads."""
+    """Small-integer parts ``[frame, time, stream]`` of equally long payloads."""
     raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1, streams)
-    return (raw >> 4).astype(np.int64) - 8, (raw & 15).astype(np.int64) - 8
+    return (raw >> 4).astype(np.int8) - np.int8(8), (raw & 15).astype(np.int8) - np.int8(8)
+
+
+def few_frames(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of equal payload length, no more at a time than ``CHUNK_SAMPLES`` hold (one frame at least)."""
+    for size, same in frame.groupby(frame["payload"].map(len), sort=False):
+        step = max(1, CHUNK_SAMPLES // max(1, size))
+        for at in range(0, len(same), step):
+            yield same.iloc[at:at + step]
 
 
 def project(re: np.ndarray, im: np.ndarray, wr: np.ndarray, wi: np.ndarray, inverted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Exact integer sums ``x * conj(w)`` per (frame, term, stream, window)."""
+    """Exact integer sums ``x * conj(w)`` per (frame, term, stream, window).
+
+    Windows are multiplied a block at a time in floating point, which is exact here: a sum stays below
+    2 * 8 * k * max|w|, and single precision is used only where that is below 2**24."""
     frames, time, streams = re.shape
-    k = wr.shape[1]
-    shape = lambda x: np.moveaxis(x.reshape(frames, time // k, k, streams), 3, 1)
-    xr, xi = shape(re), shape(im)
-    if inverted:
-        xr, xi = xr[..., ::-1], xi[..., ::-1]
-    zr = np.einsum("fswk,tk->ftsw", xr, wr) + np.einsum("fswk,tk->ftsw", xi, wi)
-    zi = np.einsum("fswk,tk->ftsw", xi, wr) - np.einsum("fswk,tk->ftsw", xr, wi)
+    terms, k = wr.shape
+    kind = np.float32 if 16 * k * max(1, np.abs(wr).max(), np.abs(wi).max()) < 1 << 24 else np.float64
+    ar, ai = (w[:, ::-1].astype(kind) if inverted else w.astype(kind) for w in (wr, wi))
+    windows = time // k
+    zr = np.empty((frames, terms, streams, windows), np.int64)
+    zi = np.empty_like(zr)
+    step = max(1, CHUNK_SAMPLES // max(1, frames * k * streams))
+    for at in range(0, windows, step):
+        part = slice(at * k, min(at + step, windows) * k)
+        xr, xi = (x[:, part].reshape(frames, -1, k, streams).astype(kind) for x in (re, im))
+        for out, one in ((zr, ar @ xr + ai @ xi), (zi, ar @ xi - ai @ xr)):
+            out[..., at:at + step] = one.transpose(0, 2, 3, 1)
     return zr, zi
 
 
+def mean_power(re: np.ndarray, im: np.ndarray) -> np.ndarray:
+    """Mean of |x|^2 per frame from the counts of the 256 sample values."""
+    r, i = np.divmod(np.arange(256), 16)
+    level = (r - 8) ** 2 + (i - 8) ** 2
+    codes = ((re.astype(np.uint8) + np.uint8(8)) << 4) | (im.astype(np.uint8) + np.uint8(8))
+    return np.array([np.bincount(c.ravel(), minlength=256) @ level / c.size for c in codes])
+
+
 Detector = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
 
 
@@ -121,7 +148,7 @@ def detect_frames(frames: DataFrame, weights: DataFrame, keys: list[str], stream
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, same in pdf.groupby(pdf["payload"].map(len), sort=False):
+            for same in few_frames(pdf):
                 re, im = unpack(same["payload"].tolist(), streams)
                 zr, zi = detector(re, im, wr, wi, inverted)
                 power = (zr * zr + zi * zi).sum(axis=(2, 3))
@@ -133,7 +160,7 @@ def detect_frames(frames: DataFrame, weights: DataFrame, keys: list[str], stream
                 out = same[keys].copy()
                 out["p_target"], out["p_lower"], out["p_upper"] = power[:, 0], power[:, 1], power[:, 2]
                 out["p_ref_sum"] = power[:, 1] + power[:, 2]
-                out["baseband_power"] = (re * re + im * im).mean(axis=(1, 2))
+                out["baseband_power"] = mean_power(re, im)
                 out["fine_ratio"] = list(ratio.astype(np.float32))
                 yield out
 
@@ -147,7 +174,7 @@ def row_projections(frames: DataFrame, weights: DataFrame, keys: list[str], stre
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", term int, row int, zr long, zi long"
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (few for batch in batches for few in few_frames(batch)):
             re, im = unpack(pdf["payload"].tolist(), streams)
             zr, zi = project(re, im, wr, wi, inverted)
             f, t, s, w = zr.shape
@@ -197,12 +224,14 @@ def integrated_spectra(frames: DataFrame, keys: list[str], streams: int, valid:
 
     def run(batches):
         total: dict[tuple, list] = {}
-        for pdf in batches:
-            pdf = pdf[pdf[valid]]
+        for pdf in (few for batch in batches for few in few_frames(batch[batch[valid]])):
             for key, same in pdf.groupby(keys, sort=False):
                 re, im = unpack(same["payload"].tolist(), streams)
-                spec = np.fft.fft(re + 1j * im, axis=1)
-                power = (spec.real**2 + spec.imag**2).sum(axis=2)
+                power = np.zeros(re.shape[:2])
+                width = max(1, CHUNK_SAMPLES // max(1, re.shape[0] * re.shape[1]))
+                for at in range(0, streams, width):  # some streams at a time
+                    spec = np.fft.fft(re[:, :, at:at + width] + 1j * im[:, :, at:at + width], axis=1)
+                    power += (spec.real**2 + spec.imag**2).sum(axis=2)
                 kept = ~same[reject].to_numpy(bool)
                 one = [power.sum(axis=0), power[kept].sum(axis=0), len(same), int(kept.sum())]
                 old = total.get(key)
@@ -224,13 +253,16 @@ def coarse_marginal(frames: DataFrame, keys: list[str], streams: int, window: in
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", band_power double, marginal array<double>"
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (few for batch in batches for few in few_frames(batch)):
             re, im = unpack(pdf["payload"].tolist(), streams)
-            x = (re + 1j * im).reshape(len(pdf), -1, window, streams)
-            spec = np.fft.fft(x, axis=2)
+            total, width = np.zeros((len(pdf), window)), max(1, CHUNK_SAMPLES // max(1, re.shape[0] * re.shape[1]))
+            for at in range(0, streams, width):  # some streams at a time
+                x = (re[:, :, at:at + width] + 1j * im[:, :, at:at + width]).reshape(len(pdf), re.shape[1] // window, window, -1)
+                spec = np.fft.fft(x, axis=2)
+                total += (spec.real**2 + spec.imag**2).sum(axis=(1, 3))
             out = pdf[keys].copy()
-            out["band_power"] = (re * re + im * im).mean(axis=(1, 2))
-            out["marginal"] = list((spec.real**2 + spec.imag**2).mean(axis=(1, 3)))
+            out["band_power"] = mean_power(re, im)
+            out["marginal"] = list(total / (re.shape[1] // window * streams))
             yield out
 
     return frames.select(*keys, "payload").mapInPandas(run, schema)

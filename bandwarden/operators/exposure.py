@@ -37,22 +37,21 @@ def _declared(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def exposure_bins(df: DataFrame, include: Column, duration: Column | None = None) -> DataFrame:
     """Frames and seconds per (channel, coordinate, label); declared labels are
-    all present.  Frames are first counted per (channel, time), which is small
-    before the labels fan out."""
+    all present.  Each task fans its frames out to their few labels and adds them
+    up, so what is shuffled is one row per label and task."""
     dur = C.FRAME_SECONDS if duration is None else duration
     dur = F.lit(dur) if isinstance(dur, float) else dur
     timed = dur.isNotNull() & (dur > 0)
     n, k = F.count(F.lit(1)), F.count_if
-    per_time = df.where(F.col("frame_time").isNotNull()).groupBy("physical_channel", "frame_time").agg(
-        n.alias("s"), k(include).alias("i"), k(timed).alias("st"), k(timed & include).alias("it"),
-        F.sum(F.when(timed, dur).otherwise(0.0)).alias("ss"), F.sum(F.when(timed & include, dur).otherwise(0.0)).alias("is"))
     out = (
-        per_time.select("physical_channel", F.explode(exposure_labels(F.col("frame_time"))).alias("l"),
-                        "s", "i", "st", "it", "ss", "is")
+        df.where(F.col("frame_time").isNotNull())
+        .select("physical_channel", include.alias("_in"), timed.alias("_timed"), dur.alias("_dur"),
+                F.explode(exposure_labels(F.col("frame_time"))).alias("l"))
         .groupBy("physical_channel", "l.coordinate", "l.label")
-        .agg(F.sum("s").alias("stored_frames"), F.sum("i").alias("included_frames"),
-             F.sum("st").alias("stored_with_duration"), F.sum("it").alias("included_with_duration"),
-             F.sum("ss").alias("stored_seconds"), F.sum("is").alias("included_seconds")))
+        .agg(n.alias("stored_frames"), k("_in").alias("included_frames"),
+             k("_timed").alias("stored_with_duration"), k(F.col("_timed") & F.col("_in")).alias("included_with_duration"),
+             F.sum(F.when(F.col("_timed"), F.col("_dur")).otherwise(0.0)).alias("stored_seconds"),
+             F.sum(F.when(F.col("_timed") & F.col("_in"), F.col("_dur")).otherwise(0.0)).alias("included_seconds")))
     full = out.join(_declared(df, ["physical_channel"]), ["physical_channel", "coordinate", "label"], "full")
     full = full.fillna(0).withColumn("excluded_frames", F.col("stored_frames") - F.col("included_frames"))
     return full.withColumn("excluded_seconds", F.col("stored_seconds") - F.col("included_seconds"))

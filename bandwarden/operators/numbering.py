@@ -70,6 +70,16 @@ def global_number(df: DataFrame, order: Sequence[str], name: str, first: int = 0
     return numbered.drop("_all").withColumn(name, F.col(name) + first)
 
 
+def total_before(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each row in ``order``, computed over all tasks."""
+    runs = materialize(df.repartitionByRange(*[F.col(o) for o in order]).withColumn("_run", F.spark_partition_id()))
+    shift = runs.groupBy("_run").agg(F.sum(value).alias("_s")).withColumn(
+        "_s", F.coalesce(F.sum("_s").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = W.partitionBy("_run").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = runs.withColumn("_l", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(shift, "_run").select(*df.columns, (F.col("_l") + F.col("_s")).alias(name))
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
                  max_rows: int | None = None, limit: int = C.HOT_GROUP_ROWS) -> DataFrame:
     """Inclusive running sums ``cum_<name>`` and totals ``all_<name>`` over

@@ -34,17 +34,16 @@ def superset_counts(sig: DataFrame, bits: int) -> DataFrame:
     """For each observed signature S: events whose signature contains S, and
     the channels all of them share.
 
-    Sums over supersets one bit at a time: a row with the bit also counts
-    towards the signature without it.  Every step is one partial aggregation
-    over at most 2**bits keys; no pairs of signatures are formed."""
-    acc = sig.select("signature", F.col("n_events").alias("total"), F.col("signature").alias("closed"))
-    for i in range(bits):
-        b = 1 << i
-        has = F.col("signature").bitwiseAND(F.lit(b)) != 0
-        targets = F.when(has, F.array("signature", F.col("signature") - F.lit(b))).otherwise(F.array("signature"))
-        acc = (acc.select(F.explode(targets).alias("signature"), "total", "closed")
-               .groupBy("signature").agg(F.sum("total").alias("total"), F.bit_and("closed").alias("closed")))
-    return acc.join(sig.select("signature"), "signature", "left_semi")
+    A signature meets the observed signatures that hold its rarest channel, and of these the ones that contain it are
+    added up; signatures that nobody observed are never formed."""
+    held = lambda s: F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit(s, i) == 1)
+    wide = sig.select("signature", "n_events", F.explode(F.concat(F.array(F.lit(-1)), held(F.col("signature")))).alias("bit"))
+    common = wide.groupBy("bit").agg(F.count(F.lit(1)).alias("holders"))  # one row a channel, and one for all
+    rarest = wide.join(F.broadcast(common), "bit").groupBy("signature").agg(F.min_by("bit", F.struct("holders", -F.col("bit"))).alias("bit"))
+    over = rarest.alias("s").join(wide.alias("t"), "bit").where(
+        F.col("s.signature").bitwiseAND(F.col("t.signature")) == F.col("s.signature"))
+    return over.groupBy(F.col("s.signature").alias("signature")).agg(
+        F.sum("t.n_events").alias("total"), F.bit_and("t.signature").alias("closed"))
 
 
 def best_common_subset(sig: DataFrame, bits: int) -> DataFrame:
