@@ -1,4 +1,4 @@
-"""Block bootstrap over whole units with reproducible hash draws."""
+"""Block bootstrap over whole units with reproducible draws."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -12,6 +12,24 @@ from .quantiles import grouped_quantiles
 from .small import join_small
 
 
+_PRIME = 2147483647  # 2**31 - 1
+
+
+def draw(seed: int, replicate: Column | str, position: Column | str, size: Column | str) -> Column:
+    """Reproducible draw of 0 .. size - 1: two quadratic steps modulo a prime, in integers that any engine repeats."""
+    r, d, n = (F.col(x) if isinstance(x, str) else x for x in (replicate, position, size))
+    x = (r.cast("long") * 1000003 + d.cast("long") * 7919 + F.lit(seed * 104729 + 12345).cast("long")) % _PRIME
+    x = (x * x + x * 48271 + 1) % _PRIME
+    return ((x * x + x * 69621 + 3) % _PRIME) % n
+
+
+def draw_sql(seed: int, table: str) -> str:
+    """The rows of ``table(replicate, d, u)`` with their draw as ``pick``, in SQL."""
+    first = f"SELECT *, (replicate::BIGINT*1000003 + d::BIGINT*7919 + {seed * 104729 + 12345}) % {_PRIME} AS x1 FROM {table}"
+    second = f"SELECT *, (x1*x1 + x1*48271 + 1) % {_PRIME} AS x2 FROM ({first})"
+    return f"SELECT *, ((x2*x2 + x2*69621 + 3) % {_PRIME}) % u AS pick FROM ({second})"
+
+
 def unit_sums(df: DataFrame, keys: Sequence[str], unit: str, sums: dict[str, Column]) -> DataFrame:
     return df.groupBy(*keys, unit).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
@@ -21,14 +39,14 @@ def resampled_sums(units: DataFrame, keys: Sequence[str], unit: str, sums: Seque
     """Sums over as many units as the group has, drawn with replacement, for
     each replicate.
 
-    Draw d of replicate r picks unit ``hash(seed, r, d) mod U``.  Draws are
+    Draw d of replicate r picks the unit of rank ``draw(seed, r, d)``.  Draws are
     counted per (replicate, unit rank) before they meet the units, so the join
     is an equi-join on the rank and the result one row per replicate."""
     ranked = materialize(number_within(units, keys, [unit], "_rank", max_rows=max_rows))
     size = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
     sized = join_small(ranked.select(*keys, F.col("_rank").alias("_d")), size, keys)
     draws = sized.select(*keys, "_u", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d", *keys), F.col("_u"))
+    pick = draw(seed, "replicate", "_d", "_u")
     times = draws.groupBy(*keys, "replicate", pick.alias("_rank")).agg(F.count(F.lit(1)).alias("_w"))
     return times.join(ranked, [*keys, "_rank"]).groupBy(*keys, "replicate").agg(
         *[F.sum(F.col(s) * F.col("_w")).alias(s) for s in sums])
@@ -58,7 +76,7 @@ def weighted_high_quantile(df: DataFrame, keys: Sequence[str], unit: str, value:
     size = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"))
     draws = join_small(ranked.select(*keys, F.col("_rank").alias("_d")), size, keys).select(
         *keys, "_u", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d", *keys), F.col("_u"))
+    pick = draw(seed, "replicate", "_d", "_u")
     times = materialize(draws.groupBy(*keys, "replicate", pick.alias("_rank")).agg(F.count(F.lit(1)).alias("w")).join(ranked, [*keys, "_rank"])
                         .select(*keys, "replicate", unit, "w", "n"))
     waiting = materialize(times.groupBy(*keys, "replicate").agg(F.sum(F.col("w") * F.col("n")).alias("total")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import stats
+from .bootstrap import draw
 from .numbering import number_within, running_sums
 from .quantiles import grouped_quantiles
 from .small import join_scalar, join_small
@@ -96,14 +97,14 @@ def paired_crossing_bootstrap(df: DataFrame, trial: str, x: str, value: str, thr
     """Crossing of resampled trials, one resample shared by all grid values.
 
     ``df`` is paired.  Each trial becomes one row of outcomes per grid value;
-    draws pick trial ranks by hash, are counted first, and meet the trials in
+    draws pick trial ranks, are counted first, and meet the trials in
     an equi-join."""
     hits = df.groupBy(trial, x).agg(F.max((F.col(value) > threshold).cast("int")).alias("hit"))
     ids = number_within(hits.select(F.lit(0).alias("_g"), trial).distinct(), ["_g"], [trial], "_rank", max_rows=max_rows)
     n = ids.agg(F.count(F.lit(1)).alias("_n"))
     draws = join_scalar(ids.select(F.col("_rank").alias("_d")), n).select(
         "_n", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_d"), F.col("_n"))
+    pick = draw(seed, "replicate", "_d", "_n")
     times = draws.groupBy("replicate", pick.alias("_rank")).agg(F.count(F.lit(1)).alias("w")).join(ids, "_rank")
     rates = hits.join(times.select(trial, "replicate", "w"), trial).groupBy("replicate", x).agg(
         (F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("rate"))

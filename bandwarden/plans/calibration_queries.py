@@ -18,6 +18,9 @@ FV = FRAMES + ",\nfv AS MATERIALIZED (SELECT * FROM v WHERE valid)"
 SOLAR = "CAST(floor((((unit_time0/3600.0::DOUBLE - 119.6175::DOUBLE/15.0) % 24.0::DOUBLE) + 24.0::DOUBLE) % 24.0::DOUBLE) AS INT)"
 
 
+_ETAS = ", ".join(f"{e}::DOUBLE" for e in C.ETA_LADDER)
+
+
 def bound(spark, d):
     return V.frame_bound(spark, d)
 
@@ -79,7 +82,23 @@ def diurnal(spark, d):
     return rounded(Z.diurnal_mask_profile(V.detector_frames(spark, d), hour), "mask_fraction")
 
 
-@query("half_sample_mode")
+# The mode by halving sorted lists until three values remain.
+_MODE = """, RECURSIVE_MARK hv AS (
+ SELECT physical_channel, list(f ORDER BY f) AS v FROM v WHERE healthy GROUP BY 1
+ UNION ALL
+ SELECT physical_channel, v[p:p + k - 1] FROM (
+  SELECT physical_channel, v, k, list_position(w, list_min(w)) AS p FROM (
+   SELECT physical_channel, v, k, list_transform(list_zip(v[k:], v[:len(v) - k + 1]), lambda z: z[1] - z[2]) AS w
+   FROM (SELECT *, (len(v) + 1) // 2 AS k FROM hv WHERE len(v) > 3)))),
+hm AS (SELECT physical_channel, CASE WHEN len(v) < 3 THEN list_avg(v) WHEN v[3]-v[2] = v[2]-v[1] THEN v[2] WHEN v[3]-v[2] > v[2]-v[1] THEN (v[1]+v[2])/2 ELSE (v[2]+v[3])/2 END AS mode
+ FROM hv WHERE len(v) <= 3)"""
+
+
+def with_mode(sql: str) -> str:
+    return with_(FV).replace("WITH ", "WITH RECURSIVE ", 1) + _MODE.replace("RECURSIVE_MARK ", "") + sql
+
+
+@query("half_sample_mode", with_mode("SELECT physical_channel, mode FROM hm"))
 def hsm(spark, d):
     return Z.half_sample_mode(V.detector_frames(spark, d).where("healthy"), ["physical_channel"], "f", max_rows=bound(spark, d))
 
@@ -96,9 +115,6 @@ def null_scale(spark, d):
     return rounded(rounded(out, "mu", "sigma", "floor_eta", "floor_db"), "spread", digits=6)
 
 
-_ETAS = ", ".join(f"{e}::DOUBLE" for e in C.ETA_LADDER)
-
-
 @query("threshold_ladder_about_median", with_(FV) + f"""
 , m AS (SELECT physical_channel, quantile_cont(f, 0.5) AS mu, min(mu0) AS mu0, count(*) AS n_frames, count(*) FILTER (f > mu0)/count(*) AS occupancy_provisional FROM fv GROUP BY 1),
 x AS (SELECT *, unnest([{_ETAS}]) AS eta FROM m)
@@ -111,12 +127,18 @@ def ladder(spark, d):
     return rounded(out, "mu", "mu_shift_db", "occupancy_provisional", "occupancy", "leak_p99_db")
 
 
-@query("calibration_ladder")
+@query("calibration_ladder", with_mode(f"""
+, fh AS (SELECT * FROM v WHERE healthy), m AS (SELECT physical_channel, any_value(mode) AS mu, min(mu0) AS mu0, count(*) AS n_frames, count(*) FILTER (f > mu0)/count(*) AS occupancy_provisional FROM fh JOIN hm USING (physical_channel) GROUP BY 1),
+x AS (SELECT *, unnest([{_ETAS}]) AS eta FROM m)
+SELECT x.physical_channel, any_value(n_frames) AS n_frames, round(any_value(mu), 9) AS mu, round(10*log10(any_value(mu)/any_value(x.mu0)), 9) AS mu_shift_db,
+ abs(10*log10(any_value(mu)/any_value(x.mu0))) <= 0.2 AS null_available, round(any_value(occupancy_provisional), 9) AS occupancy_provisional, eta,
+ round(count(*) FILTER (f > eta*mu)/count(*), 9) AS occupancy, round(10*log10(quantile_cont(f, 0.99) FILTER (f <= eta*mu)/any_value(mu)), 9) AS leak_p99_db
+FROM x JOIN fh ON fh.physical_channel = x.physical_channel GROUP BY x.physical_channel, eta"""))
 def calibration(spark, d):
     """Ladder about the half-sample mode."""
     df = V.detector_frames(spark, d).where("healthy")
     mu = Z.half_sample_mode(df, ["physical_channel"], "f", max_rows=bound(spark, d)).withColumnRenamed("mode", "mu")
-    return Z.calibrate_ladder(df, mu, max_rows=bound(spark, d))
+    return rounded(Z.calibrate_ladder(df, mu, max_rows=bound(spark, d)), "mu", "mu_shift_db", "occupancy_provisional", "occupancy", "leak_p99_db")
 
 
 _DB = (0.0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.5, 1.0, 2.0, 3.0)
@@ -348,23 +370,42 @@ def ranges(spark, d):
     return policy.contiguous_ranges(_dispositions(spark, d), ["disposition"])
 
 
-@query("bootstrap_rate_band")
+def _band_sql(num: str, where: str, seed: int) -> str:
+    return with_(FRAMES) + TAILS + f"""
+, u AS (SELECT physical_channel, event_id, {num} AS a, count(*) AS b, row_number() OVER (PARTITION BY physical_channel ORDER BY event_id) - 1 AS d,
+  count(*) OVER (PARTITION BY physical_channel) AS u FROM tl WHERE {where} GROUP BY 1, 2),
+dr AS ({bootstrap.draw_sql(seed, "u, (SELECT unnest(range(300)) AS replicate)")}),
+rp AS (SELECT dr.physical_channel, replicate, sum(u.a)/greatest(sum(u.b), 1.0::DOUBLE) AS r FROM dr JOIN u ON u.physical_channel = dr.physical_channel AND u.d = dr.pick GROUP BY 1, 2)
+SELECT physical_channel, round(stddev_samp(r), 9) AS error, count(*) AS replicates, round(quantile_cont(r, 0.16), 9) AS low, round(quantile_cont(r, 0.84), 9) AS high FROM rp GROUP BY 1"""
+
+
+@query("bootstrap_rate_band", _band_sql("count(*) FILTER (hi)", "TRUE", 31))
 def rate_band(spark, d):
     df = exposure.with_tails(V.detector_frames(spark, d), c("mu0"))
     u = bootstrap.unit_sums(df, ["physical_channel"], "event_id", {"h": c("hi").cast("int"), "n": F.lit(1)})
-    return bootstrap.ratio_band(u, ["physical_channel"], "event_id", "h", "n", replicates=300, max_rows=bound(spark, d))
+    return rounded(bootstrap.ratio_band(u, ["physical_channel"], "event_id", "h", "n", replicates=300, max_rows=bound(spark, d)), "low", "high", "error")
 
 
-@query("bootstrap_core_mean_error")
+@query("bootstrap_core_mean_error", _band_sql("sum(f)", "core", 11))
 def core_error(spark, d):
     df = exposure.with_tails(V.detector_frames(spark, d), c("mu0")).where("core")
     u = bootstrap.unit_sums(df, ["physical_channel"], "event_id", {"s": c("f"), "n": F.lit(1)})
-    return bootstrap.ratio_band(u, ["physical_channel"], "event_id", "s", "n", replicates=300, seed=11, max_rows=bound(spark, d))
-
-
-@query("bootstrap_high_quantile")
+    out = bootstrap.ratio_band(u, ["physical_channel"], "event_id", "s", "n", replicates=300, seed=11, max_rows=bound(spark, d))
+    return rounded(out, "low", "high", "error")
+
+
+@query("bootstrap_high_quantile", with_(FV) + f"""
+, u AS (SELECT physical_channel, event_id, count(*) AS n, row_number() OVER (PARTITION BY physical_channel ORDER BY event_id) - 1 AS d,
+  count(*) OVER (PARTITION BY physical_channel) AS u FROM fv GROUP BY 1, 2),
+dr AS ({bootstrap.draw_sql(5, "u, (SELECT unnest(range(300)) AS replicate)")}),
+w AS (SELECT u.physical_channel, replicate, u.event_id, count(*) AS w, any_value(u.n) AS n FROM dr JOIN u ON u.physical_channel = dr.physical_channel AND u.d = dr.pick GROUP BY 1, 2, 3),
+t AS (SELECT physical_channel, replicate, sum(w*n) AS total FROM w GROUP BY 1, 2),
+x AS (SELECT physical_channel, replicate, f, sum(w) AS w FROM w JOIN fv USING (physical_channel, event_id) GROUP BY 1, 2, 3),
+c AS (SELECT physical_channel, replicate, f, sum(w) OVER (PARTITION BY physical_channel, replicate ORDER BY f) AS upto FROM x),
+rp AS (SELECT physical_channel, replicate, min(f) AS r FROM c JOIN t USING (physical_channel, replicate) WHERE upto >= 0.999::DOUBLE*total GROUP BY 1, 2)
+SELECT physical_channel, count(*) AS replicates, round(quantile_cont(r, 0.16), 9) AS low, round(quantile_cont(r, 0.84), 9) AS high FROM rp GROUP BY 1""")
 def high_quantile(spark, d):
-    return bootstrap.weighted_high_quantile(valid(spark, d), ["physical_channel"], "event_id", "f", replicates=300, max_rows=bound(spark, d))
+    return rounded(bootstrap.weighted_high_quantile(valid(spark, d), ["physical_channel"], "event_id", "f", max_rows=bound(spark, d)), "low", "high")
 
 
 def _stepped(spark, d):

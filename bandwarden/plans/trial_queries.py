@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..operators.bootstrap import draw_sql
 from ..operators import census as S, trials as T
 from ..sources import views as V
 from ..sources.tables import row_bound
@@ -102,10 +103,22 @@ def ks(spark, d):
     return rounded(out, "distance", "critical")
 
 
-@query("paired_crossing_bootstrap")
+@query("paired_crossing_bootstrap", with_(TRIALS) + f"""
+, tt AS (SELECT trial % 997 AS trial, snr_db, ratio FROM trials),
+p AS (SELECT trial FROM tt GROUP BY 1 HAVING count(DISTINCT snr_db) = (SELECT count(DISTINCT snr_db) FROM tt)),
+hi AS (SELECT trial, snr_db, max((ratio > 1.004::DOUBLE)::INT) AS hit FROM tt SEMI JOIN p USING (trial) GROUP BY 1, 2),
+ids AS (SELECT trial, row_number() OVER (ORDER BY trial) - 1 AS d, count(*) OVER () AS u FROM p),
+dr AS ({draw_sql(7, "ids, (SELECT unnest(range(300)) AS replicate)")}),
+w AS (SELECT replicate, ids.trial, count(*) AS w FROM dr JOIN ids ON ids.d = dr.pick GROUP BY 1, 2),
+rt AS (SELECT replicate, snr_db, sum(hit*w)/sum(w) AS rate FROM hi JOIN w USING (trial) GROUP BY 1, 2),
+mo AS (SELECT *, max(rate) OVER (PARTITION BY replicate ORDER BY snr_db) AS y FROM rt),
+lg AS (SELECT *, lag(y) OVER w AS y0, lag(snr_db) OVER w AS x0 FROM mo WINDOW w AS (PARTITION BY replicate ORDER BY snr_db)),
+h AS (SELECT replicate, x0 + (snr_db-x0)*(0.6::DOUBLE-y0)/(y-y0) AS e FROM lg WHERE y0 < 0.6::DOUBLE AND y >= 0.6::DOUBLE QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY snr_db) = 1)
+SELECT count(*) AS valid_replicates, round(quantile_cont(e, 0.025), 9) AS low, round(quantile_cont(e, 0.5), 9) AS median, round(quantile_cont(e, 0.975), 9) AS high FROM h HAVING count(*) > 0""")
 def crossing_bootstrap(spark, d):
     t = T.paired_trials(grouped_trials(spark, d), "trial", "snr_db")
-    return T.paired_crossing_bootstrap(t, "trial", "snr_db", "ratio", 1.004, 0.6, 300, 7, max_rows=bound(spark, d))
+    out = T.paired_crossing_bootstrap(t, "trial", "snr_db", "ratio", 1.004, 0.6, 300, 7, max_rows=bound(spark, d))
+    return rounded(out, "low", "median", "high")
 
 
 _PTS = ", pt AS (SELECT snr_db AS amplitude, count(*) AS n_valid, avg(ratio-1) AS rho_hat, stddev_samp(ratio-1)/sqrt(count(*)) AS rho_sem, snr_db*snr_db AS injected_power FROM trials GROUP BY 1)"
