@@ -177,3 +177,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op5_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW})),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM later),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS words, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""

@@ -6,10 +6,11 @@ matches it, earlier by ``doc_id`` and then by line number; lines are judged on t
 
 Method: tokens are ordered by rarity; two matching lines share a token among the rarest of each (prefix filter).  The
 place of the first shared token bounds the overlap (positional filter) and the sizes must be close (length filter);
-what is left is verified on whole sets.  Rarity is counted exactly, but only over lines that can match at all: under a
-hash order, a match shares at least ``need`` of the first ``n - ceil(0.8 n) + need`` tokens, and lines with too few
-such tokens in common with any other line are out.  Equal lines are one set with its first occurrence, so a line
-repeated a million times costs one set; larger groups are split into blocks and compared by pairs of blocks.
+what is left is verified on whole sets.  Rarity is counted exactly, but only over lines that can match at all and over
+their prefixes: under a hash order, a match shares at least ``need`` of the first ``n - ceil(0.8 n) + need`` tokens, and
+lines with too few such tokens in common with any other line are out.  Equal lines are one set with its first
+occurrence, so a line repeated a million times costs one set; larger groups are split into blocks and compared by pairs
+of blocks.
 """
 from __future__ import annotations
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ngram_join import FULL, SHINGLE, SIMILARITY, _lists, _overlaps, candidate_blocks, shared_least
+from .ngram_join import FULL, SHINGLE, SIMILARITY, _lists, _overlaps, candidate_blocks, shared_least, shingle_sql
 from .tables import batches, drop_written, table, written
 from .words import Words, as_long, mix, rolling, slices
 
-NEED_LEAST = 3
+NEED_LEAST, NEED_PART = 8, 8   # at least 8 tokens, or an eighth of the set
 
 LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("node", pa.binary()),
                    ("prefix", pa.list_(pa.int64()))])
@@ -34,7 +35,7 @@ NODE = "doc_id long, line int, n int, node binary, prefix array<long>"
 
 
 def needed(n):
-    return np.minimum(shared_least(n), np.maximum(NEED_LEAST, n // 16))
+    return np.minimum(shared_least(n), np.maximum(NEED_LEAST, n // NEED_PART))
 
 
 def prefix_length(n):
@@ -43,7 +44,7 @@ def prefix_length(n):
 
 def _need_column(n):
     least = F.ceil(n * F.lit(SIMILARITY) / F.lit(100))
-    return F.least(F.ceil(least * F.lit(SIMILARITY) / F.lit(100)), F.greatest(F.lit(NEED_LEAST), F.floor(least / 16)))
+    return F.least(F.ceil(least * F.lit(SIMILARITY) / F.lit(100)), F.greatest(F.lit(NEED_LEAST), F.floor(least / NEED_PART)))
 
 
 def line_shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +72,8 @@ def line_shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             owner.append(short)
             token.append(mix(rolling(h, k)[first[short]] + np.uint64(k)))
     owner, token = np.concatenate(owner), np.concatenate(token)
-    order = np.lexsort((token, owner))
+    # One key sorts by line and then by the upper 40 bits of the token, which never tie within a line but for copies.
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(24)), kind="stable")
     owner, token = owner[order], token[order]
     keep = np.ones(len(owner), bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
@@ -115,9 +117,12 @@ def _whole_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_tokens(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First occurrence of every set, and (node, token, place, rank) of the rare prefixes; place counts rarer tokens."""
+    """First occurrence of every set, and (node, token, sets, place) of the rare prefixes; place counts rarer tokens.
+
+    Tables with prefixes are large; each is deleted when the next step has been written, ``lines`` included."""
     nodes = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "n")).alias("first"), F.first("prefix").alias("prefix"))
                     .select("node", "first.doc_id", "first.line", "first.n", "prefix"))
+    drop_written(lines)
     key = F.xxhash64("node").alias("key")
     shared = written(nodes.select(F.explode("prefix").alias("token")).groupBy("token").count()
                      .where("count > 1").select("token", "count"))
@@ -125,8 +130,11 @@ def _rare_tokens(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
              .groupBy("key").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")))
     passed = written(found.where(F.size("tokens") >= _need_column(F.col("n"))).select("key", "tokens"))
     drop_written(shared)
+    firsts = written(nodes.select("node", "doc_id", "line"))
     rows = written(nodes.select("node", "n", key, F.size("prefix").alias("length")).join(passed, "key")
                    .select("node", "n", "length", F.explode("tokens").alias("token")))
+    drop_written(nodes)
+    drop_written(passed)
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     order = W.partitionBy("node").orderBy("sets", "token")
     ranked = (rows.join(counts, "token").withColumn("rank", F.row_number().over(order))
@@ -135,33 +143,36 @@ def _rare_tokens(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rare = written(ranked.where((F.col("shared") >= need) & (F.col("rank") <= F.col("shared") - need + 1))
                    .select("node", "token", "sets", (F.greatest(F.col("length") - F.col("shared"), F.lit(0)) + F.col("rank") - 1)
                            .cast("int").alias("place")))
-    return nodes.select("node", "doc_id", "line"), rare
+    drop_written(rows)
+    return firsts, rare
 
 
-def first_shared(rare: list[list[tuple[int, int, int]]], sizes: np.ndarray) -> np.ndarray:
+def first_shared(rare: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Pairs that pass the prefix and positional filters.
 
-    ``rare[i]``: (sets, token, place) of set i.  The first shared token in the order of rarity has ``place`` rarer
-    tokens before it on either side, none of them shared, so the overlap is at most the smaller of what follows."""
-    holders: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, own in enumerate(rare):
-        for sets, token, place in own:
-            holders.setdefault((sets, token), []).append((i, place))
+    ``rare[i]``: columns (sets, token, place) of set i.  The first shared token in the order of rarity has ``place``
+    tokens of the first-order prefix before it on either side, none of them in the other's prefix, so the prefixes share
+    at most the smaller of what follows, and a match shares ``needed`` of them."""
     m = len(rare)
+    flat = np.concatenate(rare)
+    owner = np.repeat(np.arange(m), [len(r) for r in rare])
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    flat, owner = flat[order], owner[order]
+    cuts = np.flatnonzero((np.diff(flat[:, 0], prepend=-1) != 0) | (np.diff(flat[:, 1], prepend=0) != 0))
     met, keep = np.zeros((m, m), bool), np.zeros((m, m), bool)
-    for token in sorted(holders):
-        who, place = (np.array(x) for x in zip(*holders[token]))
-        if len(who) < 2:
+    for a, e in zip(cuts, np.append(cuts[1:], len(flat))):
+        if e - a < 2:
             continue
+        who = owner[a:e]
         cell = np.ix_(who, who)
-        room = sizes[who] - place
-        least = -(-SIMILARITY * np.add.outer(sizes[who], sizes[who]) // (100 + SIMILARITY))
-        keep[cell] |= ~met[cell] & (np.minimum.outer(room, room) >= least)
+        room = prefix_length(sizes[who]) - flat[a:e, 2]
+        need = needed(sizes[who])
+        keep[cell] |= ~met[cell] & (np.minimum.outer(room, room) >= np.minimum.outer(need, need))
         met[cell] = True
     return np.triu(keep, 1)
 
 
-def block_matches(sets: list[np.ndarray], rare: list[list[tuple[int, int, int]]], side: np.ndarray, split: bool) -> np.ndarray:
+def block_matches(sets: list[np.ndarray], rare: list[np.ndarray], side: np.ndarray, split: bool) -> np.ndarray:
     """Matrix of the matching pairs (upper triangle); with ``split`` only pairs across the two sides."""
     sizes = np.array([len(s) for s in sets])
     keep = first_shared(rare, sizes)
@@ -178,7 +189,7 @@ def _matched_of_group(frame: pd.DataFrame) -> pd.DataFrame:
     """Sets of the group that have an earlier match in it."""
     frame = frame.sort_values(["doc_id", "line"], kind="stable").drop_duplicates("node")
     sets = [np.asarray(t, np.int64).view(np.uint64) for t in frame["tokens"]]
-    rare = [[(int(r["sets"]), int(r["token"]), int(r["place"])) for r in own] for own in frame["rare"]]
+    rare = [np.stack([np.asarray(c, np.int64) for c in own], 1) for own in zip(frame["counts"], frame["rare"], frame["places"])]
     keep = block_matches(sets, rare, frame["block"].to_numpy(), frame["low"].iloc[0] != frame["high"].iloc[0])
     nodes = frame["node"].tolist()  # in the order of first occurrences, so the row of a pair is the earlier one
     return pd.DataFrame({"node": [nodes[j] for j in np.flatnonzero(keep.any(axis=0))]})
@@ -187,16 +198,18 @@ def _matched_of_group(frame: pd.DataFrame) -> pd.DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line`` (from 0) of every line to remove; rows that repeat a ``doc_id`` are one document here."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(docs.mapInArrow(batches(_prefixes), NODE))
-    nodes, rare = _rare_tokens(lines)
+    full_lines = written(docs.mapInArrow(batches(_prefixes), NODE))
+    lines = written(full_lines.select("doc_id", "line", "node"))
+    nodes, rare = _rare_tokens(full_lines)
     placed, pairs = candidate_blocks(rare.select("node", "token"))
     wanted = written(nodes.join(placed.drop("split"), "node"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
     whole = docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(
         batches(_whole_sets), "doc_id long, node binary, tokens array<long>")
-    lists = rare.groupBy("node").agg(F.collect_list(F.struct("sets", "token", "place")).alias("rare"))
+    lists = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "token", "place"))).alias("r")).select(
+        "node", F.col("r.sets").alias("counts"), F.col("r.token").alias("rare"), F.col("r.place").alias("places"))
     full = written(whole.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).join(lists, "node")
-                   .select("node", "doc_id", "line", "tokens", "rare", "block"))
+                   .select("node", "doc_id", "line", "tokens", "counts", "rare", "places", "block"))
     either = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     matched = written(full.join(either, "block").groupBy("low", "high").applyInPandas(_matched_of_group, "node binary").distinct())
     verdict = nodes.join(matched.withColumn("matched", F.lit(True)), "node", "left").select(
@@ -239,4 +252,25 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_join(spark: SparkSession, folder: str) -> DataFrame:
-    return line_report(table(spark, folder, "documents"))
+    """The report, with the removed line numbers as text."""
+    report = line_report(table(spark, folder, "documents"))
+    return report.withColumn("removed", F.array_join("removed", ","))
+
+
+ORACLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+s AS (SELECT doc_id, line, {shingle_sql("txt")} AS grams FROM (
+  SELECT doc_id, unnest(ls) AS txt, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line FROM t)),
+first AS (SELECT grams, min({{'d': doc_id, 'l': line}}) AS pos, row_number() OVER () AS id FROM (
+  SELECT doc_id, line, list_sort(grams) AS grams FROM s WHERE len(grams) > 0) GROUP BY grams),
+g AS (SELECT id, pos, len(grams) AS n, unnest(grams) AS gram FROM first),
+m AS (
+  SELECT b.id FROM g a JOIN g b ON a.gram = b.gram AND a.pos < b.pos
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= {SIMILARITY} * (any_value(a.n) + any_value(b.n) - count(*))),
+gone AS (
+  SELECT doc_id, line FROM s JOIN first f ON f.grams = list_sort(s.grams)
+  WHERE f.pos <> {{'d': doc_id, 'l': line}} OR f.id IN (SELECT id FROM m)),
+r AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       coalesce(removed, '') AS removed
+FROM t LEFT JOIN r USING (doc_id)"""

@@ -247,3 +247,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+_FOLDED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def shingle_sql(text: str) -> str:
+    """List of the distinct shingles of a text, in SQL."""
+    ws = rf"regexp_extract_all({_FOLDED.format(text)}, '[^\x20\x09-\x0D]+')"
+    grams = f"list_transform(range(1, greatest(2, len(x.ws) - {SHINGLE - 2})), lambda i: array_to_string(x.ws[i:i + {SHINGLE - 1}], ' '))"
+    return f"(SELECT CASE WHEN len(x.ws) = 0 THEN [] ELSE list_distinct({grams}) END FROM (SELECT {ws} AS ws) x)"
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {shingle_sql("text")} AS grams FROM documents),
+g AS (SELECT doc_id, CAST(len(grams) AS BIGINT) AS n, unnest(grams) AS gram FROM d),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {SIMILARITY} * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id
+FROM d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id"""

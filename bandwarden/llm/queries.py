@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_search, line_rules, mixing
+from . import anchors, block_search, line_dedup, line_rules, mixing, ngram_join
 from .anchors import op5_difference_cover
 from .block_search import op8_block_pruning
 from .html_lstm import op7_block_labeller
@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_block_labeller, op8_block_pruning, op9_source_mixing, op10_line_join)
 }
 ORACLES: dict[str, str] = {
-    "op3_line_frequency": line_rules.ORACLE, "op8_block_pruning": block_search.ORACLE, "op9_source_mixing": mixing.ORACLE}
+    "op3_line_frequency": line_rules.ORACLE, "op4_ngram_jaccard": ngram_join.ORACLE, "op5_difference_cover": anchors.ORACLE,
+    "op8_block_pruning": block_search.ORACLE, "op9_source_mixing": mixing.ORACLE, "op10_line_join": line_dedup.ORACLE}

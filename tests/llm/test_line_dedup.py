@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+import numpy as np
 import pytest
 
 from bandwarden.llm import line_dedup as L
@@ -63,3 +65,39 @@ def test_edges(spark):
     assert got == [(1, 0, []), (2, 0, []), (3, 1, []), (3, 1, []), (4, 2, [0])]
     assert sorted((r.doc_id, r.text) for r in L.without_repeated_lines(docs).select("doc_id", "text").fillna("-").collect()) == [
         (1, "-"), (2, ""), (3, "x y"), (3, "x y"), (4, "z")]
+
+
+def test_filters_never_lose_a_match():
+    """Rare prefixes as the operator makes them: repeated tokens of the hash-order prefix, some shared beyond it."""
+    rng = np.random.default_rng(8)
+    hits = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(.7, 1)], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        linked = 100 * both >= 80 * (len(a) + len(b) - both)
+        prefixes = [x[:int(L.prefix_length(len(x)))] for x in (a, b)]
+        sets = {int(t): int(rng.integers(2, 9)) for t in np.concatenate(prefixes)}
+        shared = set(np.intersect1d(*prefixes).tolist()) | {t for t in sets if rng.random() < .1}
+        rare = []
+        for x, prefix in zip((a, b), prefixes):
+            mine = sorted((sets[int(t)], int(t)) for t in prefix if int(t) in shared)
+            need = int(L.needed(L.shared_least(len(x))))
+            rows = [(s, t, len(prefix) - len(mine) + i) for i, (s, t) in enumerate(mine)][:max(0, len(mine) - need + 1)]
+            rare.append(np.array(rows, np.int64).reshape(-1, 3))
+        found = all(map(len, rare)) and bool(L.block_matches([a, b], rare, np.array([0, 0]), False).any())
+        assert found == linked
+        hits += linked
+    assert hits > 150
+
+
+def test_matches_sql(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    want = sorted(con.sql(f"SELECT doc_id, n_lines, n_removed, removed FROM ({L.ORACLE})").fetchall())
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, ",".join(map(str, r.removed))) for r in L.line_report(spark.read.parquet(path)).collect())
+    assert got == want
