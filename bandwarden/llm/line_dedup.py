@@ -29,6 +29,8 @@ from .words import Words, as_long, mix, rolling, slices
 
 NEED_LEAST, NEED_PART = 8, 8   # at least 8 tokens, or an eighth of the set
 
+SPLIT = 768               # sets of a block of a large group; lines are short
+
 LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("node", pa.binary()),
                    ("prefix", pa.list_(pa.int64()))])
 NODE = "doc_id long, line int, n int, node binary, prefix array<long>"
@@ -201,7 +203,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     full_lines = written(docs.mapInArrow(batches(_prefixes), NODE))
     lines = written(full_lines.select("doc_id", "line", "node"))
     nodes, rare = _rare_tokens(full_lines)
-    placed, pairs = candidate_blocks(rare.select("node", "token"))
+    placed, pairs = candidate_blocks(rare.select("node", "token"), SPLIT)
     wanted = written(nodes.join(placed.drop("split"), "node"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
     whole = docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(

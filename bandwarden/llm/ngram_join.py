@@ -125,8 +125,11 @@ def _rare_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return passed.select("doc_id", "node").distinct(), rare
 
 
-def candidate_blocks(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Block of every candidate set, and the pairs of blocks to compare."""
+def candidate_blocks(rare: DataFrame, split: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Block of every candidate set, and the pairs of blocks to compare.
+
+    Small groups are pooled to blocks of about ``BLOCK`` sets; a larger group has blocks of at most about ``split``."""
+    split = split or BLOCK
     hubs = rare.groupBy("token").agg(F.min("node").alias("hub"))
     groups = components(rare.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -134,7 +137,7 @@ def candidate_blocks(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = groups.join(sizes, "root")
     total = placed.count()
     small = F.pmod(F.xxhash64("root"), F.lit(max(1, total // BLOCK)))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / split))
     placed = written(placed.select("node", F.when(large, F.xxhash64("root", part)).otherwise(small).alias("block"),
                                    large.alias("split")))
     tokens = (rare.join(placed.where("split").select("node", "block"), "node").select("token", "block").distinct())

@@ -35,6 +35,7 @@ def texts(seed=2):
 @pytest.mark.parametrize("block", [128, 8])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(L, "SPLIT", block)
     rows = [(d * 11 % 997, t) for d, t in enumerate(texts())]
     docs = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, line string, node int")
     assert lines_of(L.repeated_lines(docs)) == brute.repeated_lines(rows)
