@@ -21,7 +21,8 @@ from .tables import table, written
 TOKENS, SEGMENTS, LOSS_TOKENS = 4096, 128, 4096
 END_ID = 2
 GROUP = 4096             # examples of a packing task
-_CACHE_WORDS = 600_000   # words whose ids a task remembers; it starts afresh beyond
+_CACHE_WORDS = 700_000   # words whose ids a worker remembers from task to task; it starts afresh beyond
+_CACHE_RUNS = 400_000    # the same for runs of letters, digits or signs
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "tokens long, segments long, loss_tokens long")
@@ -67,6 +68,8 @@ class WordEncoder:
                 cut.append((word, self.runs(text.lower())))
             else:
                 other.append((word, text))
+        if len(self.known_runs) > _CACHE_RUNS:
+            self.known_runs = {}
         runs = list({r for _, parts in cut for r in parts if r not in self.known_runs})
         if runs:
             spelled = [r if r.isascii() else r.encode().decode("latin-1").translate(self.letters) for r in runs]
@@ -85,19 +88,29 @@ class WordEncoder:
         split = [r.split() for r in raw]
         missing = set().union(*split).difference(self.known)
         if len(self.known) + len(missing) > _CACHE_WORDS:
-            self.known, self.known_runs = {}, {}
+            self.known = {}
             missing = set().union(*split)
         self._learn(list(missing))
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The worker's encoder; what it has learned serves later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def document_pieces(path: str, limit: int):
     """``mapInArrow`` function: documents to pieces of at most ``limit`` ids; a null text is empty."""
     tail = np.array([END_ID], "<u4").tobytes()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         for batch in found:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, len(batch), 256):
