@@ -267,9 +267,10 @@ def training_pages(sample: list[str | None], seed: int = SEED) -> list[list[Bloc
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Labeller fitted on at most ``sample`` pages (the smallest hashes) and ``SAMPLE`` pages in other templates."""
-    chosen = (pages.select(F.col("html").cast("string").alias("html")).where("html IS NOT NULL")
-              .orderBy(F.xxhash64("html"), "html").limit(sample))
-    sets = training_pages([r.html for r in chosen.collect()])  # at most ``sample`` rows
+    texts = pages.select(F.col("html").cast("string").alias("html")).where("html IS NOT NULL").withColumn("key", F.xxhash64("html"))
+    keys = [r.key for r in texts.select("key").orderBy("key").limit(sample).collect()]  # hashes alone are ranked
+    chosen = texts.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()
+    sets = training_pages([r.html for r in chosen])  # at most ``sample`` rows
     return Labeller().fit([block_vectors(b) for b in sets], [np.array([teacher(x) for x in b], np.float64) for b in sets])
 
 
