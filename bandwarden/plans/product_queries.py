@@ -260,12 +260,15 @@ def incremental_scan(spark, d):
 
 # ----------------------------------------------------------------- assignment
 def _assigned(spark, d):
+    """Every unit against the events of its own day and copies, under negative ids, of most events that drifted off it."""
     u = V.units(spark, d)
     day = clock.utc_date(c("unit_time0"))
-    ev = u.select("physical_channel", c("event_id").alias("id"), c("event_id").alias("order"), day.alias("day"), "n_frames", c("scope").alias("event_class"))
     drift = F.date_add(day, (c("event_id") % 3 - 1).cast("int"))
-    un = u.where(c("event_id") % 4 != 0).select("physical_channel", c("event_id").alias("id"), c("unit_time0").cast("long").alias("order"), drift.alias("day"), "n_frames")
-    return assignment.assign_units(un, ev)
+    un = u.select("physical_channel", c("event_id").alias("id"), c("unit_time0").cast("long").alias("order"), drift.alias("day"), "n_frames")
+    ev = u.select("physical_channel", c("event_id").alias("id"), c("event_id").alias("order"), day.alias("day"), "n_frames", c("scope").alias("event_class"))
+    more = u.where((c("event_id") % 3 != 1) & (c("event_id") % 4 != 0)).select(
+        "physical_channel", (-c("event_id")).alias("id"), c("event_id").alias("order"), drift.alias("day"), "n_frames", c("scope").alias("event_class"))
+    return assignment.assign_units(un, ev.unionByName(more))
 
 
 @query("unit_event_assignment")
