@@ -2,7 +2,8 @@
 
 A line's tokens are its distinct five-word shingles, A-Z folded (a line with fewer words is one token); a line without
 words is left alone.  Two lines match when ``100 * |intersection| >= 80 * |union|``.  A line goes when any earlier line
-matches it, earlier by ``doc_id`` and then by line number; lines are judged on the input, not on what is left.
+matches it, earlier by ``doc_id`` and then by line number; lines are judged on the input, not on what is left.  Rows
+without an id come last, each text of them a document of its own, in the order of its hash.
 
 Method: tokens are ordered by rarity; two matching lines share a token among the rarest of each (prefix filter).  The
 place of the first shared token bounds the overlap (positional filter) and the sizes must be close (length filter);
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ngram_join import FULL, SHINGLE, SIMILARITY, _lists, _overlaps, candidate_blocks, shared_least, shingle_sql
+from .ngram_join import FULL, SHINGLE, SIMILARITY, _lists, _overlaps, candidate_blocks, row_key, shared_least, shingle_sql
 from .tables import batches, drop_written, table, written
 from .words import Words, as_long, mix, rolling, slices
 
@@ -31,9 +32,9 @@ NEED_LEAST, NEED_PART = 8, 8   # at least 8 tokens, or an eighth of the set
 
 SPLIT = 768               # sets of a block of a large group; lines are short
 
-LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("node", pa.binary()),
+LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("line", pa.int32()), ("n", pa.int32()), ("node", pa.binary()),
                    ("prefix", pa.list_(pa.int64()))])
-NODE = "doc_id long, line int, n int, node binary, prefix array<long>"
+NODE = "doc_id long, row binary, line int, n int, node binary, prefix array<long>"
 
 
 def needed(n):
@@ -102,7 +103,7 @@ def _prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cuts = np.zeros(len(n) + 1, np.int32)
         np.cumsum(length, out=cuts[1:])
         yield pa.record_batch([
-            batch.column("doc_id").take(pa.array(row + words.first)), pa.array(line, pa.int32()), pa.array(n, pa.int32()),
+            *(batch.column(c).take(pa.array(row + words.first)) for c in ("doc_id", "row")), pa.array(line, pa.int32()), pa.array(n, pa.int32()),
             _nodes(token, bounds), pa.ListArray.from_arrays(pa.array(cuts), pa.array(as_long(flat)))], schema=LINES)
 
 
@@ -114,16 +115,16 @@ def _whole_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = np.array([int(x) in wanted[r + words.first] for r, x in zip(row, line)], bool)
         nodes = _nodes(token, bounds)
         at = np.flatnonzero(keep)
-        yield pa.record_batch([batch.column("doc_id").take(pa.array(row[at] + words.first)), nodes.take(pa.array(at)),
-                               _lists([token[bounds[i]:bounds[i + 1]] for i in at])], schema=FULL)
+        yield pa.record_batch([nodes.take(pa.array(at)), _lists([token[bounds[i]:bounds[i + 1]] for i in at])], schema=FULL)
 
 
 def _rare_tokens(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First occurrence of every set, and (node, token, sets, place) of the rare prefixes; place counts rarer tokens.
 
     Tables with prefixes are large; each is deleted when the next step has been written, ``lines`` included."""
-    nodes = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "n")).alias("first"), F.first("prefix").alias("prefix"))
-                    .select("node", "first.doc_id", "first.line", "first.n", "prefix"))
+    nodes = written(lines.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line", "n")).alias("first"), F.first("prefix").alias("prefix"))
+                    .select("node", "first.doc_id", "first.row", "first.line", "first.n", "prefix"))
     drop_written(lines)
     key = F.xxhash64("node").alias("key")
     shared = written(nodes.select(F.explode("prefix").alias("token")).groupBy("token").count()
@@ -132,7 +133,7 @@ def _rare_tokens(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
              .groupBy("key").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")))
     passed = written(found.where(F.size("tokens") >= _need_column(F.col("n"))).select("key", "tokens"))
     drop_written(shared)
-    firsts = written(nodes.select("node", "doc_id", "line"))
+    firsts = written(nodes.select("node", "doc_id", "row", "line"))
     rows = written(nodes.select("node", "n", key, F.size("prefix").alias("length")).join(passed, "key")
                    .select("node", "n", "length", F.explode("tokens").alias("token")))
     drop_written(nodes)
@@ -189,7 +190,7 @@ def block_matches(sets: list[np.ndarray], rare: list[np.ndarray], side: np.ndarr
 
 def _matched_of_group(frame: pd.DataFrame) -> pd.DataFrame:
     """Sets of the group that have an earlier match in it."""
-    frame = frame.sort_values(["doc_id", "line"], kind="stable").drop_duplicates("node")
+    frame = frame.sort_values(["late", "doc_id", "row", "line"], kind="stable").drop_duplicates("node")
     sets = [np.asarray(t, np.int64).view(np.uint64) for t in frame["tokens"]]
     rare = [np.stack([np.asarray(c, np.int64) for c in own], 1) for own in zip(frame["counts"], frame["rare"], frame["places"])]
     keep = block_matches(sets, rare, frame["block"].to_numpy(), frame["low"].iloc[0] != frame["high"].iloc[0])
@@ -197,43 +198,57 @@ def _matched_of_group(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": [nodes[j] for j in np.flatnonzero(keep.any(axis=0))]})
 
 
+def _nameless() -> Column:
+    """Identity of a row without an id; null for all others."""
+    return F.when(F.col("doc_id").cast("long").isNull(), row_key())
+
+
+def _same_document(doc: Column, row: Column) -> Column:
+    return doc.eqNullSafe(F.col("_doc")) & row.eqNullSafe(F.col("_row"))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``line`` (from 0) of every line to remove; rows that repeat a ``doc_id`` are one document here."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """``doc_id``, ``row``, ``line`` (from 0) of every line to remove; rows that repeat a ``doc_id`` are one document here.
+
+    ``row`` tells documents without an id apart and is null for all others."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _nameless().alias("row"))
     full_lines = written(docs.mapInArrow(batches(_prefixes), NODE))
-    lines = written(full_lines.select("doc_id", "line", "node"))
+    lines = written(full_lines.select("doc_id", "row", "line", "node"))
     nodes, rare = _rare_tokens(full_lines)
     placed, pairs = candidate_blocks(rare.select("node", "token"), SPLIT)
     wanted = written(nodes.join(placed.drop("split"), "node"))
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    whole = docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(
-        batches(_whole_sets), "doc_id long, node binary, tokens array<long>")
+    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list("line").alias("lines"))
+    whole = docs.join(by_doc, _same_document(F.col("doc_id"), F.col("row"))).select("text", "lines").mapInArrow(
+        batches(_whole_sets), "node binary, tokens array<long>")
     lists = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "token", "place"))).alias("r")).select(
         "node", F.col("r.sets").alias("counts"), F.col("r.token").alias("rare"), F.col("r.place").alias("places"))
-    full = written(whole.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).join(lists, "node")
-                   .select("node", "doc_id", "line", "tokens", "counts", "rare", "places", "block"))
+    full = written(whole.join(wanted, "node").dropDuplicates(["node"]).join(lists, "node")
+                   .select("node", F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+                           F.coalesce("row", F.lit(b"")).alias("row"), "line", "tokens", "counts", "rare", "places", "block"))
     either = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     matched = written(full.join(either, "block").groupBy("low", "high").applyInPandas(_matched_of_group, "node binary").distinct())
     verdict = nodes.join(matched.withColumn("matched", F.lit(True)), "node", "left").select(
-        "node", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    return lines.select("doc_id", "line", "node").join(verdict, "node").where(
-        F.col("matched") | ~F.col("doc_id").eqNullSafe(F.col("first_doc")) | (F.col("line") != F.col("first_line"))).select("doc_id", "line")
+        "node", F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("line").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    return lines.join(verdict, "node").where(
+        F.col("matched") | ~_same_document(F.col("doc_id"), F.col("row")) | (F.col("line") != F.col("first_line"))).select("doc_id", "row", "line")
 
 
 def removed_by_document(docs: DataFrame) -> DataFrame:
-    return repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return repeated_lines(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(
+        F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0) for every row of ``docs``.
 
-    A null or empty text has no lines.  Repeated rows of one document get the same answer."""
+    A null or empty text has no lines.  Repeated rows of one document get the same answer; rows without an id are one
+    document for each text."""
     plain = F.col("text").cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _nameless().alias("row"),
                         F.when(F.coalesce(F.length(plain), F.lit(0)) == 0, F.lit(0))
                         .otherwise(F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    return sized.join(removed_by_document(docs), "doc_id", "left").select(
+    return sized.join(removed_by_document(docs), _same_document(F.col("doc_id"), F.col("row")), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"))
 
@@ -242,8 +257,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated lines; a document of which no word is left goes, if it lost any.
 
     ``n_chars``, where there is such a column, follows the text."""
-    removed = removed_by_document(docs).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    removed = removed_by_document(docs).withColumnRenamed("removed", "_removed")
+    joined = docs.join(removed, _same_document(F.col("doc_id").cast("long"), _nameless()), "left")
     kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(
         F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i)), "\n"))
     joined = joined.withColumn("_kept", kept).where(F.col("_removed").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))

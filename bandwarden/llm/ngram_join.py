@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,8 +36,8 @@ NEED_LEAST = 32          # tokens that must be shared in the first prefix; small
 BLOCK = 128              # sets of a block
 _COLUMNS = 4096          # tokens counted at once in a block
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-FULL = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+FULL = pa.schema([("node", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
 
 def shared_least(n):
@@ -73,6 +73,12 @@ def node_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def row_key() -> Column:
+    """128-bit identity of a row by ``doc_id`` and ``text``; rows without an id differ by their text."""
+    doc, text = F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(doc, F.lit("?")), F.lit(" "), F.coalesce(text, F.lit("")))))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     bounds = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=bounds[1:])
@@ -84,7 +90,7 @@ def _prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for words in slices(batch.column("text")):
         sets = shingle_sets(words)
         yield pa.record_batch([
-            batch.column("doc_id").slice(words.first, words.rows),
+            *(batch.column(c).slice(words.first, words.rows) for c in ("doc_id", "row")),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([node_of(s) for s in sets], pa.binary()),
             _lists([s[:int(prefix_length(len(s)))] for s in sets])], schema=SETS)
@@ -93,9 +99,7 @@ def _prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _whole_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for words in slices(batch.column("text")):
         sets = shingle_sets(words)
-        yield pa.record_batch([
-            batch.column("doc_id").slice(words.first, words.rows),
-            pa.array([node_of(s) for s in sets], pa.binary()), _lists(sets)], schema=FULL)
+        yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.binary()), _lists(sets)], schema=FULL)
 
 
 def _need_column(n):
@@ -104,17 +108,17 @@ def _need_column(n):
     return F.least(F.ceil(least * F.lit(SIMILARITY) / F.lit(100)), F.greatest(F.lit(NEED_LEAST), F.floor(least / 20)))
 
 
-def _rare_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents that pass the first order, and (node, token) of the second order's prefixes."""
+def _rare_tokens(sets: DataFrame) -> DataFrame:
+    """(node, token) of the second order's prefixes, for the sets that pass the first order."""
+    key = F.xxhash64("node").alias("key")
     shared = written(sets.select(F.explode("prefix").alias("token")).groupBy("token").count()
                      .where("count > 1").select("token"))
-    found = (sets.select("doc_id", F.explode("prefix").alias("token")).join(shared.hint("shuffle_hash"), "token")
-             .groupBy("doc_id").agg(F.collect_list("token").alias("tokens")))
-    passed = written(sets.select("doc_id", "n", "node").join(found, "doc_id")
-                     .where(F.size("tokens") >= _need_column(F.col("n"))))
+    found = (sets.select(key, F.explode("prefix").alias("token")).join(shared.hint("shuffle_hash"), "token")
+             .groupBy("key").agg(F.collect_set("token").alias("tokens")))
+    nodes = sets.where("node IS NOT NULL").select("node", "n").distinct().select("node", "n", key)
+    passed = written(nodes.join(found, "key").where(F.size("tokens") >= _need_column(F.col("n"))).select("node", "n", "tokens"))
     drop_written(shared)
-    nodes = passed.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "tokens")).alias("first"))
-    rows = written(nodes.select("node", "n", F.explode("first.tokens").alias("token")))
+    rows = passed.select("node", "n", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     order = W.partitionBy("node").orderBy("sets", "token")
     ranked = (rows.join(counts, "token").withColumn("rank", F.row_number().over(order))
@@ -122,7 +126,8 @@ def _rare_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = _need_column(F.col("n"))
     rare = written(ranked.where((F.col("shared") >= need) & (F.col("rank") <= F.col("shared") - need + 1))
                    .select("node", "token"))
-    return passed.select("doc_id", "node").distinct(), rare
+    drop_written(passed)
+    return rare
 
 
 def candidate_blocks(rare: DataFrame, split: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -218,22 +223,20 @@ def _links_of_group(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs(doc_id, text, ...)``.
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``row`` (see ``row_key``), ``n``, ``node``, ``group``, ``component_id`` for every row of ``docs``.
 
-    A null or empty text has an empty set and is alone.  Repeated rows of a document each get a row; rows that share
-    an id but not a text are nodes of their own.  Ties do not arise: the component's id is its smallest ``doc_id``.
-    Other columns are ignored, an empty table gives no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(docs.mapInArrow(batches(_prefixes), "doc_id long, n long, node binary, prefix array<long>"))
-    passed, rare = _rare_tokens(sets)
+    ``node`` is the identity of the row's set and ``group`` that of its group, both null for a text without words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
+    sets = written(docs.mapInArrow(batches(_prefixes), "doc_id long, row binary, n long, node binary, prefix array<long>"))
+    rare = _rare_tokens(sets)
     placed, pairs = candidate_blocks(rare)
-    slim = sets.select("doc_id", "n", "node")
-    wanted = passed.join(placed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    whole = (docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-             .mapInArrow(batches(_whole_sets), "doc_id long, node binary, tokens array<long>"))
+    slim = sets.select("doc_id", "row", "n", "node")
+    wanted = slim.join(placed.select("node"), "node").groupBy("node").agg(F.min("row").alias("row"))
+    whole = (docs.join(wanted.select("row").distinct(), "row", "left_semi").select("text")
+             .mapInArrow(batches(_whole_sets), "node binary, tokens array<long>"))
     lists = rare.groupBy("node").agg(F.collect_list("token").alias("rare"))
-    full = written(whole.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "tokens")
+    full = written(whole.where("node IS NOT NULL").dropDuplicates(["node"])
                    .join(lists, "node").join(placed, "node").drop("split"))
     either = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     edges = (full.join(either, "block").groupBy("low", "high")
@@ -243,9 +246,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = written(roots.join(known, "node").select("node", "root", "first"))
     ids = linked.groupBy("root").agg(F.min("first").alias("component"))
     of_node = known.join(linked.select("node", "root"), "node", "left").join(ids, "root", "left").select(
-        "node", F.coalesce("component", "first").alias("component_id"))
+        "node", F.coalesce("root", "node").alias("group"), F.coalesce("component", "first").alias("component_id"))
     return slim.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "row", "n", "node", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs(doc_id, text, ...)``.
+
+    A null or empty text has an empty set and is alone.  Repeated rows of a document each get a row; rows that share
+    an id but not a text are nodes of their own, and so are rows without an id.  Ties do not arise: the component's id is
+    its smallest ``doc_id``, null only where no row of it has one.  Other columns are ignored, an empty table gives no
+    rows."""
+    return near_duplicate_groups(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

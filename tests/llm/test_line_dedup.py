@@ -68,6 +68,25 @@ def test_edges(spark):
         (1, "-"), (2, ""), (3, "x y"), (3, "x y"), (4, "z")]
 
 
+def test_null_ids_come_last_and_are_answered(spark):
+    import hashlib
+    rows = [(d if d % 3 else None, t) for d, t in enumerate(texts(4))]
+    late = sorted({t or "" for d, t in rows if d is None}, key=lambda t: hashlib.md5(f"? {t}".encode()).digest())
+    of = {t: 10000 + i for i, t in enumerate(late)}
+    whole = lambda d, t: of[t or ""] if d is None else d
+    want = brute.repeated_lines(list({whole(d, t): (whole(d, t), t) for d, t in rows}.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = [(d, [i for i in range(len((t or "").split("\n"))) if (whole(d, t), i) in want]) for d, t in rows]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([(r.doc_id, r.removed) for r in L.line_report(docs).collect()], key=key) == sorted(expect, key=key)
+    left = []
+    for (d, t), (_, gone) in zip(rows, expect):
+        kept = t if not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+        if not gone or brute.words(kept):
+            left.append((d, kept or ""))
+    assert sorted([(r.doc_id, r.text or "") for r in L.without_repeated_lines(docs).collect()], key=key) == sorted(left, key=key)
+
+
 def test_filters_never_lose_a_match():
     """Rare prefixes as the operator makes them: repeated tokens of the hash-order prefix, some shared beyond it."""
     rng = np.random.default_rng(8)

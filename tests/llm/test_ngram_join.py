@@ -75,6 +75,18 @@ def test_empty_table_repeated_rows_and_one_id_with_two_texts(spark):
     assert got == brute.jaccard_components(rows)
 
 
+def test_null_ids_link_like_any_others(spark):
+    rows = list(enumerate(varied(11, 8)))
+    schema = "doc_id long, text string"
+    some = [(d, t, d if d % 3 else None) for d, t in rows]
+    group = {d: c for d, _, c in brute.jaccard_components(rows)}
+    named = {c: min((d for d, _, own in some if own is not None and group[d] == c), default=None) for c in group.values()}
+    size = {d: n for d, n, _ in brute.jaccard_components(rows)}
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = [tuple(r) for r in N.near_duplicates(spark.createDataFrame([(own, t) for _, t, own in some], schema)).collect()]
+    assert sorted(got, key=key) == sorted([(own, size[d], named[group[d]]) for d, _, own in some], key=key)
+
+
 def test_filters_never_lose_a_linked_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):
