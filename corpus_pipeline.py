@@ -23,11 +23,16 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates; documents without words stay."""
-    found = ngram_join.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of every group of near duplicates; documents without words stay.
+
+    It is the row with the smallest id, ids that are null last, and then by text; one of the rows that repeat it stays.
+    Texts of different groups stay even where they share an id or have none."""
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node", "row")
+    found = ngram_join.near_duplicate_groups(docs).where("node IS NOT NULL")
+    first = found.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(worded).withColumn("_row", ngram_join.row_key()).join(first, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,11 @@ def test_run_and_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, FOLDER))
     assert docs.count() == 0
+
+
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    a, b, d = "a b c d e f", "u v w x y z", "k l m n o p"
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (2, b, "s"), (None, a, "s"), (None, d, "s"), (None, d, "s"), (None, "g h", "s"), (None, None, "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (None, d), (None, "g h"), (None, None), (3, "")], key=repr)
