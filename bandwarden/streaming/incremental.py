@@ -3,11 +3,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import (ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, PythonException,
+                            SparkRuntimeException)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+DATA_FAULTS = (ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, PythonException, SparkRuntimeException)
+MACHINE_FAULTS = (OSError, MemoryError, EOFError)
+
+
+def raised_by_data(fault: Exception) -> bool:
+    """Whether the processing of the rows raised ``fault``; lost executors, full disks and failed writes are the cluster's."""
+    text = str(fault)
+    if any(name in text for name in ("OSError", "MemoryError", "EOFError", "No space left", "ExecutorLost", "FetchFailed")):
+        return False
+    return isinstance(fault, DATA_FAULTS)
+
+
+def each_unit(run: Callable[[pd.DataFrame], pd.DataFrame], result: str, key: str = "unit_key") -> Callable[[DataFrame], DataFrame]:
+    """Processing for ``upsert_units`` by one call of ``run`` for every unit; a call that raises fails its unit alone.
+
+    ``result`` is the layout that ``run`` returns, ``key`` included."""
+    def call(found: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(pdf).assign(error=None)
+        except MACHINE_FAULTS:
+            raise
+        except Exception as fault:  # the unit's own
+            return pd.DataFrame({key: [found[0]], "error": [type(fault).__name__]})
+
+    def process(good: DataFrame) -> DataFrame:
+        names = [f.name for f in StructType.fromDDL(result)]
+
+        def whole(found: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return call(found, pdf).reindex(columns=[*names, "error"])
+        return good.groupBy(key).applyInPandas(whole, f"{result}, error string")
+    return process
+
 
 def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine: str, problem: F.Column | None = None,
                  key: str = "unit_key", cap: int | None = None) -> Callable[[DataFrame, int], None]:
@@ -15,11 +50,13 @@ def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine
 
     The stream's checkpoint hands every row to one batch, so a unit may be spread over any number of batches: each
     writes its own part.  A unit with a ``problem`` in any batch is quarantined whole, which ``saved`` applies when it
-    reads, and so is every unit of a batch whose processing raises.  Frames from ``cap`` on are not processed, and their
+    reads.  ``process`` may return a column ``error``: a unit with one is quarantined as failed, alone (``each_unit`` makes
+    such a function).  An error that the processing raises as a whole names no unit, so all units of the batch fail;
+    a fault of the cluster is raised on, and the stream gives the batch again.  Frames from ``cap`` on are not processed, and their
     units are reported as capped.  A batch writes into partitions named after its number; a replay overwrites itself,
     and no batch reads what others have written."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch, held = batch.persist(), []
         try:
             bad = batch.where(problem).select(key).distinct() if problem is not None else batch.select(key).limit(0)
             good = batch.join(bad, key, "left_anti")
@@ -27,8 +64,10 @@ def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine
                 good = good.where(F.col("frame_in_unit") < cap)
             refused = bad.select(key, F.lit("refused").alias("error"), F.lit(False).alias("failed"))
             try:
-                _write(process(good), out, batch_id)
+                refused = refused.unionByName(_processed(process(good), out, batch_id, key, held))
             except Exception as problem_of_batch:  # the scan goes on; the units stay visible as failed
+                if not raised_by_data(problem_of_batch):
+                    raise
                 refused = batch.select(key).distinct().select(
                     key, F.lit(type(problem_of_batch).__name__).alias("error"), F.lit(True).alias("failed"))
             if cap is not None:
@@ -36,10 +75,21 @@ def upsert_units(process: Callable[[DataFrame], DataFrame], out: str, quarantine
                 refused = refused.unionByName(over.select(key, F.lit("capped").alias("error"), F.lit(False).alias("failed")))
             _write(refused, quarantine, batch_id)
         finally:
-            batch.unpersist()
+            for df in (batch, *held):
+                df.unpersist()
     return run
 
 
+def _processed(done: DataFrame, out: str, batch_id: int, key: str, held: list[DataFrame]) -> DataFrame:
+    """Writes what was processed and returns the units that failed; what it keeps in ``held`` is the caller's to free."""
+    if "error" not in done.columns:
+        _write(done, out, batch_id)
+        return done.sparkSession.createDataFrame([], done.select(key).schema.add("error", "string").add("failed", "boolean"))
+    held.append(done := done.persist())
+    _write(done.where("error IS NULL").drop("error"), out, batch_id)
+    return done.where("error IS NOT NULL").select(key, "error", F.lit(True).alias("failed")).distinct()
+
+
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(path))

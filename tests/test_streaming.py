@@ -1,5 +1,6 @@
 """Stream results equal batch results whatever the file order; restarts add nothing."""
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from bandwarden.operators.gate import require_empty
@@ -98,6 +99,34 @@ def test_a_batch_that_raises_is_quarantined(spark, tmp_path):
     assert sorted((r["unit_key"], r["failed"]) for r in incremental.refused_units(spark, f"{root}/bad").collect()) == [("b", True), ("c", True)]
 
 
+def test_a_unit_that_raises_is_quarantined_alone(spark, tmp_path):
+    root = str(tmp_path)
+    process = incremental.each_unit(lambda pdf: pd.DataFrame({"unit_key": [pdf.unit_key[0]], "p": [1 // int(pdf.p[0])]}), "unit_key string, p long")
+    run = incremental.upsert_units(process, f"{root}/out", f"{root}/bad", c("p") > 9)
+    run(spark.createDataFrame([("b", 0), ("c", 1), ("d", 10)], "unit_key string, p int"), 0)
+    assert [tuple(r)[:2] for r in incremental.saved(spark, f"{root}/out", f"{root}/bad").select("unit_key", "p").collect()] == [("c", 1)]
+    bad = {r["unit_key"]: (r["errors"], r["failed"]) for r in incremental.refused_units(spark, f"{root}/bad").collect()}
+    assert bad == {"b": (["ZeroDivisionError"], True), "d": (["refused"], False)}
+
+
+def test_a_fault_of_the_cluster_gives_the_batch_again(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "out").write_text("a file where the folder should be")
+    units = spark.createDataFrame([("b",), ("c",)], "unit_key string")
+    run = incremental.upsert_units(lambda d: d.groupBy("unit_key").count(), f"{root}/out", f"{root}/bad")
+    with pytest.raises(Exception):
+        run(units, 0)
+    assert not (tmp_path / "bad").exists()
+
+    def full(p):
+        raise OSError("No space left on device")
+
+    run = incremental.upsert_units(lambda d: d.select("unit_key", F.udf(full, "int")("unit_key").alias("p")), f"{root}/out2", f"{root}/bad")
+    with pytest.raises(Exception):
+        run(units, 0)
+    assert not (tmp_path / "bad").exists()
+
+
 def test_stream_reads_a_table_folder(spark, tmp_path):
     li = spark.read.parquet(f"{SF}/lineitem.parquet")
     li.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
