@@ -152,11 +152,9 @@ def top_by_inner_product(vectors: DataFrame, is_query: Column) -> DataFrame:
     Ties go to the smaller id; a query with fewer candidates gets them all; vectors of different lengths are compared
     as if the shorter ended in zeros.  Columns other than vec_id and embedding are ignored."""
     whole = written(integer_vectors(vectors))
-    low, high, count = whole.agg(F.min("vec_id"), F.max("vec_id"), F.count(F.lit(1))).first()
-    span, low = (high or 0) - (low or 0) + 1, low or 0
-    width = max(1, span * RANGE // max(1, count))
-    ranges = span // width + 1
-    docs = whole.withColumn("range", F.floor((F.col("vec_id") - low) / width).cast("long"))
+    ranges = max(1, -(-whole.count() // RANGE))
+    # Ids are distinct here, so a hash deals them evenly whatever their span; its seed differs from that of the groups.
+    docs = whole.withColumn("range", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ranges)).cast("long"))
     queries = docs.where(is_query)
     asked = queries.count()
     groups = max(1, -(-asked // QUERIES))

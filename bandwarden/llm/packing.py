@@ -2,8 +2,8 @@
 
 Method: vector bin packing with the dot-product heuristic.  One sequence is open at a time; of the examples that still
 fit in every dimension it takes the one whose demand has the largest dot product with what the sequence has left, each
-dimension as a share of its limit.  Examples are dealt to groups of about ``GROUP`` by a hash of their key, so a group
-is one bounded task, no key is hot, and only the last sequence of a group is left partly filled.
+dimension as a share of its limit.  Examples are dealt to groups of about ``GROUP`` by a hash of the whole row and
+of its number among equal rows, so a group is one bounded task, no key is hot, and only the last sequence of a group is left partly filled.
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tables import table, written
@@ -175,7 +176,7 @@ def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def pack(examples: DataFrame, key: list[str], limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS_TOKENS)) -> DataFrame:
     """``examples`` (``tokens``, ``segments``, ``loss_tokens`` and more) with ``sequence_id`` and ``offset``.
 
-    ``key`` names the columns that deal examples to groups; equal keys are allowed and packed as separate examples.
+    ``key`` names the columns that order the examples of a group; equal keys are allowed and packed as separate examples.
     Null counts are zero.  An empty table stays empty."""
     examples = written(examples)
     groups = max(1, -(-examples.count() // GROUP))
@@ -191,7 +192,9 @@ def pack(examples: DataFrame, key: list[str], limits: tuple[int, int, int] = (TO
 
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.schema.fields),
                      "sequence_id long", "offset long"])
-    dealt = examples.withColumn("packing_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    row = [F.col(f"`{c}`") for c in examples.columns]
+    salt = F.row_number().over(W.partitionBy(*row).orderBy(*[F.col(f"`{c}`") for c in key]))
+    dealt = examples.withColumn("packing_group", F.pmod(F.xxhash64(*row, salt), F.lit(groups)))
     return dealt.groupBy("packing_group").applyInPandas(run, out)
 
 

@@ -48,6 +48,22 @@ def test_ties_odd_rows_and_small_ranges(spark, monkeypatch):
     assert B.top_by_inner_product(df.where("false"), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_an_outlying_id_does_not_fill_a_range(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE", 40)
+    meet, most = B._meet, []
+
+    def spy(queries, docs):
+        most.append(docs.groupBy("query_group", "range").count().agg(F.max("count")).first()[0])
+        return meet(queries, docs)
+
+    monkeypatch.setattr(B, "_meet", spy)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 16]) for i in [*range(200), 10 ** 15]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert rows_of(B.top_by_inner_product(df, F.col("vec_id") % 5 == 0)) == brute(rows, 5)
+    assert max(most) <= 2 * B.RANGE
+
+
 def test_bounds_prune_blocks():
     rng = np.random.default_rng(0)
     centres = rng.integers(-40, 40, (32, 16))

@@ -55,6 +55,16 @@ def test_pack_empty_and_repeated_rows(spark):
     assert len(rows) == 2 and sorted(r.offset for r in rows) == [0, 3]
 
 
+def test_null_ids_and_repeated_rows_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 50)
+    rows = [(None, f"word {i}") for i in range(300)] + [(7, "a b")] * 300
+    got = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id >> 32] += 1
+    assert len(got) == 600 and max(groups.values()) <= 2 * P.GROUP
+
+
 def test_place_keeps_every_limit():
     rng = np.random.default_rng(1)
     demand = np.stack([rng.integers(1, 900, 800), rng.integers(1, 12, 800), rng.integers(0, 500, 800)], 1)
