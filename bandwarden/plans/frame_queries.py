@@ -104,6 +104,24 @@ def rational_mask(spark, d):
         exact.rational_overflow(num, den).cast("int").alias("overflow"))
 
 
+@query("rational_threshold_mask_wide", with_(FRAMES) + f"""
+, s AS (SELECT *, p_target::HUGEINT*34359738368 AS p, p_ref_sum::HUGEINT*34359738368 AS r, CAST(4611686018427387904 // greatest(p_target, p_ref_sum, 1) AS BIGINT) AS k FROM v),
+t AS (SELECT *, CASE event_id % 5 WHEN 0 THEN p_target*k WHEN 1 THEN p_target*k + 1 WHEN 2 THEN p_target*k - 1 ELSE 2317467823947239423 END AS num,
+ CASE WHEN event_id % 5 < 3 THEN p_ref_sum*k ELSE 4611868127894829113 END AS den FROM s)
+SELECT {ID}, CAST(valid AND p*den > num::HUGEINT*r AS INT) AS mask, CAST(FALSE AS INT) AS overflow FROM t""")
+def rational_mask_wide(spark, d):
+    """Powers of 63 bits against thresholds of 62; on three of five events the threshold is the ratio itself or one step beside it."""
+    df = V.frames(spark, d)
+    k = F.floor(F.lit(1 << 62).cast("decimal(20,0)") / F.greatest("p_target", "p_ref_sum", F.lit(1).cast("long")).cast("decimal(20,0)")).cast("long")
+    step = c("event_id") % 5
+    num = F.when(step < 3, c("p_target") * k + F.element_at(F.array(F.lit(0), F.lit(1), F.lit(-1)), (step + 1).cast("int"))).otherwise(2317467823947239423)
+    den = F.when(step < 3, c("p_ref_sum") * k).otherwise(4611868127894829113)
+    wide = lambda k: c(k) * (1 << 35)
+    return df.withColumn("num", num).withColumn("den", den).select(
+        *IDS, exact.rational_mask(wide("p_target"), wide("p_ref_sum"), c("num"), c("den")).cast("int").alias("mask"),
+        exact.rational_overflow(c("num"), c("den")).cast("int").alias("overflow"))
+
+
 @query("null_power_ratio_and_norms", with_(FRAMES) + ", " + "wgt AS (SELECT * FROM (VALUES " + ", ".join(map(str, V.WEIGHTS)) + """) AS t(term, k, wr, wi)),
 n AS (SELECT CAST(sum(wr*wr+wi*wi) FILTER (term=0) AS BIGINT) AS t_norm, CAST(sum(wr*wr+wi*wi) FILTER (term>0) AS BIGINT) AS r_norm FROM wgt)
 SELECT physical_channel, round(mu0, 12) AS mu0, count(*) AS n_frames, any_value(t_norm) AS bank_target_norm,

@@ -202,39 +202,85 @@ sv AS (SELECT physical_channel, event_id, q*2.56::DOUBLE AS p, NOT (l_discount=0
 STREAM = STREAM[1:].lstrip()
 
 
-def _run_complete(spark, df, name):
-    """Runs a stream over the files that are there and returns its table."""
-    root = scratch(spark, name)
-    def save(batch, _):
-        batch.write.mode("overwrite").parquet(f"{root}/out")
-    q = (df.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{root}/state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+def _done(query):
+    query.awaitTermination()
 
 
 @query("streaming_chunk_sums", "WITH " + STREAM + """
 SELECT CAST(floor(event_id*0.01/10) AS BIGINT) AS chunk, physical_channel, count(*) AS total_count, count(*) FILTER (valid) AS valid_count, count(*) FILTER (valid AND reject) AS masked_count_valid,
  round(sum(p) FILTER (valid), 4) AS power_sum, round(sum(p) FILTER (valid AND NOT reject), 4) AS cleaned_sum FROM sv GROUP BY 1, 2""")
 def stream_chunks(spark, d):
-    df = windows.with_event_time(V.stream_frames(spark, d))
-    return rounded(_run_complete(spark, windows.chunk_sums(df), "chunks"), "power_sum", "cleaned_sum", digits=4)
+    root = scratch(spark, "chunks")
+    _done(windows.run_chunks(windows.with_event_time(V.stream_frames(spark, d)), root))
+    return rounded(windows.read_chunks(spark, root).drop("late_count", "closed"), "power_sum", "cleaned_sum", digits=4)
+
+
+def _in_steps(spark, d, name, step, steps, run, seen=lambda df: df):
+    """Hands a stream the rows of one table in steps: those of a step are written to a folder and ``run``, then those of the next."""
+    rows, folder = table(spark, d, name), scratch(spark, name)
+    for k in steps:
+        rows.where(step == k).write.mode("append").parquet(f"{folder}/{name}.parquet")
+        _done(run(seen(folder)))
+
+
+LATE = """, md AS (SELECT max(event_id) // 2 AS half FROM sv),
+ls AS (SELECT sv.*, CAST(floor(event_id*0.01/10) AS BIGINT) AS chunk, CASE WHEN event_id > half THEN 1 WHEN event_id % 7 = 3 THEN 2 ELSE 0 END AS step FROM sv, md),
+wm AS (SELECT max(event_id)*0.01 - 60 AS reached FROM ls WHERE step < 2),
+lt AS (SELECT ls.*, step = 2 AND (chunk + 1)*10 <= reached AS late FROM ls, wm)"""
+
+
+def _with_late_frames(spark, d):
+    """The earlier half of the frames, the later half, and then what had been held back of the earlier half."""
+    root = scratch(spark, "late")
+    half = F.lit(table(spark, d, "lineitem").agg(F.max("l_orderkey")).first()[0] // 2)
+    step = F.when(c("l_orderkey") > half, 1).when(c("l_orderkey") % 7 == 3, 2).otherwise(0)
+    _in_steps(spark, d, "lineitem", step, (0, 1, 2), lambda df: windows.run_chunks(df, root),
+              lambda folder: windows.with_event_time(V.stream_frames(spark, folder, 100000)))
+    return root
+
+
+@query("streaming_chunks_with_late_frames", "WITH " + STREAM + LATE + """
+SELECT chunk, physical_channel, count(*) AS total_count, count(*) FILTER (valid) AS valid_count, count(*) FILTER (valid AND reject) AS masked_count_valid,
+ round(sum(p) FILTER (valid), 4) AS power_sum, round(sum(p) FILTER (valid AND NOT reject), 4) AS cleaned_sum, count(*) FILTER (late) AS late_count,
+ (chunk + 1)*10 <= (SELECT reached FROM wm) AS closed FROM lt GROUP BY 1, 2""")
+def stream_late(spark, d):
+    return rounded(windows.read_chunks(spark, _with_late_frames(spark, d)), "power_sum", "cleaned_sum", digits=4)
+
+
+@query("streaming_late_frames", "WITH " + STREAM + LATE + """
+SELECT physical_channel, event_id, chunk, count(*) AS n, round(sum(p), 4) AS power_sum FROM lt WHERE late GROUP BY 1, 2, 3""")
+def stream_late_frames(spark, d):
+    late = windows.late_frames(spark, _with_late_frames(spark, d))
+    return rounded(late.groupBy("physical_channel", "event_id", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("baseband_power").alias("power_sum")), "power_sum", digits=4)
 
 
 @query("streaming_power_accumulator", "WITH " + STREAM + """
 SELECT physical_channel, round(sum(p), 4) AS power_sum, count(*) AS n, count(*) FILTER (valid) AS n_valid FROM sv GROUP BY 1""")
 def stream_power(spark, d):
-    return rounded(_run_complete(spark, windows.power_accumulator(V.stream_frames(spark, d)), "power"), "power_sum", digits=4)
+    root = scratch(spark, "power")
+    _done(windows.run_accumulator(windows.power_accumulator(V.stream_frames(spark, d)), root))
+    return rounded(windows.read_accumulator(spark, root, ("physical_channel",)), "power_sum", digits=4)
 
 
 @query("streaming_spectrum_accumulator", with_(FINE) + """
 SELECT physical_channel, CAST(bin AS INT) AS bin, round(sum(x), 3) AS before, round(coalesce(sum(x) FILTER (x <= 1.05::DOUBLE), 0), 3) AS after, count(*) AS n FROM fine GROUP BY 1, 2""")
 def stream_spectrum(spark, d):
-    e = stream_table(spark, d, "embeddings")
-    b = e.select((F.lit(14) + c("label") % 4).cast("int").alias("physical_channel"), F.posexplode("embedding").alias("bin", "e"))
-    x = (F.lit(1.0).cast("float") + c("e")).cast("double")
-    b = b.select("physical_channel", "bin", x.alias("before"), F.when(x <= 1.05, x).otherwise(0.0).alias("after"))
-    return rounded(_run_complete(spark, windows.spectrum_accumulator(b), "spectrum"), "before", "after", digits=3)
+    """Three runs of one stream, each going on from the state of the last; the second brings two of the channels only."""
+    root = scratch(spark, "spectrum")
+
+    def bins(folder):
+        b = stream_table(spark, folder, "embeddings").select((F.lit(14) + c("label") % 4).cast("int").alias("physical_channel"), F.posexplode("embedding").alias("bin", "e"))
+        x = (F.lit(1.0).cast("float") + c("e")).cast("double")
+        return windows.spectrum_accumulator(b.select("physical_channel", "bin", x.alias("before"), F.when(x <= 1.05, x).otherwise(0.0).alias("after")))
+
+    step = F.when((c("label") % 4 < 2) & (c("vec_id") % 3 == 1), 1).when(c("vec_id") % 3 == 2, 2).otherwise(0)
+    _in_steps(spark, d, "embeddings", step, (0, 1, 2), lambda df: windows.run_accumulator(df, root), bins)
+    return rounded(windows.read_accumulator(spark, root, ("physical_channel", "bin")), "before", "after", digits=3)
+
+
+def _unit_key():
+    return F.concat_ws("/", c("physical_channel").cast("string"), c("event_id").cast("string"))
 
 
 @query("incremental_scan", "WITH " + STREAM + """
@@ -248,16 +294,41 @@ def incremental_scan(spark, d):
         return good.groupBy("unit_key").agg(F.count(F.lit(1)).alias("n_frames"), F.sum("baseband_power").alias("power_sum"))
 
     for _ in range(2):
-        df = V.stream_frames(spark, d).withColumn("unit_key", F.concat_ws("/", c("physical_channel").cast("string"), c("event_id").cast("string")))
-        q = (df.writeStream.foreachBatch(incremental.upsert_units(process, f"{root}/out", f"{root}/bad", c("baseband_power") > 127))
-             .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
-        q.awaitTermination()
+        df = V.stream_frames(spark, d).withColumn("unit_key", _unit_key())
+        _done(df.writeStream.foreachBatch(incremental.upsert_units(process, f"{root}/out", f"{root}/bad", c("baseband_power") > 127))
+              .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
     parts = incremental.saved(spark, f"{root}/out", f"{root}/bad")
     good = parts.groupBy("unit_key").agg(F.sum("n_frames").alias("n_frames"), F.round(F.sum("power_sum"), 4).alias("power_sum"), F.lit(False).alias("quarantined"))
     bad = incremental.refused_units(spark, f"{root}/bad").select("unit_key", F.lit(0).cast("long").alias("n_frames"), F.lit(0.0).alias("power_sum"), F.lit(True).alias("quarantined"))
     return good.unionByName(bad)
 
 
+@query("incremental_scan_outcomes", "WITH " + STREAM + """
+, un AS (SELECT physical_channel || '/' || event_id AS unit_key, any_value(event_id) AS event_id, count(*) AS n, count(*) FILTER (valid) AS ok, sum(p) AS p, bool_or(p > 127) AS bad, max(event_id % 3) + 1 AS parts FROM sv GROUP BY 1),
+oc AS (SELECT *, CASE WHEN bad THEN 'refused' WHEN event_id % 89 = 5 THEN 'unknown' WHEN ok = 0 THEN 'NoValidFrame' END AS error FROM un)
+SELECT unit_key, error, coalesce(error = 'NoValidFrame', false) AS failed, CASE WHEN error IS NULL THEN n END AS n_frames, CASE WHEN error IS NULL THEN round(p / ok, 6) END AS mean_power FROM oc""")
+def incremental_outcomes(spark, d):
+    """A scan against an inventory that misses some units, with units that the processing cannot reduce, in three runs."""
+    root = scratch(spark, "outcomes")
+    li = table(spark, d, "lineitem")
+    inventory_ = li.where(c("l_orderkey") % 89 != 5).select(
+        F.concat_ws("/", (F.lit(14) + c("l_suppkey") % 4).cast("int").cast("string"), c("l_orderkey").cast("string")).alias("unit_key"))
+
+    def process(good):
+        n, ok, p = F.count(F.lit(1)), F.count_if("valid"), F.sum("baseband_power")
+        return good.groupBy("unit_key").agg(n.alias("n_frames"), F.try_divide(p, ok).alias("mean_power"),
+                                            F.when(ok == 0, "NoValidFrame").alias("error"))
+
+    run = incremental.upsert_units(process, f"{root}/out", f"{root}/bad", c("baseband_power") > 127, inventory=inventory_)
+    _in_steps(spark, d, "lineitem", c("l_orderkey") % 3, (0, 1, 2),
+              lambda df: df.withColumn("unit_key", _unit_key()).writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(),
+              lambda folder: V.stream_frames(spark, folder, 100000))
+    good = incremental.saved(spark, f"{root}/out", f"{root}/bad").select(
+        "unit_key", F.lit(None).cast("string").alias("error"), F.lit(False).alias("failed"), "n_frames", F.round("mean_power", 6).alias("mean_power"))
+    bad = incremental.refused_units(spark, f"{root}/bad").select("unit_key", F.element_at("errors", 1).alias("error"), "failed")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # ----------------------------------------------------------------- assignment
 def _assigned(spark, d):
     """Every unit against the events of its own day and copies, under negative ids, of most events that drifted off it."""

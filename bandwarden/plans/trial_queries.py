@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators.bootstrap import draw_sql
+from ..operators.numbering import number_within
 from ..operators import census as S, trials as T
 from ..sources import views as V
 from ..sources.tables import row_bound
@@ -15,9 +16,10 @@ from .registry import query
 c = F.col
 
 
-def grouped_trials(spark, d):
-    """Trials under the numbers 0 to 996, so that a trial has rows over the whole grid."""
-    return V.trials(spark, d).withColumn("trial", c("trial") % 997)
+def paired_grid(spark, d):
+    """Trials numbered within each grid value: a trial has one row at each, and their number grows with the table."""
+    rows = V.trials(spark, d).withColumnRenamed("trial", "source")
+    return number_within(rows, ["snr_db"], ["source", "offset_bin", "ratio", "power"], "trial", max_rows=bound(spark, d))
 
 
 def bound(spark, d):
@@ -25,11 +27,11 @@ def bound(spark, d):
 
 
 @query("paired_trials", with_(TRIALS) + """
-, tt AS (SELECT trial % 997 AS trial, snr_db FROM trials),
+, tt AS (SELECT row_number() OVER (PARTITION BY snr_db ORDER BY trial, offset_bin, ratio, power) - 1 AS trial, snr_db FROM trials),
 p AS (SELECT trial FROM tt GROUP BY 1 HAVING count(DISTINCT snr_db) = (SELECT count(DISTINCT snr_db) FROM tt))
 SELECT trial, snr_db, count(*) AS n FROM tt SEMI JOIN p USING (trial) GROUP BY 1, 2""")
 def paired(spark, d):
-    t = grouped_trials(spark, d)
+    t = paired_grid(spark, d)
     return T.paired_trials(t, "trial", "snr_db").groupBy("trial", "snr_db").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,7 +106,7 @@ def ks(spark, d):
 
 
 @query("paired_crossing_bootstrap", with_(TRIALS) + f"""
-, tt AS (SELECT trial % 997 AS trial, snr_db, ratio FROM trials),
+, tt AS (SELECT row_number() OVER (PARTITION BY snr_db ORDER BY trial, offset_bin, ratio, power) - 1 AS trial, snr_db, ratio FROM trials),
 p AS (SELECT trial FROM tt GROUP BY 1 HAVING count(DISTINCT snr_db) = (SELECT count(DISTINCT snr_db) FROM tt)),
 hi AS (SELECT trial, snr_db, max((ratio > 1.004::DOUBLE)::INT) AS hit FROM tt SEMI JOIN p USING (trial) GROUP BY 1, 2),
 ids AS (SELECT trial, row_number() OVER (ORDER BY trial) - 1 AS d, count(*) OVER () AS u FROM p),
@@ -116,7 +118,7 @@ lg AS (SELECT *, lag(y) OVER w AS y0, lag(snr_db) OVER w AS x0 FROM mo WINDOW w
 h AS (SELECT replicate, x0 + (snr_db-x0)*(0.6::DOUBLE-y0)/(y-y0) AS e FROM lg WHERE y0 < 0.6::DOUBLE AND y >= 0.6::DOUBLE QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY snr_db) = 1)
 SELECT count(*) AS valid_replicates, round(quantile_cont(e, 0.025), 9) AS low, round(quantile_cont(e, 0.5), 9) AS median, round(quantile_cont(e, 0.975), 9) AS high FROM h HAVING count(*) > 0""")
 def crossing_bootstrap(spark, d):
-    t = T.paired_trials(grouped_trials(spark, d), "trial", "snr_db")
+    t = T.paired_trials(paired_grid(spark, d), "trial", "snr_db")
     out = T.paired_crossing_bootstrap(t, "trial", "snr_db", "ratio", 1.004, 0.6, 300, 7, max_rows=bound(spark, d))
     return rounded(out, "low", "median", "high")
 

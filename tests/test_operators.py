@@ -478,3 +478,20 @@ def test_ledger_and_csv(spark, tmp_path):
 def test_reason_map(spark):
     got = gate.reason_map(gate.with_reasons(V.detector_frames(spark, SF))).collect()
     assert all(C.REASONS[4] in r["reasons"] for r in got)
+
+
+def test_wide_products_compare_exactly(spark):
+    from bandwarden.functions import exact
+    rng = np.random.default_rng(3)
+    top = 2**63 - 1
+    draw = lambda: int(rng.integers(0, 2**63 - 1, dtype=np.int64))
+    rows = [(draw(), draw(), draw(), draw()) for _ in range(200)]
+    rows += [(a, b, a, b) for a, b, _, _ in rows[:20]] + [(a, b, b, a) for a, b, _, _ in rows[:20]] + [(a, b, a, b - 1) for a, b, _, _ in rows[:20]]
+    rows += [(top, top, top, top - 1), (top, top - 1, top, top), (top, top, top, top), (0, top, 0, 1), (1, 10**9, 10**9, 1), (top - 1, top - 1, top, top - 2), (top, 0, 0, top)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    got = df.select("*", exact.wide_greater(*[F.col(x) for x in "abcd"]).alias("g"), exact.rational_mask(F.col("a"), F.col("c"), F.col("d"), F.col("b")).alias("m")).collect()
+    for r in got:
+        want = r["a"] * r["b"] > r["c"] * r["d"]
+        assert r["g"] == want and r["m"] == (want and r["c"] > 0), r
+    edge = df.limit(1).select(exact.rational_overflow(F.lit(top), F.lit(1)).alias("a"), exact.rational_overflow(F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(1)).alias("b")).first()
+    assert (edge["a"], edge["b"]) == (False, True)

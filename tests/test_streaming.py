@@ -88,15 +88,53 @@ def test_units_over_several_batches_lose_no_frame(spark, tmp_path):
     assert [tuple(r) for r in incremental.refused_units(spark, f"{root}/bad").collect()] == [("y", ["refused"], False)]
 
 
-def test_a_batch_that_raises_is_quarantined(spark, tmp_path):
+def test_a_batch_that_raises_loses_only_the_units_that_raise(spark, tmp_path):
     root = str(tmp_path)
     broken = F.udf(lambda p: 1 // p, "int")
     run = incremental.upsert_units(lambda d: d.groupBy("unit_key").agg(F.max(broken("p")).alias("p")), f"{root}/out", f"{root}/bad")
     schema = "unit_key string, p int"
     run(spark.createDataFrame([("a", 1)], schema), 0)
-    run(spark.createDataFrame([("b", 0), ("c", 1)], schema), 1)
-    assert [r["unit_key"] for r in incremental.saved(spark, f"{root}/out", f"{root}/bad").collect()] == ["a"]
-    assert sorted((r["unit_key"], r["failed"]) for r in incremental.refused_units(spark, f"{root}/bad").collect()) == [("b", True), ("c", True)]
+    run(spark.createDataFrame([("b", 0)] + [(f"c{i}", 1) for i in range(9)] + [("d", 0)], schema), 1)
+    run(spark.createDataFrame([("a", 1), ("b", 1)], schema), 2)
+    assert sorted({r["unit_key"] for r in incremental.saved(spark, f"{root}/out", f"{root}/bad").collect()}) == ["a", *[f"c{i}" for i in range(9)]]
+    bad = {r["unit_key"]: (r["errors"], r["failed"]) for r in incremental.refused_units(spark, f"{root}/bad").collect()}
+    assert bad == {"b": (["PythonException"], True), "d": (["PythonException"], True)}
+
+
+def test_a_stop_between_write_and_commit_doubles_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    run = incremental.upsert_units(lambda d: d.groupBy("unit_key").count(), f"{root}/out", f"{root}/bad")
+    rows = spark.createDataFrame([("x",), ("x",), ("y",)], "unit_key string")
+    with monkeypatch.context() as stopped:
+        stopped.setattr(incremental, "put_batch", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            run(rows, 0)
+    assert spark.read.parquet(f"{root}/out").count() == 2
+    run(rows, 0)
+    assert sorted((r["unit_key"], r["count"]) for r in incremental.saved(spark, f"{root}/out", f"{root}/bad").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_ledger_tells_altered_parts_and_pending_units(spark, tmp_path):
+    root = str(tmp_path)
+    inventory = spark.createDataFrame([("x",), ("y",), ("z",)], "unit_key string")
+    run = incremental.upsert_units(lambda d: d.groupBy("unit_key").count(), f"{root}/out", f"{root}/bad", inventory=inventory)
+    assert incremental.pending_units(inventory, f"{root}/bad").count() == 3
+    run(spark.createDataFrame([("x",), ("y",), ("stray",)], "unit_key string"), 0)
+    assert [r["unit_key"] for r in incremental.pending_units(inventory, f"{root}/bad").collect()] == ["z"]
+    assert [tuple(r) for r in incremental.refused_units(spark, f"{root}/bad").collect()] == [("stray", ["unknown"], False)]
+    assert incremental.altered_parts(spark, f"{root}/out", f"{root}/bad").count() == 0
+    attempt = incremental.ledger(spark, f"{root}/bad").where("unit_key = 'x'").first()["attempt"]
+    spark.createDataFrame([("x", 7, None)], "unit_key string, count long, error string").write.mode("append").parquet(f"{root}/out/batch_id=0/attempt={attempt}")
+    assert [tuple(r) for r in incremental.altered_parts(spark, f"{root}/out", f"{root}/bad").collect()] == [("x", 0, 1, 2)]
+
+
+def test_faults_are_judged_by_class():
+    from pyspark.errors import PythonException
+    python = lambda text: PythonException(f"Traceback (most recent call last):\n  File \"x\", line 1\n{text}\n")
+    assert incremental.raised_by_data(python("ValueError: No space left in this field, OSError it says"))
+    assert not incremental.raised_by_data(python("OSError: [Errno 28] No space left on device"))
+    assert not incremental.raised_by_data(python("MemoryError: "))
+    assert not incremental.raised_by_data(RuntimeError("FetchFailed"))
 
 
 def test_a_unit_that_raises_is_quarantined_alone(spark, tmp_path):
@@ -141,9 +179,49 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path):
     run(a, 0)
     run(a, 0)
     run(spark.createDataFrame([("z",)], "unit_key string"), 1)
-    assert sorted(r["unit_key"] for r in spark.read.parquet(f"{root}/out").collect()) == ["x", "y", "z"]
+    assert sorted(r["unit_key"] for r in incremental.saved(spark, f"{root}/out", f"{root}/bad").collect()) == ["x", "y", "z"]
+
+
+def frames_at(spark, *seconds):
+    return windows.with_event_time(spark.createDataFrame(
+        [(14, float(t), 2.0, True, False) for t in seconds], "physical_channel int, data_time double, baseband_power double, valid boolean, reject boolean"))
 
 
-def test_late_frames(spark):
-    df = spark.createDataFrame([(1.0,), (50.0,)], "data_time double")
-    assert windows.late_frames(df, 10.0).count() == 1
+def test_late_frames_go_to_a_table_and_are_merged_on_reading(spark, tmp_path):
+    root = str(tmp_path)
+    run = windows.chunk_batch(root, seconds=10, delay=20)
+    run(frames_at(spark, 1, 2, 55), 0)
+    assert windows.watermark(spark, root) == 35_000_000 and windows.late_frames(spark, root) is None
+    for _ in range(2):
+        run(frames_at(spark, 3, 33, 31, 90), 1)       # 3 is late; the chunk of 33 and 31 ends after the watermark
+    run(frames_at(spark, 34, 61, 71), 2)              # the chunks of 34 and 61 have ended at 70
+    assert sorted((r["data_time"], r["batch_id"]) for r in windows.late_frames(spark, root).collect()) == [(3.0, 1), (34.0, 2), (61.0, 2)]
+    got = {r["chunk"]: (r["total_count"], r["late_count"], r["closed"]) for r in windows.read_chunks(spark, root).collect()}
+    assert got == {0: (3, 1, True), 5: (1, 0, True), 3: (3, 1, True), 9: (1, 0, False), 6: (1, 1, True), 7: (1, 0, False)}
+    assert {r["chunk"]: r["total_count"] for r in windows.read_chunks(spark, root, late=False).collect()} == {0: 2, 5: 1, 3: 2, 9: 1, 7: 1}
+
+
+def test_an_empty_batch_moves_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    run = windows.chunk_batch(root)
+    run(frames_at(spark, 100), 0)
+    run(frames_at(spark, 1).where("false"), 1)
+    assert windows.watermark(spark, root) == 40_000_000 and windows.read_chunks(spark, root).count() == 1
+
+
+def test_accumulator_writes_changed_keys_and_goes_on_after_a_restart(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "acc")
+    layout = "physical_channel int, bin int, before double, after double"
+
+    def step(rows):
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(source)
+        q = windows.run_accumulator(windows.spectrum_accumulator(spark.readStream.schema(layout).parquet(source)), root)
+        q.awaitTermination()
+        return q
+
+    step([(14, b, 1.0, 0.5) for b in range(4)])
+    q = step([(14, 1, 2.0, 0.0), (15, 0, 1.0, 1.0)])
+    assert sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) == 5
+    assert {r["batch_id"]: r["count"] for r in spark.read.parquet(f"{root}/totals").groupBy("batch_id").count().collect()} == {0: 4, 1: 2}
+    got = sorted(map(tuple, windows.read_accumulator(spark, root, ("physical_channel", "bin")).collect()))
+    assert got == [(14, 0, 1.0, 0.5, 1), (14, 1, 3.0, 0.5, 2), (14, 2, 1.0, 0.5, 1), (14, 3, 1.0, 0.5, 1), (15, 0, 1.0, 1.0, 1)]
