@@ -2,8 +2,7 @@
 
 Method: every line is normalised (A-Z folded, white space runs to one space, ends trimmed) and hashed; for each host,
 which in ``documents`` is the source, the documents that have the line are counted.  A line is boilerplate when more
-than ``LINE_DOCS`` documents of the host have it and also more than ``LINE_PERCENT`` per cent of them.  Such lines are
-removed, and a document that loses more than ``DEPLETED_PERCENT`` per cent of its words is rejected.
+than ``LINE_DOCS`` documents of the host have it, however large the host is.  Such lines are removed, and a document that loses more than ``DEPLETED_PERCENT`` per cent of its words is rejected.
 
 The base rules are counted inside each row by array functions, without a shuffle: five-word windows are hashed, sorted
 with their places, and equal neighbours mark the words they cover.
@@ -19,7 +18,6 @@ from .tables import table, written
 
 WINDOW = 5
 LINE_DOCS = 20
-LINE_PERCENT = 1
 DEPLETED_PERCENT = 70
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -42,11 +40,19 @@ def _without(text: Column, letters: str) -> Column:
     return F.translate(text, letters, "")
 
 
+def _host() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
+
+
+def _row() -> Column:
+    """Names a row by its id, source and text; rows that repeat all three share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), _host(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def row_counts(docs: DataFrame) -> DataFrame:
     """Base counts of every row and its distinct normalised lines as (hash, words of all such lines)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("host"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), _host().alias("host"), text.alias("text"))
     # Each step is a projection of its own: what a lambda refers to has to be a column, or it would run per element.
     rows = docs.select("*", F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("words"),
                        F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0).alias("lines"))
@@ -63,7 +69,7 @@ def row_counts(docs: DataFrame) -> DataFrame:
     line_rows = F.transform("lines", lambda x: F.struct(
         F.xxhash64(normal_line(x)).alias("hash"), F.size(word_list(x)).cast("long").alias("words")))
     return rows.select(
-        "doc_id", "host", F.size("words").cast("long").alias("n_words"), F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
+        "doc_id", "row", "host", F.size("words").cast("long").alias("n_words"), F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), line_rows.alias("lines"))
@@ -72,9 +78,7 @@ def row_counts(docs: DataFrame) -> DataFrame:
 def common_lines(counts: DataFrame) -> DataFrame:
     """``host``, ``hash`` of the lines that too many documents of the host have."""
     each = counts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    seen = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > LINE_DOCS)
-    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return seen.join(hosts, "host").where(F.col("docs") * 100 > F.col("host_docs") * LINE_PERCENT).select("host", "hash")
+    return each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > LINE_DOCS).select("host", "hash")
 
 
 def line_frequency_rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +86,7 @@ def line_frequency_rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A null text has no words and fails the base rule; a null source is a host of its own; rows that repeat a document
     count as documents of their own and get the same verdict; columns other than doc_id, source and text are ignored."""
-    counts = written(row_counts(docs).withColumn("row", F.xxhash64("doc_id", "host", "n_words", "word_chars", "lines")))
+    counts = written(row_counts(docs))
     common = written(common_lines(counts))
     lines = counts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.words")
     # Rows that repeat a document share ``row``; taking the words as a maximum per line keeps them from adding up.
@@ -99,14 +103,17 @@ def line_frequency_rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, without their host's common lines; blank lines stay as they are."""
+    """The rows of ``docs`` that are kept, each once, without their host's common lines; blank lines stay as they are.
+
+    The columns come back as they were, also one that is named like a column used here."""
     verdicts, hits = line_frequency_rules(docs)
-    gone = hits.groupBy("row").agg(F.collect_set("hash").alias("_gone"))
-    kept = verdicts.where("kept").select("row", "doc_id").distinct().join(gone, "row", "left").select(F.col("doc_id").alias("_doc"), "_gone")
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")))
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
-        F.split("text", "\n"), lambda x: (F.length(F.trim(x, F.lit(SPACES))) == 0) | ~F.array_contains("_gone", F.xxhash64(normal_line(x)))), "\n"))
-    return joined.select(*[left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    gone = hits.groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    kept = verdicts.where("kept").select("row").distinct().join(gone, "row", "left").select("row", F.struct("gone").alias("found"))
+    packed = docs.select(_row().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    joined = packed.join(kept, "row")
+    left = F.when(F.col("found.gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.filter(
+        F.split("doc.text", "\n"), lambda x: (F.length(F.trim(x, F.lit(SPACES))) == 0) | ~F.array_contains("found.gone", F.xxhash64(normal_line(x)))), "\n"))
+    return joined.select(*[left.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,9 +137,7 @@ ln AS (
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id),
 common AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS docs FROM ln GROUP BY host, norm)
-  JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY host) USING (host)
-  WHERE docs > {LINE_DOCS} AND docs * 100 > host_docs * {LINE_PERCENT}),
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS docs FROM ln GROUP BY host, norm) WHERE docs > {LINE_DOCS}),
 lost AS (SELECT doc_id, sum(n) AS n FROM ln SEMI JOIN common USING (host, norm) GROUP BY doc_id),
 c AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

@@ -44,3 +44,20 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f g h i j k l", "s")] * 25
     got = R.line_frequency_rules(spark.createDataFrame(rows, schema))[0].collect()
     assert len(got) == 25 and len({tuple(r) for r in got}) == 1
+
+
+def test_a_growing_host_excuses_no_line(spark):
+    line = "the same line in twenty five documents of each host"
+    rows = [(i, line, "small") for i in range(25)] + [(1000 + i, line, "large") for i in range(25)]
+    rows += [(2000 + i, f"a line that is all of document {i} and of no other one at all", "large") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = R.line_frequency_rules(docs)[0].collect()
+    assert {r["kept"] for r in got if r["doc_id"] < 2000} == {False} and {r["kept"] for r in got if r["doc_id"] >= 2000} == {True}
+
+
+def test_cleaning_returns_every_kept_row_once(spark):
+    own = "one two three four five six seven eight nine ten"
+    rows = [(None, f"{own} a", "s", 1, "r"), (None, f"{own} b", "s", 2, "r"), (7, f"{own} c", "s", 3, "r"), (7, f"{own} d", "s", 4, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int, row string")
+    clean = R.clean_documents(docs)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect()), key=str) == sorted(rows, key=str)
