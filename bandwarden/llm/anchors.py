@@ -18,9 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ngram_join import row_key
 from .tables import batches, drop_written, table, written
 from .words import Words, as_long, mix, rolling, slices
 
@@ -30,7 +30,7 @@ COVER = np.array([0, 1, 3, 9])
 ANCHOR = WINDOW - PERIOD + 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("identity", pa.binary()), ("sha", pa.string()),
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int64()), ("identity", pa.binary()), ("sha", pa.string()),
                      ("anchors", pa.list_(pa.int64()))])
 
 
@@ -68,7 +68,7 @@ def _anchored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         grams = rolling(h, ANCHOR)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(np.searchsorted(words.bounds, chosen, "right") - 1, minlength=words.rows))])
         yield pa.record_batch([
-            batch.column("doc_id").slice(words.first, words.rows), pa.array(n, pa.int64()),
+            batch.column("doc_id").slice(words.first, words.rows), batch.column("row").slice(words.first, words.rows), pa.array(n, pa.int64()),
             pa.array([identity(h[a:e]) for a, e in zip(words.bounds, words.bounds[1:])], pa.binary()),
             pa.array(joined_sha(words, np.ones(len(h), bool))),
             pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(as_long(grams[chosen])))], schema=_SCHEMA)
@@ -94,31 +94,20 @@ def _each_candidate(batch: pa.RecordBatch) -> Iterator[tuple[Words, np.ndarray,
             yield words, h, r, candidate_starts(ranks, int(e - a)), words.first + r
 
 
-def _same_text(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the identity they were chosen for; an id may come with two texts."""
-    keep = np.zeros(len(batch), bool)
-    wanted = batch.column("identity").to_pylist()
-    for words in slices(batch.column("text")):
-        h = words.hashes()
-        for r in range(words.rows):
-            keep[words.first + r] = identity(h[words.bounds[r]:words.bounds[r + 1]]) == wanted[words.first + r]
-    yield batch.filter(pa.array(keep))
-
-
 def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
     for words, h, r, starts, row in _each_candidate(batch):
         if not len(starts):
             continue
         own = h[words.bounds[r]:words.bounds[r + 1]]
         one, two = rolling(own, WINDOW)[starts], rolling(mix(own ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)[starts]
-        yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(np.full(len(starts), ids[row])),
-                               pa.array((int(parts[row]) << 40) + starts)], names=["h1", "h2", "doc_id", "start"])
+        same = pa.array(np.full(len(starts), row))
+        yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), batch.column("doc_id").take(same), batch.column("row").take(same),
+                               pa.array(starts)], names=["h1", "h2", "doc_id", "row", "start"])
 
 
 def _cleaned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Removed words of the candidates: the windows that do not start here first cover them."""
-    first, parts = batch.column("first"), batch.column("part").to_pylist()
+    first = batch.column("first")
     removed, shas, kept_flags, seen = np.zeros(len(batch), np.int64), [], [], None
 
     def finish(words: Words) -> None:
@@ -130,7 +119,7 @@ def _cleaned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             finish(seen)
         seen = words
         n = int(words.bounds[r + 1] - words.bounds[r])
-        own = np.array(first[row].as_py() or [], np.int64) - (int(parts[row]) << 40)
+        own = np.array(first[row].as_py() or [], np.int64)
         later = np.setdiff1d(starts, own)
         change = np.zeros(n + 1, np.int64)
         np.add.at(change, later, 1)
@@ -140,35 +129,31 @@ def _cleaned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         kept_flags.append(~gone)
     if seen is not None:
         finish(seen)
-    yield pa.record_batch([batch.column("doc_id"), batch.column("identity"), pa.array(removed), pa.array(shas, pa.string())],
-                          names=["doc_id", "identity", "n_removed", "kept_sha256"])
+    yield pa.record_batch([batch.column("identity"), pa.array(removed), pa.array(shas, pa.string())], names=["identity", "n_removed", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` for every row of ``docs``.
 
-    A null text has no words.  Rows that repeat a document are that document and get its result; rows that share an id
-    with other words count as its parts, in the order of their identities.  Other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.mapInArrow(batches(_anchored), "doc_id long, n_words long, identity binary, sha string, anchors array<long>"))
-    firsts = written(rows.where("identity IS NOT NULL").groupBy("identity").agg(F.min("doc_id").alias("doc_id"))
-                     .withColumn("part", F.row_number().over(W.partitionBy("doc_id").orderBy("identity")) - 1))
+    A null text has no words.  Rows that repeat a document are that document and get its result.  Rows that share an id
+    with other words are documents of their own, in the order of their row keys; rows without an id come after all others
+    and are told apart in the same way.  Other columns are ignored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
+    rows = written(docs.mapInArrow(batches(_anchored), "doc_id long, row binary, n_words long, identity binary, sha string, anchors array<long>"))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
+    firsts = written(rows.where("identity IS NOT NULL").groupBy("identity").agg(F.min(order).alias("at")).select("identity", "at.doc_id", "at.row"))
     twice = written(rows.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"))
-    found = (rows.select("doc_id", F.posexplode("anchors").alias("rank", "anchor")).join(twice.hint("shuffle_hash"), "anchor")
-             .groupBy("doc_id").agg(F.collect_set("rank").alias("found")))
-    found = written(found.join(firsts, "doc_id"))
+    found = (rows.select("row", F.posexplode("anchors").alias("rank", "anchor")).join(twice.hint("shuffle_hash"), "anchor")
+             .groupBy("row").agg(F.collect_set("rank").alias("found")))
+    found = written(found.join(firsts.select("row", "identity"), "row"))
     drop_written(twice)
-    schema = "doc_id long, text string, identity binary, part int, found array<int>"
-    chosen = written(docs.join(found, "doc_id").select("doc_id", "text", "identity", "part", "found")
-                     .mapInArrow(batches(_same_text), schema))
-    starts = (chosen.mapInArrow(batches(_windows), "h1 long, h2 long, doc_id long, start long")
-              .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at")))
-    own = (starts.groupBy(F.col("at.doc_id").alias("doc_id"), F.shiftright("at.start", 40).cast("int").alias("part"))
-           .agg(F.collect_list("at.start").alias("first")))
-    result = written(chosen.join(own, ["doc_id", "part"], "left").select("doc_id", "text", "identity", "part", "found", "first")
-                     .mapInArrow(batches(_cleaned), "doc_id long, identity binary, n_removed long, kept_sha256 string")
-                     .dropDuplicates(["identity"]))
-    known = firsts.select("identity", F.col("doc_id").alias("first_doc")).join(result.drop("doc_id"), "identity", "left")
+    chosen = written(docs.join(found, "row").select("doc_id", "row", "text", "identity", "found"))
+    starts = (chosen.mapInArrow(batches(_windows), "h1 long, h2 long, doc_id long, row binary, start long")
+              .groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "start")).alias("at")))
+    own = starts.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.start").alias("first"))
+    result = written(chosen.join(own, "row", "left").select("text", "identity", "found", "first")
+                     .mapInArrow(batches(_cleaned), "identity binary, n_removed long, kept_sha256 string").dropDuplicates(["identity"]))
+    known = firsts.select("identity", F.col("doc_id").alias("first_doc")).join(result, "identity", "left")
     copy = F.col("identity").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
     return rows.select("doc_id", "n_words", "identity", "sha").join(known, "identity", "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

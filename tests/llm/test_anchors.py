@@ -45,3 +45,16 @@ def test_empty_repeated_rows_and_one_id_with_two_texts(spark):
     rows = [(5, long), (5, long), (6, long), (7, long + " tail"), (7, "head " + long), (8, "short text")]
     got = sorted(tuple(r)[:3] for r in A.remove_repeats(spark.createDataFrame(rows, schema)).collect())
     assert got == [(5, 25, 0), (5, 25, 0), (6, 25, 25), (7, 26, 25), (7, 26, 25), (8, 2, 0)]
+
+
+def test_ids_that_are_shared_or_missing(spark):
+    long = [f"w{i}" for i in range(360)]
+    shared = long[100:160]
+    short = " ".join(f"s{i}" for i in range(22))
+    rows = [(1, " ".join(long)), (5, " ".join(["a"] + long[:300])), (5, short), (None, "n1 " + " ".join(shared)), (None, "n2 " + " ".join(shared)),
+            (None, short), (9, "tail " + " ".join(shared[:30]))]
+    docs = spark.createDataFrame([(*r, 1, b"x") for r in rows], "doc_id long, text string, start int, row binary")
+    got = sorted((tuple(r)[:3] for r in A.remove_repeats(docs).collect()), key=str)
+    assert got == sorted([(1, 360, 0), (5, 301, 300), (5, 22, 0), (None, 61, 60), (None, 61, 60), (None, 22, 22), (9, 31, 30)], key=str)
+    only = spark.createDataFrame([(None, "n1 " + " ".join(shared)), (None, "n2 " + " ".join(shared))], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in A.remove_repeats(only).collect()) == [0, 60]
