@@ -198,20 +198,16 @@ def _matched_of_group(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": [nodes[j] for j in np.flatnonzero(keep.any(axis=0))]})
 
 
-def _nameless() -> Column:
-    """Identity of a row without an id; null for all others."""
-    return F.when(F.col("doc_id").cast("long").isNull(), row_key())
-
-
 def _same_document(doc: Column, row: Column) -> Column:
     return doc.eqNullSafe(F.col("_doc")) & row.eqNullSafe(F.col("_row"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``row``, ``line`` (from 0) of every line to remove; rows that repeat a ``doc_id`` are one document here.
+    """``doc_id``, ``row``, ``line`` (from 0) of every line to remove.
 
-    ``row`` tells documents without an id apart and is null for all others."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _nameless().alias("row"))
+    ``row`` names the id and the text: rows that repeat both are one document, rows that share an id only, or have none,
+    are documents of their own, in the order of ``row``; those without an id come after all others."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
     full_lines = written(docs.mapInArrow(batches(_prefixes), NODE))
     lines = written(full_lines.select("doc_id", "row", "line", "node"))
     nodes, rare = _rare_tokens(full_lines)
@@ -241,10 +237,10 @@ def removed_by_document(docs: DataFrame) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0) for every row of ``docs``.
 
-    A null or empty text has no lines.  Repeated rows of one document get the same answer; rows without an id are one
-    document for each text."""
+    A null or empty text has no lines.  Repeated rows of one document get the same answer; rows without an id, and rows
+    that share one, are one document for each text."""
     plain = F.col("text").cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _nameless().alias("row"),
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"),
                         F.when(F.coalesce(F.length(plain), F.lit(0)) == 0, F.lit(0))
                         .otherwise(F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
@@ -258,7 +254,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the text."""
     removed = removed_by_document(docs).withColumnRenamed("removed", "_removed")
-    joined = docs.join(removed, _same_document(F.col("doc_id").cast("long"), _nameless()), "left")
+    joined = docs.join(removed, _same_document(F.col("doc_id").cast("long"), row_key()), "left")
     kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(
         F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i)), "\n"))
     joined = joined.withColumn("_kept", kept).where(F.col("_removed").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))

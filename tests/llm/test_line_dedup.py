@@ -121,3 +121,13 @@ def test_matches_sql(spark):
     want = sorted(con.sql(f"SELECT doc_id, n_lines, n_removed, removed FROM ({L.ORACLE})").fetchall())
     got = sorted((r.doc_id, r.n_lines, r.n_removed, ",".join(map(str, r.removed))) for r in L.line_report(spark.read.parquet(path)).collect())
     assert got == want
+
+
+def test_texts_that_share_an_id_lose_only_their_own_lines(spark):
+    line = "one two three four five six"
+    rows = [(1, line), (5, line + "\nq w e r t y u"), (5, "UNIQUE line that nobody else has here\nr t y u i o p"), (5, line + "\nq w e r t y u")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string")
+    got = sorted((r["doc_id"], r["n_lines"], r["n_removed"], tuple(r["removed"])) for r in L.line_report(docs).collect())
+    assert got == [(1, 1, 0, ()), (5, 2, 0, ()), (5, 2, 1, (0,)), (5, 2, 1, (0,))]
+    kept = sorted(r["text"] for r in L.without_repeated_lines(docs).collect())
+    assert kept == sorted([line, "q w e r t y u", "q w e r t y u", "UNIQUE line that nobody else has here\nr t y u i o p"])
