@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fractions import Fraction
+from functools import cmp_to_key
 from statistics import NormalDist
 
 import numpy as np
@@ -100,32 +100,88 @@ _DECISION = T.StructType([T.StructField(n, t) for n, t in (
     ("fired_bin", T.IntegerType()))])
 
 
+_SURE = 2.0 ** -49  # two rounded operands, their quotient and a product by a constant stay within a fifth of this
+
+
+def _integers(rows: list) -> np.ndarray:
+    """Rows of whole numbers, as Python integers where twice a value could leave 64 bits."""
+    a = np.asarray(rows)
+    if a.dtype == object:
+        return np.array([[int(x) for x in row] for row in rows], object)
+    return a.astype(object if int(a.max(initial=0)) >= 1 << 61 else np.int64)
+
+
+def _smaller(p: tuple[int, int], q: tuple[int, int]) -> int:
+    """Order of two fractions, each a numerator and a positive denominator."""
+    left, right = p[0] * q[1], q[0] * p[1]
+    return (left > right) - (left < right)
+
+
+def rational_decisions(t: list, lower: list, upper: list, anchor: np.ndarray, null: list, rank: int, multiplier_q16: int,
+                       half_width: int) -> np.ndarray:
+    """Columns mask, usable, n_bulk, rank_bin, fired_bin for frames whose arrays have one length.
+
+    Doubles order the ratios ``2 t / (lower + upper)`` wherever they differ by more than the error of their division;
+    only ratios closer than that are compared as integers, products of any length."""
+    n = len(t[0])
+    exact_t, exact_d = 2 * _integers(t), _integers(lower) + _integers(upper)
+    good = (exact_d > 0).astype(bool)
+    ratio = np.where(good, exact_t.astype(float) / np.where(good, exact_d, 1).astype(float), np.inf)
+    bulk = np.zeros(good.shape, bool)
+    row = np.repeat(np.arange(len(null)), [len(x) for x in null])
+    bulk[row, np.concatenate([np.asarray(x, np.int64) for x in null]) if len(row) else row] = True
+    bulk &= good
+    n_bulk = bulk.sum(1)
+    out = np.zeros((len(t), 5), np.int64)
+    out[:, 2], out[:, 3], out[:, 4] = n_bulk, -1, -1
+    rows = np.flatnonzero(n_bulk > rank)
+    if not len(rows):
+        return out
+    held = np.where(bulk[rows], ratio[rows], np.inf)
+    place = np.argsort(held, axis=1, kind="stable")[:, rank]
+    level = held[np.arange(len(rows)), place]
+    close = bulk[rows] & (np.abs(ratio[rows] - level[:, None]) <= level[:, None] * _SURE)
+    below = (bulk[rows] & (ratio[rows] < level[:, None]) & ~close).sum(1)
+    rank_bin, level_bin = place.copy(), place.copy()
+    for i in np.flatnonzero(close.sum(1) > 1):
+        fraction = lambda b, r=rows[i]: (int(exact_t[r, b]), int(exact_d[r, b]))
+        near = sorted(np.flatnonzero(close[i]).tolist(), key=cmp_to_key(lambda p, q: _smaller(fraction(p), fraction(q)) or p - q))
+        level_bin[i] = near[rank - below[i]]
+        rank_bin[i] = next(b for b in near if not _smaller(fraction(b), fraction(level_bin[i])))
+    window = (anchor[rows][:, None] + np.arange(-half_width, half_width + 1)) % n
+    mine = (np.arange(len(rows))[:, None], window)
+    value, limit = ratio[rows][mine] * C.Q16_ONE, ratio[rows, level_bin] * multiplier_q16
+    open_ = good[rows][mine]
+    over = open_ & (value > limit[:, None] * (1 + _SURE))
+    unsure = open_ & ~over & (value >= limit[:, None] * (1 - _SURE))
+    for i, k in zip(*np.nonzero(unsure)):
+        r, b, base = rows[i], window[i, k], level_bin[i]
+        over[i, k] = int(exact_t[r, b]) * C.Q16_ONE * int(exact_d[r, base]) > int(exact_t[r, base]) * multiplier_q16 * int(exact_d[r, b])
+    fired = over.any(1)
+    out[rows, 0], out[rows, 1], out[rows, 3] = fired, 1, rank_bin
+    out[rows, 4] = np.where(fired, window[np.arange(len(rows)), over.argmax(1)], -1)
+    return out
+
+
 def with_fine_decision(df: DataFrame, target: str, lower: str, upper: str, anchor: str, bulk: str, rank: int,
                        multiplier_q16: int, half_width: int) -> DataFrame:
     """Adds the exact order-statistic decision of each frame.
 
-    Ratios are compared as rationals with Python integers, since products pass
-    38 digits.  The rank value is the ``rank``-th smallest null ratio; the
-    first window bin above it times the multiplier fires."""
+    Ratios are ordered as rationals: the rank value is the ``rank``-th smallest null ratio; the first window bin above
+    it times the multiplier fires."""
     if multiplier_q16 <= 0 or rank < 0:
         raise ValueError("rank must be non-negative and the multiplier positive")
 
-    def decide(t, lo, up, a, null):
-        n, den = len(t), [int(x) + int(y) for x, y in zip(lo, up)]
-        usable = sorted((Fraction(2 * int(t[b]), den[b]), b) for b in null if den[b] > 0)
-        if rank >= len(usable):
-            return 0, False, len(usable), -1, -1
-        level = usable[rank][0]
-        rank_bin = min(b for v, b in usable if v == level)
-        limit = level * multiplier_q16
-        fired = next((b for b in ((a + s) % n for s in range(-half_width, half_width + 1))
-                      if den[b] > 0 and Fraction(2 * int(t[b]), den[b]) * C.Q16_ONE > limit), -1)
-        return int(fired >= 0), True, len(usable), rank_bin, fired
-
     @F.pandas_udf(_DECISION)
     def decision(t: pd.Series, lo: pd.Series, up: pd.Series, a: pd.Series, null: pd.Series) -> pd.DataFrame:
-        rows = [decide(*r) for r in zip(t, lo, up, a, null)]
-        return pd.DataFrame(rows, columns=[f.name for f in _DECISION])
+        out = np.zeros((len(t), 5), np.int64)
+        length = t.map(len).to_numpy()
+        out[:, 3:] = -1
+        for n in np.unique(length[length > 0]):
+            at = np.flatnonzero(length == n)
+            pick = lambda s: [s.iloc[i] for i in at]
+            out[at] = rational_decisions(pick(t), pick(lo), pick(up), a.to_numpy(np.int64)[at], pick(null), rank, multiplier_q16, half_width)
+        return pd.DataFrame({"mask": out[:, 0], "usable": out[:, 1].astype(bool), "n_bulk": out[:, 2], "rank_bin": out[:, 3], "fired_bin": out[:, 4]})
 
     return df.withColumn("_d", decision(target, lower, upper, anchor, bulk)).select("*", "_d.*").drop("_d")
 
@@ -232,6 +288,37 @@ def window_max(fine: Column, anchor: Column, half_width: int, n_bins: int) -> Co
     return F.array_max(F.transform(G.circular_window(anchor, half_width, n_bins), lambda b: F.get(fine, b.cast("int")))).cast("double")
 
 
+def null_populations(df: DataFrame, tiles: DataFrame, off: DataFrame, fine: str = "fine_ratio", stat: str = "stat") -> DataFrame:
+    """``physical_channel``, ``quarter``, ``population``, ``value``: what the edge histograms count, in one pass over the frames.
+
+    ``on_sky``: the window statistic of every frame; ``off_epoch``: that of frames in ``off`` quarters; ``off_pilot``: the
+    largest bin of every null tile of the channel.  ``tiles`` and ``off`` hold at most one row per bin and quarter of a channel."""
+    spans = tiles.groupBy("physical_channel").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_tiles"))
+    quiet = off.select("physical_channel", "quarter", F.lit(True).alias("_off"))
+    j = join_small(join_small(df, spans, ["physical_channel"], how="left"), quiet, ["physical_channel", "quarter"], how="left")
+    one = lambda name, value: F.struct(F.lit(name).alias("population"), value.cast("double").alias("value"))
+    windows = F.transform(F.coalesce("_tiles", F.array().cast("array<struct<first:int,last:int>>")), lambda t: one(
+        "off_pilot", F.array_max(F.slice(F.col(fine), t["first"] + 1, t["last"] - t["first"] + 1))))
+    plain = F.array(one("on_sky", F.col(stat)))
+    return j.select("physical_channel", "quarter", F.explode(F.concat(
+        plain, windows, F.when(F.col("_off"), F.array(one("off_epoch", F.col(stat)))).otherwise(
+            F.array().cast("array<struct<population:string,value:double>>")))).alias("p")).select("physical_channel", "quarter", "p.*")
+
+
+def population_sums(counts: DataFrame, frames: DataFrame, tiles: DataFrame, off: DataFrame) -> DataFrame:
+    """Histogram sums beside what the frames demand: one count a frame on sky and off epoch, one a tile off pilot."""
+    keys = ["physical_channel", "quarter"]
+    have = counts.groupBy(*keys, "population").agg(F.sum("n").alias("counted"))
+    n = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
+    per = tiles.groupBy("physical_channel").agg(F.count(F.lit(1)).alias("tiles"))
+    want = n.select(*keys, F.lit("on_sky").alias("population"), F.col("frames").alias("expected"))
+    want = want.unionByName(n.join(off.select(*keys), keys).select(*keys, F.lit("off_epoch").alias("population"), F.col("frames").alias("expected")))
+    want = want.unionByName(n.join(per, "physical_channel").select(*keys, F.lit("off_pilot").alias("population"), (F.col("frames") * F.col("tiles")).alias("expected")))
+    return want.join(have, [*keys, "population"], "full").select(
+        *keys, "population", F.coalesce("counted", F.lit(0)).alias("counted"), F.coalesce("expected", F.lit(0)).alias("expected"),
+        F.col("counted").eqNullSafe(F.col("expected")).alias("agrees"))
+
+
 def off_quarters(df: DataFrame, stat: str, limit: float = 1.5, min_n: int = 30, max_rows: int | None = None) -> DataFrame:
     """(channel, quarter) whose median window statistic sits at the null."""
     g = grouped_quantiles(df, ["physical_channel", "quarter"], {"median": (stat, 0.5)}, [F.count(F.lit(1)).alias("n")], max_rows=max_rows)

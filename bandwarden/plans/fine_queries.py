@@ -206,6 +206,42 @@ def off_quarters(spark, d):
     return rounded(N.off_quarters(df, "stat", 1.18, 3, max_rows=bound(spark, d)), "median", digits=6)
 
 
+_TILES = f""", lm AS (SELECT physical_channel, bin, quantile_cont(y, 0.5) >= 1.02::DOUBLE AS line FROM nm GROUP BY 1, 2),
+bl AS (SELECT DISTINCT a.physical_channel, a.bin FROM lm a JOIN lm b ON a.physical_channel = b.physical_channel AND b.line AND abs({DELTA('a.bin', 'b.bin')}) <= 4),
+fr AS (SELECT physical_channel, bin FROM lm ANTI JOIN bl USING (physical_channel, bin) WHERE abs({DELTA('bin', ANCHOR)}) > 5),
+rn AS (SELECT *, bin - row_number() OVER (PARTITION BY physical_channel ORDER BY bin) AS g FROM fr), ct AS (SELECT *, floor((row_number() OVER (PARTITION BY physical_channel, g ORDER BY bin) - 1)/5) AS tile FROM rn),
+tl AS (SELECT physical_channel, min(bin) AS first, max(bin) AS last FROM ct GROUP BY physical_channel, g, tile HAVING count(*) = 5)"""
+_POPULATIONS = WIN + _TILES + f""", wq AS (SELECT *, {QTR} AS quarter FROM ws),
+oq AS (SELECT physical_channel, quarter FROM wq GROUP BY 1, 2 HAVING count(*) >= 3 AND quantile_cont(stat, 0.5) < 1.18),
+tm AS (SELECT physical_channel, frame_id, any_value(frame_time) AS frame_time, max(x) AS value FROM fine JOIN tl USING (physical_channel) WHERE bin BETWEEN first AND last GROUP BY physical_channel, frame_id, first),
+pop AS (SELECT physical_channel, quarter, 'on_sky' AS population, stat AS value FROM wq UNION ALL SELECT physical_channel, quarter, 'off_epoch', stat FROM wq SEMI JOIN oq USING (physical_channel, quarter)
+ UNION ALL SELECT physical_channel, {QTR}, 'off_pilot', value FROM tm)"""
+
+
+def _populations(spark, d):
+    df = window_stat(spark, d).withColumn("quarter", clock.quarter_label(c("frame_time")))
+    off = N.off_quarters(df, "stat", 1.18, 3, max_rows=bound(spark, d))
+    found = tiles(spark, d)
+    counts = H.edge_histogram(N.null_populations(df, found, off), ["physical_channel", "quarter", "population"], c("value"), H.RATIO_EDGES)
+    return df, found, off, counts
+
+
+@query("edge_histogram_populations", with_(FINE) + NORM + _POPULATIONS + f"""
+, b AS (SELECT physical_channel, quarter, population, {edge_bin_sql('value', H.RATIO_EDGES)} AS bin FROM pop),
+k AS (SELECT physical_channel, quarter, population, bin, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT DISTINCT physical_channel, quarter, population FROM b),
+gg AS (SELECT physical_channel, quarter, population, CAST(unnest(range(152)) AS INT) AS bin FROM g)
+SELECT gg.*, coalesce(k.n, 0) AS n FROM gg LEFT JOIN k USING (physical_channel, quarter, population, bin)""")
+def edge_populations(spark, d):
+    return _populations(spark, d)[3]
+
+
+@query("edge_histogram_population_sums", with_(FINE) + NORM + _POPULATIONS + """
+SELECT physical_channel, quarter, population, CAST(count(*) AS BIGINT) AS counted, CAST(count(*) AS BIGINT) AS expected, TRUE AS agrees FROM pop GROUP BY 1, 2, 3""")
+def edge_population_sums(spark, d):
+    df, found, off, counts = _populations(spark, d)
+    return N.population_sums(counts, df, found, off)
+
+
 @query("unit_maxima_histogram", with_(FINE) + WIN + f"""
 , u AS (SELECT physical_channel, unit_id, max(stat) AS m FROM ws GROUP BY 1, 2), b AS (SELECT physical_channel, {edge_bin_sql('m', H.RATIO_EDGES)} AS bin FROM u)
 SELECT physical_channel, bin, count(*) AS n FROM b GROUP BY 1, 2""")

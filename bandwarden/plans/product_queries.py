@@ -143,6 +143,70 @@ def product_round_trip(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("p_target").cast("long").alias("p_target"), F.count_if("reject_mask").alias("masked"))
 
 
+def _spectra_product(spark, d):
+    """Mean fine ratio per bin, of all frames and of those below 1.05, in the stored layout."""
+    bins = V.fine_bins(V.fine(spark, d))
+    return bins.groupBy("physical_channel", "bin").agg(F.avg("x").alias("before"), F.avg(F.when(c("x") <= 1.05, c("x"))).alias("after")).select(
+        V.freq_id(c("physical_channel")).alias("freq_id"), c("bin").cast("int").alias("bin"), "before", "after")
+
+
+def _exceedance_product(spark, d):
+    bins = V.fine_bins(V.fine(spark, d)).where("x > 1.3")
+    return bins.select(V.freq_id(c("physical_channel")).alias("freq_id"), c("unit_id").cast("long").alias("unit_index"),
+                       (c("frame_id") % 8).cast("int").alias("frame_in_unit"), c("bin").cast("int").alias("bin"))
+
+
+def _unit_product(spark, d):
+    u = V.units(spark, d)
+    return u.select("freq_id", c("event_id").alias("unit_index"), "unit_key", keys.source_event_key(c("unit_key"), c("freq_id")).alias("source_event_key"),
+                    "event_id", c("unit_time0").alias("time0"), F.lit(0).cast("long").alias("time0_fpga"), F.lit(2.56e-6).alias("period"), F.lit(2048).alias("n_streams"))
+
+
+def _whole_generation(spark, d):
+    """All four tables and a summary, published together."""
+    root, generation = scratch(spark, "generation"), products.new_generation()
+    df = V.detector_frames(spark, d)
+    summary = df.groupBy("physical_channel").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("valid").alias("n_valid"), F.count_if("reject").alias("n_masked"))
+    products.write_products(root, generation, {
+        "frames": frame_product(df), "units": _unit_product(spark, d), "spectra": _spectra_product(spark, d),
+        "exceedances": _exceedance_product(spark, d)}, {"mask_summary": summary})
+    return root, generation
+
+
+_PARTS = """, n AS (SELECT 'frames' AS "table", count(*) AS n_rows FROM v UNION ALL SELECT 'units', count(*) FROM u
+UNION ALL SELECT 'spectra', count(*) FROM (SELECT DISTINCT physical_channel, bin FROM fine) UNION ALL SELECT 'exceedances', count(*) FILTER (x > 1.3::DOUBLE) FROM fine
+UNION ALL SELECT 'mask_summary.csv', count(DISTINCT physical_channel) FROM v)"""
+
+
+@query("product_generation_tables", with_(UNITS, FINE) + _PARTS + """
+SELECT "table", n_rows, CAST(NULL AS VARCHAR) AS refused FROM n""")
+def generation_tables(spark, d):
+    """Rows of each table of a generation, read back by way of the check of all of them."""
+    root, generation = _whole_generation(spark, d)
+    out = None
+    for name, df in products.read_generation(spark, root, generation).items():
+        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", F.lit(None).cast("string").alias("refused"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("product_generation_refusal", with_(UNITS, FINE) + _PARTS + """
+SELECT "table", n_rows, n_rows + 1 AS found_rows, 'GenerationRefused' AS refused FROM n WHERE "table" IN ('exceedances', 'mask_summary.csv')""")
+def generation_refusal(spark, d):
+    """One more row in a table and in a summary after publication: both are named and the generation is refused."""
+    root, generation = _whole_generation(spark, d)
+    extra = schema.conform(products.stamp(_exceedance_product(spark, d).orderBy("unit_index", "frame_in_unit", "bin").limit(1), generation), schema.EXCEEDANCES)
+    extra.write.mode("append").partitionBy("generation_id", "freq_id").parquet(f"{root}/exceedances")
+    spark.createDataFrame([("14", "1", "1", "0")], "physical_channel string, n_frames string, n_valid string, n_masked string").write.mode("append").option(
+        "header", True).csv(f"{root}/mask_summary.csv/generation_id={generation}")
+    try:
+        products.read_generation(spark, root, generation)
+        refused = None
+    except products.GenerationRefused as fault:
+        refused = type(fault).__name__
+    return products.mixed_generations(root, spark, generation).select("table", "n_rows", "found_rows", F.lit(refused).cast("string").alias("refused"))
+
+
 @query("inventory_round_trip", with_(UNITS) + "SELECT freq_id, scope, count(*) AS n FROM u GROUP BY 1, 2")
 def inventory_round_trip(spark, d):
     path = scratch(spark, "inventory")

@@ -20,12 +20,16 @@ def stamp(df: DataFrame, generation: str) -> DataFrame:
     return df.withColumn("schema_version", F.lit(schema.SCHEMA_VERSION)).withColumn("generation_id", F.lit(generation))
 
 
-def write_products(root: str, generation: str, tables: dict[str, DataFrame]) -> None:
-    """Writes product tables under one generation, then publishes it.
+class GenerationRefused(RuntimeError):
+    """Raised where tables are not those that were published together."""
+
+
+def write_products(root: str, generation: str, tables: dict[str, DataFrame], summaries: dict[str, DataFrame] | None = None) -> None:
+    """Writes product tables, and summaries as CSV, under one generation, then publishes it.
 
     Each table is partitioned by generation and frequency, so a rerun replaces
     only its own part; readers see the generation after its last row, when it
-    is appended to ``generations``."""
+    is appended to ``generations`` with the rows and the digest of each table."""
     spark = next(iter(tables.values())).sparkSession
     rows = []
     for name, df in tables.items():
@@ -37,6 +41,12 @@ def write_products(root: str, generation: str, tables: dict[str, DataFrame]) ->
         rows.append(part.agg(F.count(F.lit(1)).alias("n_rows"), digest(layout.fieldNames()).alias("digest")).select(
             F.lit(generation).alias("generation_id"), F.lit(name).alias("table"), "n_rows", "digest",
             F.current_timestamp().alias("published_at")))
+    for name, df in (summaries or {}).items():
+        write_csv(df, _csv(root, name, generation))
+        part = read_summary(spark, root, name, generation)
+        rows.append(part.agg(F.count(F.lit(1)).alias("n_rows"), digest(sorted(part.columns)).alias("digest")).select(
+            F.lit(generation).alias("generation_id"), F.lit(f"{name}.csv").alias("table"), "n_rows", "digest",
+            F.current_timestamp().alias("published_at")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -53,6 +63,27 @@ def newest_generation(spark: SparkSession, root: str) -> str:
     return g.agg(F.max_by("generation_id", "published_at")).first()[0]
 
 
+def _csv(root: str, name: str, generation: str) -> str:
+    return f"{root}/{name}.csv/generation_id={generation}"
+
+
+def read_summary(spark: SparkSession, root: str, name: str, generation: str | None = None) -> DataFrame:
+    """A summary of the newest (or a given) generation, as text."""
+    return spark.read.option("header", True).csv(_csv(root, name, generation or newest_generation(spark, root)))
+
+
+def read_generation(spark: SparkSession, root: str, generation: str | None = None) -> dict[str, DataFrame]:
+    """All tables of one generation, read only if every one is as it was published.
+
+    Lost, added or altered rows of any table refuse the generation, and so does one that nobody published."""
+    generation = generation or newest_generation(spark, root)
+    published = [r["table"] for r in spark.read.parquet(f"{root}/generations").where(F.col("generation_id") == generation).select("table").distinct().collect()]
+    wrong = sorted(r["table"] for r in mixed_generations(root, spark, generation).select("table").collect())
+    if wrong or not published:
+        raise GenerationRefused(f"generation {generation}: {wrong or 'not published'}")
+    return {t: read_summary(spark, root, t[:-4], generation) if t.endswith(".csv") else read_product(spark, root, t, generation) for t in published}
+
+
 def read_product(spark: SparkSession, root: str, name: str, generation: str | None = None) -> DataFrame:
     """A product table of the newest (or a given) published generation."""
     layout = schema.TABLES[name]
@@ -61,15 +92,23 @@ def read_product(spark: SparkSession, root: str, name: str, generation: str | No
 
 
 def mixed_generations(root: str, spark: SparkSession, generation: str) -> DataFrame:
-    """Tables whose rows or digest differ from what was published."""
+    """Tables and summaries whose rows or digest differ from what was published."""
     published = spark.read.parquet(f"{root}/generations").where(F.col("generation_id") == generation)
     found = None
-    for name, layout in schema.TABLES.items():
-        if not _exists(spark, f"{root}/{name}"):
+    for name in [r["table"] for r in published.select("table").distinct().collect()]:   # a few names
+        if name.endswith(".csv"):
+            there = _exists(spark, _csv(root, name[:-4], generation))
+            part = read_summary(spark, root, name[:-4], generation) if there else None
+        else:
+            there = _exists(spark, f"{root}/{name}")
+            part = read_product(spark, root, name, generation) if there else None
+        if part is None:
             continue
-        part = spark.read.schema(layout).parquet(f"{root}/{name}").where(F.col("generation_id") == generation).agg(
-            F.count(F.lit(1)).alias("found_rows"), digest(layout.fieldNames()).alias("found_digest")).withColumn("table", F.lit(name))
+        columns = sorted(part.columns) if name.endswith(".csv") else schema.TABLES[name].fieldNames()
+        part = part.agg(F.count(F.lit(1)).alias("found_rows"), digest(columns).alias("found_digest")).withColumn("table", F.lit(name))
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return published
     j = published.join(found, "table", "left")
     return j.where(~F.col("n_rows").eqNullSafe(F.col("found_rows")) | ~F.col("digest").eqNullSafe(F.col("found_digest")))
 

@@ -266,6 +266,36 @@ def test_fine_decision_big_integers(spark):
         N.with_fine_decision(df, "t", "lo", "up", "a", "bulk", 3, 0, 1)
 
 
+def test_fine_decisions_order_near_ties_exactly():
+    rng = np.random.default_rng(9)
+    n, hw, mult, rank = 16, 2, 66000, 4
+
+    def plain(t, lo, up, a, null):
+        value = [Fraction(2 * int(x), int(p) + int(q)) if p + q else None for x, p, q in zip(t, lo, up)]
+        usable = sorted((value[b], b) for b in null if value[b] is not None)
+        if rank >= len(usable):
+            return 0, 0, len(usable), -1, -1
+        level = usable[rank][0]
+        fired = next((b for b in ((a + s) % n for s in range(-hw, hw + 1)) if value[b] is not None and value[b] * 65536 > level * mult), -1)
+        return int(fired >= 0), 1, len(usable), min(b for v, b in usable if v == level), fired
+
+    t, lo, up, null, anchor = [], [], [], [], []
+    for k in range(400):
+        big = [2**61 + int(x) for x in rng.integers(0, 3, n)] if k % 2 else [int(x) for x in rng.integers(0, 4, n)]
+        side = [2**61 - int(x) for x in rng.integers(0, 3, n)] if k % 2 else [int(x) for x in rng.integers(0, 3, n)]
+        if k % 4 == 3:   # on the limit itself, or one beside it
+            big = [65536 * 10**12] * n
+            side = [65536 * 10**12] * n
+            big[k % n] = 66000 * 10**12 + (k // 4) % 3 - 1
+        t.append(np.array(big))
+        lo.append(np.array(side))
+        up.append(np.array(side))
+        null.append(np.flatnonzero(rng.random(n) < 0.6))
+        anchor.append(int(rng.integers(0, n)))
+    got = N.rational_decisions(t, lo, up, np.array(anchor), null, rank, mult, hw)
+    assert [tuple(r) for r in got.tolist()] == [plain(*x) for x in zip(t, lo, up, anchor, null)]
+
+
 def test_peaks_keep_the_taller_of_close_pair():
     y = np.array([0, 1, 0, 3, 2.5, 2.8, 0, 0, 5, 0.0])
     assert N.peaks(y, 0.5, 0.5, 1) == [1, 3, 8]
@@ -495,3 +525,33 @@ def test_wide_products_compare_exactly(spark):
         assert r["g"] == want and r["m"] == (want and r["c"] > 0), r
     edge = df.limit(1).select(exact.rational_overflow(F.lit(top), F.lit(1)).alias("a"), exact.rational_overflow(F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(1)).alias("b")).first()
     assert (edge["a"], edge["b"]) == (False, True)
+
+
+def test_altered_generations_are_refused(spark, tmp_path):
+    root, g = str(tmp_path), "g1"
+    layout = "freq_id long, unit_index long, frame_in_unit int, bin int"
+    rows = spark.createDataFrame([(1, 2, 3, 4), (1, 2, 3, 5)], layout)
+    products.write_products(root, g, {"exceedances": rows}, {"counts": rows.groupBy("bin").count()})
+    assert {t: df.count() for t, df in products.read_generation(spark, root).items()} == {"exceedances": 2, "counts.csv": 2}
+    with pytest.raises(products.GenerationRefused, match="not published"):
+        products.read_generation(spark, root, "g0")
+    extra = schema.conform(products.stamp(spark.createDataFrame([(1, 2, 3, 4)], layout), g), schema.EXCEEDANCES)
+    extra.write.mode("append").partitionBy("generation_id", "freq_id").parquet(f"{root}/exceedances")
+    with pytest.raises(products.GenerationRefused, match="exceedances"):
+        products.read_generation(spark, root)
+
+
+def test_population_sums_see_a_lost_count(spark):
+    q = "physical_channel int, quarter string"
+    frames = spark.createDataFrame([(14, "a")] * 3 + [(14, "b")] * 2, q)
+    tiles = spark.createDataFrame([(14, 0, 2), (14, 5, 7)], "physical_channel int, first int, last int")
+    off = spark.createDataFrame([(14, "b")], q)
+    df = frames.withColumn("fine_ratio", F.array(*[F.lit(float(i)) for i in range(8)])).withColumn("stat", F.lit(0.5))
+    values = N.null_populations(df, tiles, off)
+    assert sorted(map(tuple, values.groupBy("quarter", "population", "value").count().collect())) == [
+        ("a", "off_pilot", 2.0, 3), ("a", "off_pilot", 7.0, 3), ("a", "on_sky", 0.5, 3),
+        ("b", "off_epoch", 0.5, 2), ("b", "off_pilot", 2.0, 2), ("b", "off_pilot", 7.0, 2), ("b", "on_sky", 0.5, 2)]
+    counts = values.groupBy("physical_channel", "quarter", "population").agg(F.count("value").alias("n"))
+    assert N.population_sums(counts, frames, tiles, off).where("NOT agrees").count() == 0
+    short = counts.withColumn("n", F.col("n") - F.when(F.col("population") == "off_epoch", 1).otherwise(0))
+    assert [r["population"] for r in N.population_sums(short, frames, tiles, off).where("NOT agrees").collect()] == ["off_epoch"]
