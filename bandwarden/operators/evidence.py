@@ -16,6 +16,22 @@ def exposure_by_class(units: DataFrame, inventory: DataFrame, frame_seconds: flo
         (F.sum("n_frames") * F.lit(frame_seconds)).alias("seconds"))
 
 
+def bytes_by_class(inventory: DataFrame, units: DataFrame, quarantined: DataFrame, frame_seconds: float = FRAME_SECONDS) -> DataFrame:
+    """Catalogued, processed and quarantined units and bytes per trigger class, with the frames, events and seconds processed.
+
+    ``inventory``: unit_key, scope, size_bytes (NULL counts as none), one row a unit; bytes are those of the catalogue, not a
+    measure of what was read.  ``units``: unit_key, event_id, n_frames; ``quarantined``: unit_key."""
+    done = units.select("unit_key", "event_id", "n_frames", F.lit(True).alias("processed"))
+    bad = quarantined.select("unit_key").distinct().withColumn("bad", F.lit(True))
+    j = inventory.join(done, "unit_key", "left").join(bad, "unit_key", "left")
+    size, of = F.coalesce("size_bytes", F.lit(0)).cast("long"), lambda flag, x: F.coalesce(F.sum(F.when(F.col(flag), x)), F.lit(0))
+    return j.groupBy("scope").agg(
+        F.count(F.lit(1)).alias("units"), F.count_if("processed").alias("processed_units"), F.count_if("bad").alias("quarantined_units"),
+        F.coalesce(F.sum("n_frames"), F.lit(0)).alias("frames"), F.count_distinct("event_id").alias("events"),
+        (F.coalesce(F.sum("n_frames"), F.lit(0)) * F.lit(frame_seconds)).alias("seconds"),
+        F.sum(size).alias("catalogued_bytes"), of("processed", size).alias("processed_bytes"), of("bad", size).alias("quarantined_bytes"))
+
+
 def reconcile(inventory: DataFrame, processed: DataFrame, flagged: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Violation counts between the evidence tables; all zero means they agree."""
     key = "unit_key"

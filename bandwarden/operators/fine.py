@@ -436,6 +436,17 @@ def carrier_track(monthly: DataFrame, n_bins: int, step_hz: float, sense: int =
         *keys, ((F.col("b.rf") + delta) * step_hz).alias("offset_hz"), height.alias("height_db"))
 
 
+def carrier_drift_latest_era(track: DataFrame, eras: DataFrame, min_months: int = 8) -> DataFrame:
+    """The drift of each channel within the last of its eras, where the whole track and that part have enough months.
+
+    ``eras``: physical_channel, month_start."""
+    last = eras.groupBy("physical_channel").agg(F.max("month_start").alias("era_start"))
+    long = track.groupBy("physical_channel").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= min_months).select("physical_channel")
+    part = join_small(join_small(track, last, ["physical_channel"]), long, ["physical_channel"]).where(F.col("month") >= F.col("era_start"))
+    spread = part.groupBy("physical_channel", "era_start").agg(F.stddev_pop("offset_hz").alias("track_sd_hz"))
+    return join_small(carrier_drift(part, min_months), spread, ["physical_channel"])
+
+
 def carrier_drift(track: DataFrame, min_months: int = 8) -> DataFrame:
     """Straight drift of a track with enough months: slope, scatter, swing and
     whether the line explains the track."""

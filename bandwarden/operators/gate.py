@@ -84,6 +84,28 @@ def reason_summary(df: DataFrame) -> DataFrame:
     return by_reason.unionByName(union).unionByName(total)
 
 
+def health_summary(df: DataFrame) -> DataFrame:
+    """Frames, power ratio and mask share of each channel as stored and without the excluded frames; NULL channel = all.
+
+    Powers are summed before one ratio is formed; the mask share is that of valid frames."""
+    def part(name: str, rows: Column) -> list[Column]:
+        ok = rows & F.col("valid")
+        p, r = (F.sum(F.when(ok, F.col(c).cast("decimal(20,0)"))).cast("double") for c in ("p_target", "p_ref_sum"))
+        n = F.count_if(ok)
+        return [F.count_if(rows).alias(f"{name}_frames"), F.when(r > 0, F.lit(2.0) * p / r).alias(f"{name}_ratio"),
+                F.when(n > 0, F.count_if(ok & F.col("reject")) / n).alias(f"{name}_masked")]
+    return df.rollup("physical_channel").agg(*part("stored", F.lit(True)), *part("corrected", F.col("include")), F.count_if(~F.col("include")).alias("excluded"))
+
+
+def version_counts(channels: DataFrame, version: str = "detector_version") -> DataFrame:
+    """Channels under each whole version and under each ``name=value`` token of it."""
+    words = F.filter(F.split(version, " "), lambda w: F.instr(w, "=") > 0)
+    named = F.expr("transform(words, w -> struct(substring_index(w, '=', 1) AS token, substring(w, instr(w, '=') + 1) AS value))")
+    whole = F.array(F.struct(F.lit("version").alias("token"), F.col(version).alias("value")))
+    rows = channels.select("physical_channel", version, words.alias("words")).select("physical_channel", F.explode(F.concat(whole, named)).alias("t"))
+    return rows.groupBy("t.token", "t.value").agg(F.count_distinct("physical_channel").alias("channels"))
+
+
 def reason_map(df: DataFrame) -> DataFrame:
     """Reason counts of each channel as one map."""
     counts = df.select("physical_channel", F.explode("reasons").alias("reason")).groupBy(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import materialize
+from .bootstrap import resampled_sums
 from .quantiles import grouped_quantiles
 from .small import join_scalar, join_small
 
@@ -88,6 +89,19 @@ def hourly_tail_rates(df: DataFrame, hour: Column, min_n: int = 100) -> DataFram
     return g.where(F.col("n") > min_n)
 
 
+def hourly_tail_bands(df: DataFrame, hour: Column, min_n: int = 100, replicates: int = 300, seed: int = 41, max_rows: int | None = None) -> DataFrame:
+    """Rates of hourly low and high tails with their 16 to 84 % bands over resampled units; hours with few frames are left out."""
+    keys, n = ["physical_channel", "hour"], F.count(F.lit(1))
+    units = df.groupBy("physical_channel", hour.alias("hour"), "event_id").agg(n.alias("n"), F.count_if("lo").alias("lo"), F.count_if("hi").alias("hi"))
+    rates = units.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("lo") / F.sum("n")).alias("low_rate"), (F.sum("hi") / F.sum("n")).alias("high_rate")).where(F.col("n") > min_n)
+    kept = join_small(units, rates.select(*keys), keys)
+    sums = resampled_sums(kept, keys, "event_id", ["n", "lo", "hi"], replicates, seed, max_rows)
+    size = F.greatest(F.col("n"), F.lit(1))
+    low, high = F.col("lo") / size, F.col("hi") / size
+    bands = grouped_quantiles(sums, keys, {"low_16": (low, 0.16), "low_84": (low, 0.84), "high_16": (high, 0.16), "high_84": (high, 0.84)}, max_rows=replicates)
+    return rates.join(bands, keys)
+
+
 def sub_null_tail(df: DataFrame, scale: DataFrame, k: float = 5.0, max_rows: int | None = None) -> DataFrame:
     """Frames below ``mu - k*sigma``: share, depth, power against the bulk,
     units hit and the share of the most affected unit."""

@@ -238,6 +238,21 @@ def hourly_tails(spark, d):
     return rounded(out, "low_rate", "high_rate")
 
 
+@query("hourly_tail_bands", with_(FRAMES) + TAILS + f"""
+, us AS (SELECT physical_channel, {SOLAR.replace('unit_time0', '(unit_time0 + event_id % 86400)')} AS hour, event_id, count(*) AS n, count(*) FILTER (lo) AS lo, count(*) FILTER (hi) AS hi FROM tl GROUP BY 1, 2, 3),
+big AS (SELECT physical_channel, hour, CAST(sum(n) AS BIGINT) AS n, sum(lo)/sum(n) AS low_rate, sum(hi)/sum(n) AS high_rate FROM us GROUP BY 1, 2 HAVING sum(n) > 100),
+rk AS (SELECT us.*, row_number() OVER (PARTITION BY physical_channel, hour ORDER BY event_id) - 1 AS d, count(*) OVER (PARTITION BY physical_channel, hour) AS u FROM us SEMI JOIN big USING (physical_channel, hour)),
+dr AS ({bootstrap.draw_sql(41, "(SELECT physical_channel, hour, d, u FROM rk), (SELECT unnest(range(300)) AS replicate)")}),
+tm AS (SELECT physical_channel, hour, replicate, pick AS d, count(*) AS w FROM dr GROUP BY ALL),
+rs AS (SELECT physical_channel, hour, replicate, sum(lo*w)/greatest(sum(n*w), 1) AS l, sum(hi*w)/greatest(sum(n*w), 1) AS h FROM tm JOIN rk USING (physical_channel, hour, d) GROUP BY 1, 2, 3)
+SELECT physical_channel, hour, any_value(n) AS n, round(any_value(low_rate), 9) AS low_rate, round(any_value(high_rate), 9) AS high_rate, round(quantile_cont(l, 0.16), 9) AS low_16, round(quantile_cont(l, 0.84), 9) AS low_84,
+ round(quantile_cont(h, 0.16), 9) AS high_16, round(quantile_cont(h, 0.84), 9) AS high_84 FROM rs JOIN big USING (physical_channel, hour) GROUP BY 1, 2""")
+def hourly_bands(spark, d):
+    df = exposure.with_tails(V.detector_frames(spark, d), c("mu0"))
+    out = robust.hourly_tail_bands(df, clock.solar_hour(c("unit_time0") + c("event_id") % 86400), max_rows=bound(spark, d))
+    return rounded(out, "low_rate", "high_rate", "low_16", "low_84", "high_16", "high_84")
+
+
 @query("sub_null_tail", with_(FV) + """
 , m AS (SELECT physical_channel, quantile_cont(f, 0.5) AS mu FROM fv GROUP BY 1),
 s AS (SELECT physical_channel, min(mu) AS mu, (min(mu) - quantile_cont(f, 0.05))/10 AS sigma FROM fv JOIN m USING (physical_channel) WHERE f <= mu GROUP BY 1),

@@ -327,6 +327,18 @@ def drift(spark, d):
     return rounded(out, "r2", digits=6)
 
 
+@query("carrier_drift_latest_era", with_(FINE) + TRACK + """
+, er AS (SELECT physical_channel, CAST(max(floor(month/60))*60 AS INT) AS era_start FROM tk GROUP BY 1 HAVING count(*) >= 8), tp AS (SELECT tk.*, era_start FROM tk JOIN er USING (physical_channel) WHERE month >= era_start),
+g AS (SELECT physical_channel, era_start, count(*) AS n_months, regr_slope(offset_hz, month) AS s, var_pop(offset_hz) AS vy, covar_pop(offset_hz, month) AS cv, max(month)-min(month) AS sx, max(offset_hz)-min(offset_hz) AS span FROM tp GROUP BY 1, 2 HAVING count(*) >= 8)
+SELECT physical_channel, era_start, n_months, round(s*12, 4) AS slope_hz_per_year, round(abs(s)*sx, 4) AS swing_hz, round(span, 4) AS span_hz, round(sqrt(greatest(vy - s*cv, 0)), 4) AS scatter_hz, round(1 - greatest(vy-s*cv, 0)/vy, 6) AS r2,
+ abs(s)*sx > 3*sqrt(greatest(vy-s*cv, 0)) AND 1 - greatest(vy-s*cv, 0)/vy > 0.7 AS coherent, round(sqrt(vy), 4) AS track_sd_hz FROM g""")
+def drift_latest(spark, d):
+    t = _track(spark, d)
+    eras = t.select("physical_channel", (F.floor(c("month") / 60) * 60).cast("int").alias("month_start")).distinct()
+    out = rounded(N.carrier_drift_latest_era(t, eras), "slope_hz_per_year", "swing_hz", "span_hz", "scatter_hz", "track_sd_hz", digits=4)
+    return rounded(out, "r2", digits=6)
+
+
 # ----------------------------------------------------------- integrated spectra
 SPACING, SENSE, PILOT = 100.0, -1, 500.0
 AX = f""", ax AS (SELECT spectrum_id, bin, power, (CASE WHEN bin < 32 THEN bin ELSE bin-64 END)*(-100.0::DOUBLE) AS rf_hz, (CASE WHEN bin < 32 THEN bin ELSE bin-64 END)*(-100.0::DOUBLE) - 500.0::DOUBLE AS offset_hz FROM spec),

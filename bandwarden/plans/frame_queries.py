@@ -239,6 +239,27 @@ def gate_summary(spark, d):
     return gate.reason_summary(gate.with_reasons(V.detector_frames(spark, d)))
 
 
+@query("health_summary", with_(FRAMES) + GATE + """, h AS (SELECT *, len(reasons) = 0 AS inc FROM g)
+SELECT physical_channel, count(*) AS stored_frames, round(2.0::DOUBLE*CAST(sum(p_target) FILTER (valid) AS DOUBLE)/CAST(sum(p_ref_sum) FILTER (valid) AS DOUBLE), 12) AS stored_ratio, round(count(*) FILTER (valid AND reject)/count(*) FILTER (valid), 9) AS stored_masked,
+ count(*) FILTER (inc) AS corrected_frames, round(2.0::DOUBLE*CAST(sum(p_target) FILTER (valid AND inc) AS DOUBLE)/CAST(sum(p_ref_sum) FILTER (valid AND inc) AS DOUBLE), 12) AS corrected_ratio, round(count(*) FILTER (valid AND inc AND reject)/count(*) FILTER (valid AND inc), 9) AS corrected_masked,
+ count(*) FILTER (NOT inc) AS excluded FROM h GROUP BY ROLLUP (physical_channel)""")
+def health_summary(spark, d):
+    out = gate.health_summary(gate.with_reasons(V.detector_frames(spark, d)))
+    for name, digits in (("stored_ratio", 12), ("corrected_ratio", 12), ("stored_masked", 9), ("corrected_masked", 9)):
+        out = out.withColumn(name, F.round(name, digits))
+    return out
+
+
+@query("detector_version_counts", with_(FRAMES) + """
+, ch AS (SELECT DISTINCT physical_channel AS k FROM v)
+SELECT 'version' AS token, 'det/1.' || k || ' kernel=2.' || k % 2 || '.0 K=128 source=a=' || k AS value, CAST(1 AS BIGINT) AS channels FROM ch
+UNION ALL SELECT 'kernel', '2.' || k % 2 || '.0', count(*) FROM ch GROUP BY k % 2 UNION ALL SELECT 'K', '128', count(*) FROM ch UNION ALL SELECT 'source', 'a=' || k, 1 FROM ch""")
+def version_counts(spark, d):
+    k = c("physical_channel")
+    text = F.concat(F.lit("det/1."), k.cast("string"), F.lit(" kernel=2."), (k % 2).cast("string"), F.lit(".0 K=128 source=a="), k.cast("string"))
+    return gate.version_counts(V.frames(spark, d).select(k).distinct().withColumn("detector_version", text))
+
+
 @query("exclusion_ledger", with_(UNITS) + GATE + f""", e AS (SELECT *, {FREQ_ID} AS freq_id FROM g WHERE len(reasons)>0)
 SELECT 'frame_gate_v1/fid-' || freq_id || '/source-ns/baseband_' || event_id || '.h5/frame-' || frame_in_unit || '/reasons-' || array_to_string(reasons,'+') AS ledger_key,
  array_to_string(reasons,'+') AS reason_codes, freq_id, physical_channel, 'ns/baseband_' || event_id || '.h5' AS source_event_key, event_id, frame_in_unit,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C, schema
 from ..functions import clock, keys
-from ..operators import align, assignment, blocks, evidence, quality as K, spectra as P
+from ..operators import align, assignment, blocks, catalogue, evidence, quality as K, spectra as P
 from ..session import ensure_checkpoint_dir
 from ..sources import inventory, products, views as V
 from ..sources.tables import row_bound, stream_table, table
@@ -91,6 +91,66 @@ def contract(spark, d):
     return K.count_rules(V.detector_frames(spark, d), rules)
 
 
+# Planted violations, as text that both engines read: column -> (remainder of the key, wrong value); one per rule at least.
+_HEADER_WRONG = {
+    "schema_version": (0, "'v0'"), "detector_version": (1, "'det/1 kernel=1.9.0 K=64'"), "mask_rule": (2, "'other'"), "weight_bank_sha256": (3, "'abc'"),
+    "weight_manifest_sha256": (0, "NULL"), "contract_schema": (1, "'v9'"), "fine_pad_factor": (2, "3"), "freq_id": (3, "freq_id + 1"), "nfft": (0, "8192"),
+    "window_samples": (1, "64"), "n_streams": (2, "2047"), "pilot_hz": (2, "pilot_hz + 3e5"), "coarse_hz": (1, "coarse_hz - 5e5"), "pilot_in_band": (0, "0"),
+    "null_power_ratio": (2, "null_power_ratio + 1e-9"), "rational_overflow_count": (3, "5"), "fine_status": (1, "'off'"), "fine_bins": (3, "128"), "spectrum_bins": (2, "1")}
+_FRAME_WRONG = {"p_target": (1, "-p_target"), "valid": (2, "NOT valid"), "reject": (3, "NOT reject"), "f": (4, "coalesce(f, 0) * (1 + 1e-7) + 1e-7"),
+                "rho": (5, "coalesce(rho, 0) + 1e-6"), "baseband_power": (6, "-1e0"), "frame_in_unit": (7, "-1"), "unit_time0": (8, "2e9")}
+_BIN_WRONG = {"bin": (1, "64"), "threshold": (2, "location"), "null_fraction": (3, "1.5e0"), "before": (4, "-1e0"), "after": (5, "before * 2")}
+_UNIT_WRONG = {"key_rows": (1, "2"), "unit_key": (2, "'x'"), "last_frame": (3, "last_frame + 1"), "unit_time0": (4, "NULL"), "scope": (5, "'neither'")}
+
+
+def _wrong(wrong, key, step):
+    return {k: f"CASE WHEN {key} % {step} = {at} THEN {bad} ELSE {k} END" for k, (at, bad) in wrong.items()}
+
+
+def _replaced(wrong, key, step):
+    return "* REPLACE (" + ", ".join(f"{v} AS {k}" for k, v in _wrong(wrong, key, step).items()) + ")"
+
+
+def _planted(df, wrong, key, step):
+    new = _wrong(wrong, key, step)
+    return df.select(*[F.expr(new[k]).alias(k) if k in new else c(k) for k in df.columns])
+
+
+_HEADER_COLUMNS = {
+    "schema_version": "'frame_product_v1'", "detector_version": "concat('det/1.', CAST(physical_channel AS VARCHAR(9)), ' kernel=2.1.0 K=128')", "mask_rule": "'normalized_positive_excess'",
+    "weight_bank_sha256": "repeat('ab', 32)", "weight_manifest_sha256": "repeat('cd', 32)", "contract_schema": "'detector_contract_v1'", "fine_pad_factor": "2",
+    "freq_id": "CAST(floor((800e6 - (470e6 + (physical_channel - 14) * 6e6 + 309441e0)) / 390625e0 + 0.5e0) AS BIGINT)", "nfft": "16384", "window_samples": "128", "n_streams": "2048",
+    "pilot_hz": "470e6 + (physical_channel - 14) * 6e6 + 309441e0", "coarse_hz": "800e6 - floor((800e6 - (470e6 + (physical_channel - 14) * 6e6 + 309441e0)) / 390625e0 + 0.5e0) * 390625e0", "pilot_in_band": "1",
+    "null_power_ratio": "2e0 * target_norm_sq / reference_norm_sum_sq", "rational_overflow_count": "0", "fine_status": "'enabled'", "fine_bins": "256", "spectrum_bins": "16384"}
+_BIN_COLUMNS = {"threshold": "x + 1e0", "location": "x", "null_fraction": "5e-1", "before": "x", "after": "CASE WHEN x <= 1.05e0 THEN x ELSE 0e0 END"}
+_KEYS = {"header": "CAST(physical_channel AS VARCHAR(9))", "frames": "concat(CAST(physical_channel AS VARCHAR(9)), '/', CAST(event_id AS VARCHAR(20)), '/', CAST(row_number AS VARCHAR(9)))",
+         "fine": "concat(CAST(frame_id AS VARCHAR(20)), '/', CAST(place AS VARCHAR(9)))", "units": "concat(CAST(physical_channel AS VARCHAR(9)), '/', CAST(event_id AS VARCHAR(20)))"}
+_as = lambda columns: ", ".join(f"{v} AS {k}" for k, v in columns.items())
+
+
+@query("audit_catalogue", with_(UNITS, FINE) + f"""
+, hd AS (SELECT {_replaced(_HEADER_WRONG, 'physical_channel', 4)} FROM (SELECT physical_channel, target_norm_sq, reference_norm_sum_sq, {_as(_HEADER_COLUMNS)} FROM (SELECT DISTINCT physical_channel, target_norm_sq, reference_norm_sum_sq FROM v))),
+fm AS (SELECT {_replaced(_FRAME_WRONG, 'event_id', 1013)} FROM (SELECT *, f / mu0 - 1 AS rho, frame_in_unit AS row_number FROM v)),
+fb AS (SELECT {_replaced(_BIN_WRONG, 'frame_id', 97)} FROM (SELECT *, bin AS place, {_as(_BIN_COLUMNS)} FROM fine)),
+ut AS (SELECT {_replaced(_UNIT_WRONG, 'event_id', 1013)} FROM (SELECT *, n_frames - 1 AS last_frame, 1 AS key_rows FROM u)),
+""" + catalogue.audit_sql({"header": ("hd", _KEYS["header"]), "frames": ("fm", _KEYS["frames"]), "fine": ("fb", _KEYS["fine"]), "units": ("ut", _KEYS["units"])}))
+def audit_catalogue(spark, d):
+    """All rules over headers, frames, fine bins and units with violations planted under each."""
+    df = V.detector_frames(spark, d)
+    header = df.select("physical_channel", "target_norm_sq", "reference_norm_sum_sq").distinct().selectExpr("*", *[f"{v} AS {k}" for k, v in _HEADER_COLUMNS.items()])
+    frames = df.selectExpr("*", "f / mu0 - 1 AS rho", "frame_in_unit AS row_number")
+    bins = V.fine_bins(V.fine(spark, d)).selectExpr("*", "bin AS place", *[f"{v} AS {k}" for k, v in _BIN_COLUMNS.items()])
+    u = V.units(spark, d)
+    twice = u.groupBy("unit_key").agg(F.count(F.lit(1)).alias("key_rows"))
+    last = df.groupBy("physical_channel", "event_id").agg(F.max("frame_in_unit").cast("long").alias("last_frame"))
+    units = u.join(twice, "unit_key").join(last, ["physical_channel", "event_id"])
+    return catalogue.audit({
+        "header": (_planted(header, _HEADER_WRONG, "physical_channel", 4), _KEYS["header"]),
+        "frames": (_planted(frames, _FRAME_WRONG, "event_id", 1013), _KEYS["frames"]),
+        "fine": (_planted(bins, _BIN_WRONG, "frame_id", 97), _KEYS["fine"]),
+        "units": (_planted(units, _UNIT_WRONG, "event_id", 1013), _KEYS["units"])})
+
+
 @query("event_key_derivation", with_(UNITS) + "SELECT unit_key, 'ns/wrong' AS source_event_key FROM u WHERE event_id % 300 = 0")
 def key_derivation(spark, d):
     u = V.units(spark, d)

@@ -62,6 +62,18 @@ def exposure_by_class(spark, d):
     return evidence.exposure_by_class(u.drop("scope"), u.select("unit_key", "scope")).withColumn("seconds", R(c("seconds"), 6))
 
 
+@query("inventory_bytes_by_class", with_(UNITS) + """
+, i AS (SELECT *, CASE WHEN event_id % 17 <> 4 THEN n_frames*1000 + event_id % 100 END AS size_bytes, event_id % 10 <> 0 AS processed, event_id % 20 = 0 AS bad FROM u)
+SELECT scope, count(*) AS units, count(*) FILTER (processed) AS processed_units, count(*) FILTER (bad) AS quarantined_units, CAST(coalesce(sum(n_frames) FILTER (processed), 0) AS BIGINT) AS frames,
+ count(DISTINCT event_id) FILTER (processed) AS events, round(coalesce(sum(n_frames) FILTER (processed), 0)*(16384*2.56e-6::DOUBLE), 6) AS seconds, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS catalogued_bytes,
+ CAST(coalesce(sum(size_bytes) FILTER (processed), 0) AS BIGINT) AS processed_bytes, CAST(coalesce(sum(size_bytes) FILTER (bad), 0) AS BIGINT) AS quarantined_bytes FROM i GROUP BY 1""")
+def bytes_by_class(spark, d):
+    u = V.units(spark, d)
+    size = F.when(c("event_id") % 17 != 4, c("n_frames") * 1000 + c("event_id") % 100)
+    out = evidence.bytes_by_class(u.select("unit_key", "scope", size.alias("size_bytes")), u.where(c("event_id") % 10 != 0), u.where(c("event_id") % 20 == 0))
+    return out.withColumn("seconds", R(c("seconds"), 6))
+
+
 @query("evidence_reconciliation", with_(UNITS) + """
 , p AS (SELECT * FROM u WHERE event_id % 10 <> 0), q AS (SELECT * FROM u WHERE event_id % 20 = 0)
 SELECT 'inventory_duplicate' AS "check", count(*) AS n FROM (SELECT unit_key FROM u GROUP BY 1 HAVING count(*)>1)
