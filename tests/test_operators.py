@@ -233,26 +233,25 @@ def test_rank_violations(spark):
 
 
 # ------------------------------------------------------------------- fine
-def test_cfar_matches_numpy(spark):
-    r = np.random.default_rng(4)
-    x = np.abs(1 + 0.05 * r.standard_normal((30, 64))).astype(np.float32)
-    x[:10, ::2] += r.random((10, 32)).astype(np.float32) ** 8 * 50
-    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(30)], "i int, fine_ratio array<float>")
-    df = df.withColumn("bulk", N.null_bulk_bins(F.lit(5), 3, 64))
-    k = N.false_alarm_factor(1e-3)
-    for row in N.with_cfar(df, "bulk").collect():
-        v = np.asarray(row["fine_ratio"], float)
-        null = v[row["bulk"]]
-        loc = np.median(null)
-        sc = loc - np.quantile(null, 0.1587)
-        thr = loc + k * sc
-        if np.mean(null > thr) > 0.2:
-            loc = np.quantile(null, 0.25)
-            sc = max((loc - np.quantile(null, 0.02275)) / 2, 1e-12)
-            thr = loc + k * sc
-            assert row["fallback"]
-        assert row["threshold"] == pytest.approx(thr, rel=1e-12)
-        assert row["detected"] == np.flatnonzero(v > thr).tolist()
+@pytest.mark.parametrize("raised", [0, 1, 9])
+def test_cfar_reads_its_levels_off_an_even_ladder(spark, raised):
+    """Null bins on an even ladder put every quantile at its own share of the ladder; ``raised`` of them are moved far up."""
+    empty = spark.range(1).select(N.null_bulk_bins(F.lit(5), 3, 64).alias("bulk"))
+    bulk = one(empty)["bulk"]
+    steps = len(bulk) - 1
+    ladder = np.random.default_rng(raised).permutation(steps + 1) / steps      # 0 to 1 in even steps
+    x = np.full(64, 0.5)
+    x[bulk] = np.where(ladder * steps > steps - raised, 90.0 + ladder, ladder)
+    x[3], x[5] = 1.9, 1.1
+    row = one(N.with_cfar(empty.withColumn("fine_ratio", F.array(*[F.lit(float(v)) for v in x])), "bulk"))
+    crowded = raised > C.CFAR_FALLBACK_FRACTION * (steps + 1)
+    level, foot, part = (0.25, 0.02275, 2) if crowded else (0.5, 0.1587, 1)
+    assert row["fallback"] == crowded
+    assert row["location"] == pytest.approx(level) and row["scale"] == pytest.approx((level - foot) / part)
+    above = [b for b in range(64) if (x[b] - level) * part / (level - foot) > N.false_alarm_factor(1e-3)]
+    count = sum(b in bulk for b in above)
+    assert row["detected"] == above and (count > raised if crowded else count == raised)
+    assert row["null_fraction"] == pytest.approx(count / (steps + 1))
 
 
 def test_fine_decision_big_integers(spark):
@@ -555,3 +554,30 @@ def test_population_sums_see_a_lost_count(spark):
     assert N.population_sums(counts, frames, tiles, off).where("NOT agrees").count() == 0
     short = counts.withColumn("n", F.col("n") - F.when(F.col("population") == "off_epoch", 1).otherwise(0))
     assert [r["population"] for r in N.population_sums(short, frames, tiles, off).where("NOT agrees").collect()] == ["off_epoch"]
+
+
+def test_layouts_are_compared_down_to_nested_fields(spark):
+    from bandwarden.operators import catalogue
+    from pyspark.sql.types import StructType
+    want = StructType.fromDDL("a long, b array<struct<x: int, y: array<float>>>, c string, d double")
+    df = spark.createDataFrame([(1, None, None), (None, None, None)], "a int, b array<struct<x: int, y: array<double>, z: int>>, d double")
+    got = sorted(map(tuple, catalogue.layout_problems(df, want, required=("a", "d", "c")).collect()))
+    assert got == [("a", "int is not bigint"), ("a", "null in 1 rows"), ("b[].y[]", "double is not float"), ("b[].z", "unknown"),
+                   ("c", "missing"), ("d", "null in 2 rows")]
+    assert catalogue.layout_problems(spark.createDataFrame([], want), want).count() == 0
+
+
+def test_catalogue_counts_all_and_lists_the_first(spark):
+    from bandwarden.operators.catalogue import Rule, audit
+    rules = [Rule("t", "positive", "v <= 0"), Rule("t", "known", "w NOT IN ('a', 'b')"), Rule("t", "small", "v > 1000")]
+    df = spark.createDataFrame([(f"k{i:03d}", -i, None if i == 7 else "a") for i in range(50)], "k string, v int, w string")
+    got = {r["rule"]: (r["n"], r["first_keys"]) for r in audit({"t": (df, "k")}, rules).collect()}
+    assert got == {"positive": (50, "k000 k001 k002"), "known": (1, "k007"), "small": (0, "")}
+
+
+def test_bytes_by_class_counts_units_without_frames_and_sizes(spark):
+    inventory_ = spark.createDataFrame([("a", "s", 10), ("b", "s", None), ("c", "s", 5), ("d", "t", 7)], "unit_key string, scope string, size_bytes long")
+    units = spark.createDataFrame([("a", 1, 3), ("b", 1, 2)], "unit_key string, event_id long, n_frames long")
+    bad = spark.createDataFrame([("c",), ("c",)], "unit_key string")
+    got = {r["scope"]: r for r in evidence.bytes_by_class(inventory_, units, bad, 2.0).collect()}
+    assert tuple(got["s"])[1:] == (3, 2, 1, 5, 1, 10.0, 15, 10, 5) and tuple(got["t"])[1:] == (1, 0, 0, 0, 0, 0.0, 7, 0, 0)
