@@ -81,3 +81,27 @@ def test_odd_pages(spark, labeller):
     got = H.main_texts(df, labeller).collect()
     assert len(got) == 6 and {r.page_id: r for r in got}[1].text == "" and {r.page_id: r for r in got}[4].text.count("\n") == 2999
     assert H.main_texts(df.where("false"), H.train(df.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("<head><title>t</title><article><p>text", ["text"]),
+    ("<head><script>if (a < b) '<body>'</script><meta x><p>nine", ["nine"]),
+    ("<div><select><option>a<option>b</div><p>after", ["after"]),
+    ("<p>one</p><svg><path d='x'><p>two", ["one", "two"]),
+    ("<p title='it's'>three</p><p>four", ["three", "four"]),
+    ("<object><param name=a>five<p>six", ["five", "six"]),
+    ("<div><canvas>no</div><p>seven", ["seven"]),
+    ("<svg><foreignObject><div>x</div></foreignObject></svg><p>eight", ["eight"]),
+    ("<textarea>ten <p>eleven", ["ten", "eleven"]),
+    ("<div>a<object>b<div>c</div>d</object>e</div>", ["a", "e"]),
+])
+def test_unclosed_and_misquoted_elements_hide_nothing_else(page, texts):
+    assert [b.text for b in page_blocks(page)] == texts
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<!x", "<p '", "<object>", "<svg><title>", "<", "<a b='\"", "<p ="])
+def test_long_malformed_pages_end_in_seconds(part):
+    import time
+    start = time.perf_counter()
+    page_blocks(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 20
