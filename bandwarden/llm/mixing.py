@@ -25,18 +25,25 @@ from .words import slices
 
 WEIGHTS = (1, 2, 3)          # by the source's rank, repeating
 MOST = 3                     # times a source may be repeated
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 4096           # and more where there would be over MOST_BLOCKS of them
+MOST_BLOCKS = 500_000_000    # the draws take fewer than 10^9
 SHARD_WORDS = 2_000_000
 SEED = 7
 _BUCKET_ROWS = 4096
 
 
+_KEYS = ("doc_id", "source_key", "order", "text_key")
+
+
+def _source_key():
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
+
+
 def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = np.zeros(len(batch), np.int64)
     for s in slices(batch.column("text")):
         sizes[s.first:s.first + s.rows] = np.diff(s.bounds)
-    yield pa.record_batch([batch.column("doc_id"), batch.column("source_key"), pa.array(sizes)],
-                          names=["doc_id", "source_key", "size"])
+    yield pa.record_batch([*(batch.column(c) for c in _KEYS), pa.array(sizes)], names=[*_KEYS, "size"])
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -64,23 +71,24 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def stream_positions(docs: DataFrame) -> DataFrame:
-    """``doc_id, source_key, size, begin``: words before the document in its source's hashed order.
+    """``doc_id, source_key, size, text_key, begin``: words before the document in its source's hashed order.
 
-    Sums run inside buckets of the hash and are shifted by the totals of the buckets before, so no source, however
+    The order is by a hash of the id, without an id by one of the text.  Sums run inside buckets of the hash and are shifted by the totals of the buckets before, so no source, however
     large, is summed in one task."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("source_key"))
-    sized = written(docs.mapInArrow(batches(_counted), "doc_id long, source_key string, size long"))
-    digits = max(0, math.ceil(math.log(max(1, sized.count() / _BUCKET_ROWS), 16)))
-    keyed = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    text = F.col("text").cast("string")
+    nameless = F.concat(F.lit("?"), F.coalesce(text, F.lit("")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _source_key().alias("source_key"),
+                       F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), nameless)).alias("order"), F.xxhash64(text).alias("text_key"))
+    keyed = written(docs.mapInArrow(batches(_counted), "doc_id long, source_key string, order string, text_key long, size long"))
+    digits = max(0, math.ceil(math.log(max(1, keyed.count() / _BUCKET_ROWS), 16)))
     keyed = keyed.withColumn("bucket", F.substring("order", 1, digits) if digits else F.lit(""))
     totals = keyed.groupBy("source_key", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("source_key", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("shift"))
-    inside = W.partitionBy("source_key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_key", "bucket").orderBy("order", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
     local = keyed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return written(local.join(totals, ["source_key", "bucket"]).select(
-        "doc_id", "source_key", "size", (F.col("local") + F.col("shift")).alias("begin")))
+        "doc_id", "source_key", "size", "text_key", (F.col("local") + F.col("shift")).alias("begin")))
 
 
 def split_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,16 +135,14 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame
 
     Pieces: ``doc_id, source_key, begin, pass, start, n_words, block, shard, position``: which words of a document a
     shard has, and where.  A null text has no words and gives no piece; a null source is a source of its own and the
-    last.  Repeated rows are separate documents.  An empty table gives two empty results."""
+    last.  Repeated rows are separate documents, and so are rows without an id.  An empty table gives two empty results."""
     spark = docs.sparkSession
     placed = stream_positions(docs)
     found = source_targets(placed).collect()  # one row per source
-    quotas, total = [], 0
-    for r in found:
-        words = math.floor(r.target + 0.5)
-        total += words
-        if words:
-            quotas.append((r.source_key, -(-words // BLOCK_WORDS)))
+    wanted = [(r.source_key, math.floor(r.target + 0.5)) for r in found]
+    total = sum(words for _, words in wanted)
+    block = max(BLOCK_WORDS, -(-total // MOST_BLOCKS))
+    quotas = [(key, -(-words // block)) for key, words in wanted if words]
     schema = "source_key string, source_size long, target double"
     targets = spark.createDataFrame([tuple(r) for r in found], schema)
     placed = placed.join(F.broadcast(targets), "source_key")  # one row per source
@@ -145,7 +151,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame
     hi = F.least(lo + F.col("size"), F.floor(F.col("target") + 0.5))
     spans = (placed.where("size > 0").withColumn("pass", F.explode(F.array([F.lit(p).cast("long") for p in range(MOST)])))
              .select("*", lo.alias("lo"), hi.alias("hi")).where("lo < hi"))
-    width = F.lit(BLOCK_WORDS)
+    width = F.lit(block)
     pieces = (spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
               .withColumn("from", F.greatest("lo", F.col("block") * width))
               .withColumn("to", F.least("hi", (F.col("block") + 1) * width))
@@ -169,33 +175,28 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix has them: one row per pass that takes words of it.
 
     All but the document at which a source's target ends are taken whole; of that one the text ends with the last word
-    taken, and ``n_chars`` follows.  Rows that share a doc_id, source and size are matched one to one."""
-    _, pieces = mix_sources(docs)
+    taken, and ``n_chars`` follows.  Rows that share an id, source and size are matched by their texts.  The columns come back
+    as they were, also one that is named like a column used here."""
+    placed, pieces = mix_sources(docs)
     row = ["doc_id", "source_key", "size"]
-    by_row = W.partitionBy(*row).orderBy("begin")
-    takes = pieces.groupBy("doc_id", "source_key", "begin", "pass").agg(F.sum("n_words").alias("take"))
-    placed = stream_positions(docs).withColumn("copy", F.row_number().over(by_row))
-    takes = placed.join(takes.withColumnRenamed("doc_id", "_d"), ["source_key", "begin"]).where(
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") > 0)).drop("_d", "begin")
-    plain = F.coalesce(F.col("text"), F.lit(""))
+    takes = pieces.groupBy("source_key", "begin", F.col("doc_id").alias("id"), "pass").agg(F.sum("n_words").alias("take"))
+    placed = placed.where("size > 0").select(*row, "begin", "text_key", F.row_number().over(W.partitionBy(*row, "text_key").orderBy("begin")).alias("copy"))
+    takes = placed.join(takes, ["source_key", "begin"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).drop("id", "begin")
+    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.size(F.regexp_extract_all(plain, F.lit("([^\\x20\\x09-\\x0D]+)"), 1)).cast("long")
-    keyed = docs.select(*[F.col(c) for c in docs.columns], F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("_k"),
-                        words.alias("_n"))
-    keyed = keyed.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_k", "_n").orderBy(F.lit(0))))
-    on = [F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("k._k") == F.col("t.source_key"),
-          F.col("k._n") == F.col("t.size"), F.col("k._copy") == F.col("t.copy")]
-    spaced = F.regexp_extract_all("k.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), 0)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), _source_key().alias("key"),
+                        words.alias("n"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    keyed = keyed.withColumn("copy", F.row_number().over(W.partitionBy("id", "key", "n", "text_key").orderBy(F.lit(0))))  # the same text
+    on = [F.col("k.id").eqNullSafe(F.col("t.doc_id")), F.col("k.key") == F.col("t.source_key"), F.col("k.n") == F.col("t.size"),
+          F.col("k.text_key") == F.col("t.text_key"), F.col("k.copy") == F.col("t.copy")]
+    spaced = F.regexp_extract_all("k.doc.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), 0)
     cut = F.array_join(F.slice(spaced, F.lit(1), F.col("t.take").cast("int")), "")
     whole = F.col("t.take") == F.col("t.size")
-    out = []
-    for f in docs.schema.fields:
-        if f.name == "text":
-            out.append(F.when(whole, F.col("k.text")).otherwise(cut).alias("text"))
-        elif f.name == "n_chars":
-            out.append(F.when(whole, F.col("k.n_chars")).otherwise(F.length(cut)).cast(f.dataType).alias("n_chars"))
-        else:
-            out.append(F.col(f"k.`{f.name}`"))
-    return keyed.alias("k").join(takes.alias("t"), on).select(*out)
+    changed = {"text": F.when(whole, F.col("k.doc.text")).otherwise(cut), "n_chars": F.length(cut)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("k.doc.n_chars")).otherwise(changed["n_chars"])
+    return keyed.alias("k").join(takes.alias("t"), on).select(*[
+        changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col(f"k.doc.`{f.name}`").alias(f.name) for f in docs.schema.fields])
 
 
 def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +205,7 @@ def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS k, md5(CAST(doc_id AS VARCHAR)) AS h,
+  SELECT doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS k, md5(coalesce(CAST(doc_id AS VARCHAR), '?' || coalesce(text, ''))) AS h,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS w FROM d GROUP BY k),

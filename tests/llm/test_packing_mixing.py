@@ -4,6 +4,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bandwarden.llm import mixing as M
@@ -125,3 +126,27 @@ def test_tree_leaves_nothing_over(shards):
         assert (first == at).all()
         at = at + held
     assert sorted(M.block_of_slot(i, 100, 7) for i in range(100)) == list(range(100))
+
+
+def test_mixing_rows_that_share_or_lack_an_id(spark):
+    rows = [(None, f"n{i} a b c", "s") for i in range(40)] + [(3, "x y z w", "s"), (3, "p q r t", "s"), (4, None, "t"), (5, "m n o p", None), (3, "x y z w", "s")]
+    docs = spark.createDataFrame([(*r, 4, "c", "k") for r in rows], "doc_id long, text string, source string, n_chars int, copy string, key string")
+    mixed = M.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {(r["copy"], r["key"]) for r in mixed.collect()} == {("c", "k")}
+    taken = M.taken_words(docs)
+    assert taken.count() == len(rows)
+    words = sum(len((r["text"] or "").split()) for r in mixed.collect())
+    assert words == taken.agg(F.sum("taken")).first()[0]
+    texts = sorted((r["doc_id"], r["text"]) for r in mixed.where("doc_id = 3").collect())
+    passes = len(texts) // 3
+    assert {t for _, t in texts} <= {"x y z w", "p q r t", *[" ".join(t.split()[:k]) for t in ("x y z w", "p q r t") for k in range(1, 4)]} and passes >= 1
+    buckets = M.stream_positions(docs).where("doc_id IS NULL").select("begin").distinct().count()
+    assert buckets == 40
+
+
+def test_blocks_grow_before_the_draws_overflow(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(M, "MOST_BLOCKS", 3)
+    docs = spark.createDataFrame([(i, "a b c d e", "s") for i in range(20)], "doc_id long, text string, source string")
+    _, pieces = M.mix_sources(docs)
+    assert pieces.select("block").distinct().count() <= 3 and pieces.agg(F.sum("n_words")).first()[0] == 100
