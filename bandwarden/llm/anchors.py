@@ -101,8 +101,8 @@ def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = h[words.bounds[r]:words.bounds[r + 1]]
         one, two = rolling(own, WINDOW)[starts], rolling(mix(own ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)[starts]
         same = pa.array(np.full(len(starts), row))
-        yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), batch.column("doc_id").take(same), batch.column("row").take(same),
-                               pa.array(starts)], names=["h1", "h2", "doc_id", "row", "start"])
+        yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), batch.column("doc_id").take(same), batch.column("id").take(same),
+                               pa.array(starts)], names=["h1", "h2", "doc_id", "id", "start"])
 
 
 def _cleaned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -136,22 +136,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` for every row of ``docs``.
 
     A null text has no words.  Rows that repeat a document are that document and get its result.  Rows that share an id
-    with other words are documents of their own, in the order of their row keys; rows without an id come after all others
-    and are told apart in the same way.  Other columns are ignored."""
+    with other words are documents of their own, in the order of the rows; rows without an id come after all others and
+    are told apart in the same way.  Other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
-    rows = written(docs.mapInArrow(batches(_anchored), "doc_id long, row binary, n_words long, identity binary, sha string, anchors array<long>"))
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
-    firsts = written(rows.where("identity IS NOT NULL").groupBy("identity").agg(F.min(order).alias("at")).select("identity", "at.doc_id", "at.row"))
+    # Rows get short numbers for the shuffles; they hold because the table with them is written.
+    rows = written(docs.mapInArrow(batches(_anchored), "doc_id long, row binary, n_words long, identity binary, sha string, anchors array<long>")
+                   .withColumn("id", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "id", "row")
+    firsts = written(rows.where("identity IS NOT NULL").groupBy("identity").agg(F.min(order).alias("at"))
+                     .select("identity", "at.doc_id", "at.id", "at.row"))
     twice = written(rows.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"))
-    found = (rows.select("row", F.posexplode("anchors").alias("rank", "anchor")).join(twice.hint("shuffle_hash"), "anchor")
-             .groupBy("row").agg(F.collect_set("rank").alias("found")))
-    found = written(found.join(firsts.select("row", "identity"), "row"))
+    found = (rows.select("id", F.posexplode("anchors").alias("rank", "anchor")).join(twice.hint("shuffle_hash"), "anchor")
+             .groupBy("id").agg(F.collect_set("rank").alias("found")))
+    found = written(found.join(firsts.select("id", "row", "identity"), "id"))
     drop_written(twice)
-    chosen = written(docs.join(found, "row").select("doc_id", "row", "text", "identity", "found"))
-    starts = (chosen.mapInArrow(batches(_windows), "h1 long, h2 long, doc_id long, row binary, start long")
-              .groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "start")).alias("at")))
-    own = starts.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.start").alias("first"))
-    result = written(chosen.join(own, "row", "left").select("text", "identity", "found", "first")
+    chosen = written(docs.join(found, "row").select("doc_id", "id", "text", "identity", "found"))
+    starts = (chosen.mapInArrow(batches(_windows), "h1 long, h2 long, doc_id long, id long, start long")
+              .groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "id", "start")).alias("at")))
+    own = starts.groupBy(F.col("at.id").alias("id")).agg(F.collect_list("at.start").alias("first"))
+    result = written(chosen.join(own, "id", "left").select("text", "identity", "found", "first")
                      .mapInArrow(batches(_cleaned), "identity binary, n_removed long, kept_sha256 string").dropDuplicates(["identity"]))
     known = firsts.select("identity", F.col("doc_id").alias("first_doc")).join(result, "identity", "left")
     copy = F.col("identity").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
