@@ -453,7 +453,15 @@ def tone_groups(spark, d):
     return rounded(_groups(spark, d), "prominence_db", digits=5)
 
 
-@query("notched_spectrum")
+@query("notched_spectrum", with_(SPECTRUM) + BG + """
+, ex AS (SELECT rm.spectrum_id, pos, ps.rf_hz, rm.power, bg, 10*log10(rm.power/bg) AS e FROM rm JOIN ps USING (spectrum_id, pos) WHERE pos BETWEEN 0 AND 63), cd AS (SELECT * FROM ex WHERE e > 0.05),
+nw AS (SELECT *, CASE WHEN pos - lag(pos) OVER w > 3 OR lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM cd WINDOW w AS (PARTITION BY spectrum_id ORDER BY pos)),
+gr AS (SELECT *, sum(nw) OVER (PARTITION BY spectrum_id ORDER BY pos) AS gg FROM nw),
+tg AS (SELECT spectrum_id, min(pos) AS f, max(pos) AS l FROM gr GROUP BY spectrum_id, gg HAVING least(abs(abs(arg_max(rf_hz, e)) - 1200), abs(abs(arg_max(rf_hz, e)) - 2000), abs(abs(arg_max(rf_hz, e)) - 2400)) <= 60),
+ed AS (SELECT tg.spectrum_id, f, l, max(pos) FILTER (pos < f) AS a, min(pos) FILTER (pos > l) AS b FROM tg LEFT JOIN (SELECT * FROM ex WHERE e <= 0.02) q ON q.spectrum_id = tg.spectrum_id GROUP BY 1, 2, 3),
+rg AS (SELECT spectrum_id, greatest(coalesce(a + 1, f), f - 4) - 1 AS s, least(coalesce(b - 1, l), l + 4) + 1 AS t FROM ed)
+SELECT spectrum_id, pos, round(power, 6) AS power, round(CASE WHEN EXISTS (SELECT 1 FROM rg WHERE rg.spectrum_id = ex.spectrum_id AND pos BETWEEN s AND t) THEN bg ELSE power END, 6) AS notched FROM ex""")
 def notched(spark, d):
     known = _groups(spark, d).where("identification <> 'unidentified'")
-    return P.notch(_background(spark, d), known, "spectrum_id", stop_db=0.02, reach=4, pad=1).select("spectrum_id", "pos", "power", "notched")
+    out = P.notch(_background(spark, d), known, "spectrum_id", stop_db=0.02, reach=4, pad=1).select("spectrum_id", "pos", "power", "notched")
+    return rounded(out, "power", "notched", digits=6)

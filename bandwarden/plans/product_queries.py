@@ -375,6 +375,8 @@ def stream_late(spark, d):
 SELECT physical_channel, event_id, chunk, count(*) AS n, round(sum(p), 4) AS power_sum FROM lt WHERE late GROUP BY 1, 2, 3""")
 def stream_late_frames(spark, d):
     late = windows.late_frames(spark, _with_late_frames(spark, d))
+    if late is None:
+        return spark.createDataFrame([], "physical_channel int, event_id long, chunk long, n long, power_sum double")
     return rounded(late.groupBy("physical_channel", "event_id", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.sum("baseband_power").alias("power_sum")), "power_sum", digits=4)
 
