@@ -44,25 +44,26 @@ def reject_mask(p_target: Column, p_ref: Column, t_norm: Column, r_norm: Column)
 
 
 def wide_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """``a*b > c*d`` exactly for integers from 0 below 2**64, whose products pass the 38 digits of a decimal.
+    """``a*b > c*d`` exactly for integers from 0 up, ``a`` and ``c`` below 10**24, ``b`` and ``d`` below 2**64; the products pass the 38
+    digits of a decimal.
 
     The right factors are split into limbs of nine digits.  With ``high`` the difference of the products by the upper limbs and
-    ``low`` that by the lower ones, the sign is that of ``high * 10**9 + low``, where ``low`` stays below 2 * 10**28: ``high`` decides alone
-    from 10**21 on, and below that the sum fits."""
+    ``low`` that by the lower ones, the sign is that of ``high * 10**9 + low``, where ``low`` stays below 10**33: ``high`` decides alone
+    from 10**24 on, and below that the sum fits."""
     limb = F.lit(10**9).cast("decimal(10,0)")
 
     def parts(x: Column, y: Column) -> tuple[Column, Column]:
         low = (_dec(y, 20) % limb).cast("decimal(10,0)")
         high = ((_dec(y, 20) - low) / limb).cast("decimal(12,0)")
-        return _dec(x, 20) * high, _dec(x, 20) * low
+        return _dec(x, 24) * high, _dec(x, 24) * low
 
     (left_high, left_low), (right_high, right_low) = parts(a, b), parts(c, d)
     high, low = left_high - right_high, left_low - right_low
-    return F.when(F.abs(high) >= F.lit(10**18).cast("decimal(19,0)") * 1000, high > 0).otherwise(high.cast("decimal(22,0)") * limb + low > 0)
+    return F.when(F.abs(high) >= F.lit(str(10**24)).cast("decimal(25,0)"), high > 0).otherwise(high.cast("decimal(25,0)") * limb + low > 0)
 
 
 def rational_mask(p_target: Column, p_ref: Column, half_num: Column, half_den: Column) -> Column:
-    """``p_target/p_ref > half_num/half_den`` exactly, for powers and thresholds of up to 64 bits; near ties alone pay for limbs."""
+    """``p_target/p_ref > half_num/half_den`` exactly, for powers of up to 24 digits and thresholds of up to 64 bits; near ties alone pay for limbs."""
     left = p_target.cast("double") * half_den.cast("double")
     right = p_ref.cast("double") * half_num.cast("double")
     over = (F.when(left > right * (1.0 + _CERTAIN), F.lit(True)).when(left < right * (1.0 - _CERTAIN), F.lit(False))

@@ -110,13 +110,15 @@ t AS (SELECT *, CASE event_id % 5 WHEN 0 THEN p_target*k WHEN 1 THEN p_target*k
  CASE WHEN event_id % 5 < 3 THEN p_ref_sum*k ELSE 4611868127894829113 END AS den FROM s)
 SELECT {ID}, CAST(valid AND p*den > num::HUGEINT*r AS INT) AS mask, CAST(FALSE AS INT) AS overflow FROM t""")
 def rational_mask_wide(spark, d):
-    """Powers of 63 bits against thresholds of 62; on three of five events the threshold is the ratio itself or one step beside it."""
+    """Powers of 63 bits and more against thresholds of 62; on three of five events the threshold is the ratio itself or one step beside it.
+
+    A power grows with the part keys, so scaled ones are decimals."""
     df = V.frames(spark, d)
     k = F.floor(F.lit(1 << 62).cast("decimal(20,0)") / F.greatest("p_target", "p_ref_sum", F.lit(1).cast("long")).cast("decimal(20,0)")).cast("long")
     step = c("event_id") % 5
     num = F.when(step < 3, c("p_target") * k + F.element_at(F.array(F.lit(0), F.lit(1), F.lit(-1)), (step + 1).cast("int"))).otherwise(2317467823947239423)
     den = F.when(step < 3, c("p_ref_sum") * k).otherwise(4611868127894829113)
-    wide = lambda k: c(k) * (1 << 35)
+    wide = lambda k: (c(k).cast("decimal(20,0)") * F.lit(1 << 35).cast("decimal(11,0)")).cast("decimal(24,0)")
     return df.withColumn("num", num).withColumn("den", den).select(
         *IDS, exact.rational_mask(wide("p_target"), wide("p_ref_sum"), c("num"), c("den")).cast("int").alias("mask"),
         exact.rational_overflow(c("num"), c("den")).cast("int").alias("overflow"))

@@ -526,6 +526,28 @@ def test_wide_products_compare_exactly(spark):
     assert (edge["a"], edge["b"]) == (False, True)
 
 
+def test_powers_beyond_64_bits_compare_exactly(spark):
+    from bandwarden.functions import exact
+    rng = np.random.default_rng(4)
+    top, scale = 2**63 - 1, 1 << 35
+    pairs = [(int(rng.integers(2**28, 2**44)), int(rng.integers(1, 2**44))) for _ in range(60)]
+    rows = [(a * scale, b * scale, a * (2**62 // max(a, b)) + step, b * (2**62 // max(a, b))) for a, b in pairs for step in (-1, 0, 1)]
+    rows += [(10**24 - 1, 10**24 - 1, top, top - 1), (10**24 - 1, 10**24 - 2, top, top), (10**24 - 1, 10**24 - 1, top, top), (0, 10**24 - 1, 0, top)]
+    df = spark.createDataFrame([(str(a), str(b), n, d) for a, b, n, d in rows], "a string, b string, n long, d long")
+    p, r = F.col("a").cast("decimal(24,0)"), F.col("b").cast("decimal(24,0)")
+    got = df.select(exact.rational_mask(p, r, F.col("n"), F.col("d")).alias("m"), exact.wide_greater(p, F.col("d"), r, F.col("n")).alias("g")).collect()
+    assert [(x["m"], x["g"]) for x in got] == [(a * d > n * b,) * 2 for a, b, n, d in rows]
+
+
+def test_wide_mask_query_takes_large_part_keys(spark, tmp_path):
+    from bandwarden.plans.frame_queries import rational_mask_wide
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    li.withColumn("l_partkey", F.col("l_partkey") + 7_000_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rational_mask_wide(spark, str(tmp_path)).count() == li.count()
+    assert rational_mask_wide(spark, str(tmp_path)).agg(F.sum("mask")).first()[0] > 0
+
+
 def test_altered_generations_are_refused(spark, tmp_path):
     root, g = str(tmp_path), "g1"
     layout = "freq_id long, unit_index long, frame_in_unit int, bin int"
