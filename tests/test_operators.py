@@ -372,6 +372,34 @@ def test_resampling_is_repeatable(spark):
     assert run(2) == run(7) and all(x[-1] == 50.0 for x in run(3))
 
 
+def test_draws_leave_a_task_as_counts_only(spark):
+    """One row per (group, replicate, block) instead of one per draw, and the picks of ``draw``."""
+    seed, n = 31, 3000
+    units = spark.range(n).select((F.col("id") % 2).alias("k"), F.col("id").alias("u"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("h"), F.lit(0.5).alias("x"))
+    ranked = bootstrap.ranked_units(units, ["k"], "u", n)
+    rows = bootstrap.draw_counts(ranked, ["k"], 40, seed).collect()
+    assert len(rows) == 2 * 40 and all(bootstrap._unpack(bytes(r["_w"]), r["_n"]).sum() == n // 2 for r in rows)
+    drawn = spark.range(n // 2).crossJoin(spark.range(40).withColumnRenamed("id", "r")).select(
+        "r", bootstrap.draw(seed, "r", "id", F.lit(n // 2)).alias("p")).toPandas()
+    got = {(r["k"], r["replicate"]): (r["h"], r["x"]) for r in bootstrap.resampled_sums(units, ["k"], "u", ["h", "x"], 40, seed, n).collect()}
+    for k in (0, 1):
+        drawn["v"] = (2 * drawn["p"] + k).where((2 * drawn["p"] + k) % 7 > 0, 0)
+        want = drawn.groupby("r")["v"].sum()
+        assert all(got[k, r] == (want[r], n / 4) for r in range(40))
+
+
+def test_draws_over_several_spans_of_ranks(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(bootstrap, "SPAN_RANKS", 400)
+    rows = pa.RecordBatch.from_pydict({"k": [5] * 3, "_u": [1000] * 3, "replicate": [2] * 3, "_from": [0, 400, 800]})
+    out = pa.Table.from_batches(list(bootstrap._counter(7, ["k"], 200, ["k", "replicate", "_block", "_n", "_w"])(iter([rows]))))
+    got = np.concatenate([bootstrap._unpack(w, n) for n, w in zip(out["_n"].to_pylist(), out["_w"].to_pylist())])
+    assert out["_block"].to_pylist() == [0, 1, 2, 3, 4]
+    np.testing.assert_array_equal(got, np.bincount(bootstrap._picks(7, 2, 0, 1000, 1000), minlength=1000))
+    many = np.array([0, 300, 70000])
+    np.testing.assert_array_equal(bootstrap._unpack(bootstrap._pack(many), 3), many)
+
+
 def test_weighted_high_quantile_against_brute_force(spark):
     r = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": 1, "u": r.integers(0, 30, 2000), "x": r.standard_normal(2000)})
