@@ -15,26 +15,37 @@ def _name(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+HASH_CELLS = 1 << 16
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = C.HOT_GROUP_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows; at most rows/limit of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    """Keys with more than ``limit`` rows; at most rows/limit of them.
+
+    Rows are first counted by hash of the key, which ships few rows however many groups there are.  A group is no larger
+    than its cell, so only the groups of cells beyond the limit are counted one by one."""
+    cell = F.pmod(F.xxhash64(*keys), F.lit(HASH_CELLS))
+    counts = lambda d: d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    full = [r["_c"] for r in df.groupBy(cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_c").collect()]
+    return materialize(counts(df.where(cell.isin(full)))) if full else counts(df.limit(0))
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str,
-                  max_rows: int | None = None, limit: int = C.HOT_GROUP_ROWS) -> DataFrame:
+                  max_rows: int | None = None, limit: int = C.HOT_GROUP_ROWS, spread: tuple[int, str] | None = None) -> DataFrame:
     """Zero-based position of each row inside its group.
 
     Groups up to ``limit`` rows use a window.  Larger ones are range-sorted
     over all tasks, numbered inside each sorted run, and shifted by the sizes
     of the runs before it.  ``max_rows`` is a known bound of the whole input;
     when it is within ``limit`` no group can be hot and the check is skipped.
+    ``spread`` names the tasks and the key, one of ``keys``, of the exchange
+    before the window.
     """
     order = [_name(o) for o in order]
     w = W.partitionBy(*keys).orderBy(*order)
-    window = lambda d: d.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    window = lambda d: (d.repartition(spread[0], spread[1]) if spread else d).withColumn(name, (F.row_number().over(w) - 1).cast("long"))
     if max_rows is not None and max_rows <= limit:
         return window(df)
-    hot = materialize(hot_groups(df, keys, limit).select(*keys))
+    hot = hot_groups(df, keys, limit).select(*keys)
     if hot.isEmpty():
         return window(df)
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]

@@ -33,25 +33,43 @@ def _base(li: DataFrame) -> DataFrame:
 
 
 def _powers(base: DataFrame, *keep: str) -> DataFrame:
-    """Powers, norms and baseband power; all fit in 64 bits (at most
+    """Powers and baseband power; all fit in 64 bits (at most
     50*(10**6 + 10**4 + 500*partkey))."""
     c = F.col
     return base.select(
         "physical_channel", "event_id", *keep,
         (c("q") * (F.lit(1000000) + c("noise") + F.when(c("tail"), c("l_partkey") * 500).otherwise(0))).alias("p_target"),
         F.when(c("dead"), F.lit(0)).otherwise(c("q") * 2000000).cast("long").alias("p_ref_sum"),
-        (F.lit(6000) + c("physical_channel") - 14).cast("long").alias("target_norm_sq"),
-        F.lit(12000).cast("long").alias("reference_norm_sum_sq"),
         (c("q").cast("double") * 2.56).alias("baseband_power"))
 
 
+def _with_norms(powers: DataFrame, *keep: str) -> DataFrame:
+    """Adds the norms of the channel."""
+    return powers.select(
+        "physical_channel", "event_id", *keep, "p_target", "p_ref_sum",
+        (F.lit(6000) + F.col("physical_channel") - 14).cast("long").alias("target_norm_sq"),
+        F.lit(12000).cast("long").alias("reference_norm_sum_sq"), "baseband_power")
+
+
+# Rows of a task of the frame exchange, about.
+TASK_ROWS = 1 << 18
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS)
+
+
 def frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Frame rows: powers, norms, baseband power, unit start, frame in unit."""
-    base = number_within(
-        _base(table(spark, folder, "lineitem")), ["physical_channel", "event_id"],
-        ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "frame_in_unit",
-        max_rows=frame_bound(spark, folder))
-    powers = _powers(base.withColumn("frame_in_unit", F.col("frame_in_unit").cast("int")), "frame_in_unit")
+    """Frame rows: powers, norms, baseband power, unit start, frame in unit.
+
+    On a large table one exchange by event, into tasks of about ``TASK_ROWS`` rows,
+    serves the numbering, the join and whatever is grouped by unit."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = frame_bound(spark, folder)
+    spread = (_tasks(spark, rows), "event_id") if rows > C.HOT_GROUP_ROWS else None
+    numbered = number_within(_powers(_base(table(spark, folder, "lineitem")), *order), ["physical_channel", "event_id"],
+                             order, "frame_in_unit", max_rows=rows, spread=spread)
+    powers = _with_norms(numbered.withColumn("frame_in_unit", F.col("frame_in_unit").cast("int")), "frame_in_unit")
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("event_id"), clock.ntz_seconds(F.col("o_orderdate")).alias("unit_time0"))
     return powers.join(orders, "event_id")
@@ -61,7 +79,7 @@ def stream_frames(spark: SparkSession, folder: str, files_per_trigger: int = 1)
     """The same powers from a file stream, with data time ten milliseconds per
     event; frames are not numbered because a stream has no order."""
     li = stream_table(spark, folder, "lineitem", maxFilesPerTrigger=files_per_trigger)
-    return with_detector(_powers(_base(li))).withColumn("data_time", F.col("event_id") * 0.01)
+    return with_detector(_with_norms(_powers(_base(li)))).withColumn("data_time", F.col("event_id") * 0.01)
 
 
 def with_detector(df: DataFrame) -> DataFrame:
