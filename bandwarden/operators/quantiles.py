@@ -1,9 +1,10 @@
 """Exact linear-interpolated quantiles for groups of any size.
 
 ``percentile`` keeps a value map per group, which is fine for bounded groups
-only.  A hot group is answered by narrowing: count values in equal bins of the
-current interval, keep the bin that holds the wanted rank, repeat.  Each round
-is one scan with map-side counts; only a bounded remainder is ever gathered.
+only.  A hot group is answered by narrowing: equal values become one row with
+their count, then rows are counted in equal bins of the current interval and
+the bin that holds the wanted rank is kept, until at most ``gather`` distinct
+values are left.  Each round is one scan with map-side counts.
 """
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import materialize
+from .numbering import hot_groups
 
 Spec = tuple[Column | str, float]
 
@@ -44,8 +46,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Sp
     if max_rows is not None and max_rows <= limit:
         return plain(df)
     if keys:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        hot = materialize(counts.where(F.col("_n") > limit).select(*keys))
+        hot = hot_groups(df, keys, limit).select(*keys)
         if hot.isEmpty():
             return plain(df)
         cold = df.alias("d").join(hot.alias("h"), _eq("d", "h", keys), "left_anti")
@@ -90,29 +91,30 @@ def _narrow(df: DataFrame, keys: list[str], specs: Mapping[str, Spec], bins: int
     values = F.array(*[c.cast("double") for c in columns.values()])
     melted = materialize(
         df.select(gid.alias("g"), F.posexplode(values)).where(F.col("col").isNotNull())
-        .select("g", F.col("pos").alias("m"), F.col("col").alias("v")))
+        .groupBy("g", F.col("pos").alias("m"), F.col("col").alias("v")).agg(F.count(F.lit(1)).alias("n")))
     v = F.col("v")
     low, high = v == float("-inf"), v == float("inf")
     finite = ~low & ~high & ~F.isnan(v)
+    rows = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
     stats = melted.groupBy("g", "m").agg(
-        F.count("v").alias("n"), F.count_if(low).alias("below"), F.count_if(finite).alias("c"), F.count_if(high).alias("above"),
+        F.sum("n").alias("n"), rows(low).alias("below"), rows(finite).alias("c"), rows(high).alias("above"), F.count_if(finite).alias("k"),
         F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"))
     wanted = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(place[name]).alias("m"), F.lit(float(q)).alias("q"))
                        for i, (name, (_, q)) in enumerate(specs.items())])
     asked = stats.withColumn("w", F.explode(F.filter(wanted, lambda w: w["m"] == F.col("m"))))
     at = F.col("w.q") * (F.col("n") - 1)
     ends = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
-    ranks = asked.select("g", "m", F.col("w.spec").alias("spec"), at.alias("at"), F.explode(ends).alias("rank"), "below", "c", "above", "lo", "hi")
+    ranks = asked.select("g", "m", F.col("w.spec").alias("spec"), at.alias("at"), F.explode(ends).alias("rank"), "below", "c", "above", "k", "lo", "hi")
     ranks = materialize(ranks)
     r = F.col("rank") - F.col("below")
     outside = F.when(r < 0, F.lit(float("-inf"))).when(r >= F.col("c") + F.col("above"), F.lit(float("nan"))).when(r >= F.col("c"), F.lit(float("inf")))
     known = ranks.select("g", "spec", "at", "rank", outside.alias("x"))
     todo = materialize(ranks.where(outside.isNull()).select(
-        "g", "m", "lo", "hi", F.lit(0).cast("long").alias("base"), "c", r.alias("rank")).distinct())
+        "g", "m", "lo", "hi", F.lit(0).cast("long").alias("base"), "k", r.alias("rank")).distinct())
     done = None
     while True:
-        open_ = todo.where((F.col("lo") < F.col("hi")) & (F.col("c") > gather))
-        closed = todo.where((F.col("lo") == F.col("hi")) | (F.col("c") <= gather))
+        open_ = todo.where((F.col("lo") < F.col("hi")) & (F.col("k") > gather))
+        closed = todo.where((F.col("lo") == F.col("hi")) | (F.col("k") <= gather))
         done = closed if done is None else done.unionByName(closed)
         if open_.isEmpty():
             break
@@ -140,24 +142,26 @@ def _round(melted: DataFrame, todo: DataFrame, bins: int) -> DataFrame:
     hits = (
         melted.alias("d").join(todo.alias("t"), (F.col("d.g") == F.col("t.g")) & (F.col("d.m") == F.col("t.m")) & v.between(lo, hi))
         .groupBy("t.g", "t.m", "t.rank", "t.base", b.alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("d.v").alias("lo"), F.max("d.v").alias("hi"))
+        .agg(F.sum("d.n").alias("c"), F.count(F.lit(1)).alias("k"), F.min("d.v").alias("lo"), F.max("d.v").alias("hi"))
     )
     w = W.partitionBy("g", "m", "rank").orderBy("b")
     upto = hits.withColumn("_end", F.col("base") + F.sum("c").over(w))
     start = F.col("_end") - F.col("c")
     return upto.where((start <= F.col("rank")) & (F.col("rank") < F.col("_end"))).select(
-        "g", "m", "lo", "hi", start.cast("long").alias("base"), "c", "rank")
+        "g", "m", "lo", "hi", start.cast("long").alias("base"), "k", "rank")
 
 
 def _gather(melted: DataFrame, done: DataFrame) -> DataFrame:
-    """Value at the wanted rank; at most ``gather`` values per target."""
+    """Value at the wanted rank; at most ``gather`` distinct values per target."""
     known = done.where(F.col("lo") == F.col("hi")).select("g", "m", "rank", F.col("lo").alias("x"))
     small = done.where(F.col("lo") < F.col("hi"))
+    upto = F.col("base") + F.sum("n").over(W.partitionBy("g", "m", "rank").orderBy("v"))
     values = (
         melted.alias("d").join(small.alias("t"), (F.col("d.g") == F.col("t.g")) & (F.col("d.m") == F.col("t.m"))
                                & F.col("d.v").between(F.col("t.lo"), F.col("t.hi")))
-        .groupBy("t.g", "t.m", "t.rank", "t.base").agg(F.array_sort(F.collect_list("d.v")).alias("vs"))
-        .select("g", "m", "rank", F.get("vs", (F.col("rank") - F.col("base")).cast("int")).alias("x"))
+        .select("t.g", "t.m", "t.rank", "t.base", "d.v", "d.n").withColumn("_upto", upto)
+        .where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("n") <= F.col("rank")))
+        .select("g", "m", "rank", F.col("v").alias("x"))
     )
     return known.unionByName(values)
 

@@ -180,7 +180,7 @@ def half_sample_mode(df: DataFrame, keys: Sequence[str], value: str, max_rows: i
 
     if max_rows is not None and max_rows <= limit:
         return finish(data)
-    hot = materialize(hot_groups(data, keys, limit).select(*keys))
+    hot = hot_groups(data, keys, limit).select(*keys)
     if hot.isEmpty():
         return finish(data)
     n_hot = hot.count()
@@ -222,8 +222,8 @@ def null_scale_about(df: DataFrame, centre: str = "mu", max_rows: int | None = N
 
 
 def calibrate_ladder(df: DataFrame, mu: DataFrame, etas: Sequence[float] = C.ETA_LADDER,
-                     max_rows: int | None = None) -> DataFrame:
-    """Occupancy and kept leakage for each factor of the ladder.
+                     max_rows: int | None = None, leak: bool = True) -> DataFrame:
+    """Occupancy and, unless ``leak`` is false, kept leakage for each factor of the ladder.
 
     ``mu`` has one row per channel; all factors are conditional aggregates of
     one pass, turned into rows afterwards."""
@@ -231,9 +231,12 @@ def calibrate_ladder(df: DataFrame, mu: DataFrame, etas: Sequence[float] = C.ETA
     f, m, n = F.col("f"), F.col("mu"), F.count(F.lit(1))
     over = [(F.count_if(f > F.lit(e) * m) / n).alias(f"occ{i}") for i, e in enumerate(etas)]
     specs = {f"p{i}": (F.when(f <= F.lit(e) * m, f), 0.99) for i, e in enumerate(etas)}
-    g = grouped_quantiles(j, ["physical_channel"], specs, [
-        n.alias("n_frames"), F.min("mu").alias("mu"), F.min("mu0").alias("mu0"),
-        (F.count_if(f > F.col("mu0")) / n).alias("occupancy_provisional"), *over], max_rows=max_rows)
+    aggs = [n.alias("n_frames"), F.min("mu").alias("mu"), F.min("mu0").alias("mu0"),
+            (F.count_if(f > F.col("mu0")) / n).alias("occupancy_provisional"), *over]
+    if leak:
+        g = grouped_quantiles(j, ["physical_channel"], specs, aggs, max_rows=max_rows)
+    else:
+        g = j.groupBy("physical_channel").agg(*aggs, *[F.lit(None).cast("double").alias(p) for p in specs])
     shift = 10.0 * F.log10(F.col("mu") / F.col("mu0"))
     steps = F.array(*[F.struct(F.lit(float(e)).alias("eta"), F.col(f"occ{i}").alias("occupancy"),
                                (10.0 * F.log10(F.col(f"p{i}") / F.col("mu"))).alias("leak_p99_db"))

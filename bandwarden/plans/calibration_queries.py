@@ -8,6 +8,7 @@ from ..functions import clock, geometry, units
 from ..operators import bootstrap, eras, exposure, policy, robust, thresholds, zeropoint as Z
 from ..operators.quantiles import grouped_quantiles
 from ..operators.small import join_small
+from ..session import materialize
 from ..sources import views as V
 from .distribution_queries import MONTH, TAILS, UNIT_STATS, rounded
 from .oracle_views import FRAMES, with_
@@ -29,8 +30,13 @@ def valid(spark, d):
     return V.detector_frames(spark, d).where("valid")
 
 
+def slim(spark, d, *columns):
+    """Columns of the valid frames beside channel, ratio and null ratio, joined and numbered once for all passes over them."""
+    return materialize(valid(spark, d).select("physical_channel", *columns, "f", "mu0"))
+
+
 def median_mu(spark, d, df=None):
-    df = valid(spark, d) if df is None else df
+    df = slim(spark, d) if df is None else df
     return grouped_quantiles(df, ["physical_channel"], {"mu": ("f", 0.5)}, [F.min("mu0").alias("mu0")], max_rows=bound(spark, d))
 
 
@@ -110,7 +116,8 @@ e AS (SELECT *, list_sort(list_filter([(mu-a)/1.0::DOUBLE, (mu-b)/1.96::DOUBLE,
 SELECT physical_channel, round(mu, 9) AS mu, n_lower, round(list_median(es), 9) AS sigma, round(list_max(es)/list_min(es), 6) AS spread,
  round((mu + 3.0902::DOUBLE*list_median(es))/mu, 9) AS floor_eta, round(10*log10((mu + 3.0902::DOUBLE*list_median(es))/mu), 9) AS floor_db FROM e WHERE n_lower >= 20""")
 def null_scale(spark, d):
-    df = join_small(valid(spark, d), median_mu(spark, d).drop("mu0"), ["physical_channel"])
+    df = slim(spark, d)
+    df = join_small(df, materialize(median_mu(spark, d, df).drop("mu0")), ["physical_channel"])
     out = Z.detection_floor(Z.null_scale_about(df, "mu", max_rows=bound(spark, d)))
     return rounded(rounded(out, "mu", "sigma", "floor_eta", "floor_db"), "spread", digits=6)
 
@@ -123,7 +130,8 @@ SELECT x.physical_channel, any_value(n_frames) AS n_frames, round(any_value(mu),
  round(count(*) FILTER (f > eta*mu)/count(*), 9) AS occupancy, round(10*log10(quantile_cont(f, 0.99) FILTER (f <= eta*mu)/any_value(mu)), 9) AS leak_p99_db
 FROM x JOIN fv ON fv.physical_channel = x.physical_channel GROUP BY x.physical_channel, eta""")
 def ladder(spark, d):
-    out = Z.calibrate_ladder(valid(spark, d), median_mu(spark, d), max_rows=bound(spark, d))
+    df = slim(spark, d)
+    out = Z.calibrate_ladder(df, materialize(median_mu(spark, d, df)), max_rows=bound(spark, d))
     return rounded(out, "mu", "mu_shift_db", "occupancy_provisional", "occupancy", "leak_p99_db")
 
 
@@ -136,8 +144,8 @@ SELECT x.physical_channel, any_value(n_frames) AS n_frames, round(any_value(mu),
 FROM x JOIN fh ON fh.physical_channel = x.physical_channel GROUP BY x.physical_channel, eta"""))
 def calibration(spark, d):
     """Ladder about the half-sample mode."""
-    df = V.detector_frames(spark, d).where("healthy")
-    mu = Z.half_sample_mode(df, ["physical_channel"], "f", max_rows=bound(spark, d)).withColumnRenamed("mode", "mu")
+    df = materialize(V.detector_frames(spark, d).where("healthy").select("physical_channel", "f", "mu0"))
+    mu = materialize(Z.half_sample_mode(df, ["physical_channel"], "f", max_rows=bound(spark, d)).withColumnRenamed("mode", "mu"))
     return rounded(Z.calibrate_ladder(df, mu, max_rows=bound(spark, d)), "mu", "mu_shift_db", "occupancy_provisional", "occupancy", "leak_p99_db")
 
 
@@ -168,8 +176,8 @@ def anchor(spark, d):
 
 
 def _centre(spark, d):
-    mu = median_mu(spark, d)
-    df = join_small(valid(spark, d).drop("mu0"), mu, ["physical_channel"])
+    df = slim(spark, d)
+    df = join_small(df.drop("mu0"), materialize(median_mu(spark, d, df)), ["physical_channel"])
     near = F.when(F.abs(c("f") - c("mu")) <= C.CORE_WINDOW * c("mu0"), c("f"))
     return df.groupBy("physical_channel").agg(F.min("mu").alias("c"), (F.stddev_samp(near) / C.TRUNCATED_WINDOW_SD).alias("sigma"))
 
@@ -205,7 +213,8 @@ SELECT physical_channel, count(*) AS n, round(count(*) FILTER (ce)/count(*), 9)
  round(quantile_cont(db, 0.5) FILTER (fl), 6) AS band_p50_db, round(quantile_cont(db, 0.999) FILTER (fl), 6) AS band_p999_db, round(quantile_cont(db, 0.5) FILTER (kp), 6) AS kept_p50_db, round(quantile_cont(db, 0.999) FILTER (kp), 6) AS kept_p999_db
 FROM k JOIN fb USING (physical_channel) GROUP BY 1""")
 def three_arm(spark, d):
-    df = join_small(valid(spark, d), median_mu(spark, d).drop("mu0"), ["physical_channel"])
+    df = slim(spark, d, "event_id", "baseband_power")
+    df = join_small(df, materialize(median_mu(spark, d, df).drop("mu0")), ["physical_channel"])
     df = df.withColumn("core", F.abs(c("f") - c("mu")) <= C.CORE_WINDOW * c("mu0"))
     out = robust.three_arm_mask(df, max_rows=bound(spark, d))
     out = rounded(out, "kept_ceiling", "kept_band", "kept_final", "sigma")
@@ -262,11 +271,12 @@ SELECT physical_channel, count(*) AS n, count(*) FILTER (sub) AS n_sub, round(co
  round(quantile_cont(baseband_power, 0.5) FILTER (sub)/quantile_cont(baseband_power, 0.5) FILTER (bulk), 9) AS power_ratio, any_value(units_hit) AS units_hit, round(any_value(top), 9) AS top_unit_share
 FROM j JOIN n USING (physical_channel) GROUP BY 1""")
 def sub_null(spark, d):
-    df = valid(spark, d)
-    mu = median_mu(spark, d).drop("mu0")
+    df = slim(spark, d, "event_id", "baseband_power")
+    mu = materialize(median_mu(spark, d, df).drop("mu0"))
     j = join_small(df, mu, ["physical_channel"])
     scale = grouped_quantiles(j, ["physical_channel"], {"_q": (F.when(c("f") <= c("mu"), c("f")), 0.05)}, [F.min("mu").alias("mu")],
                               max_rows=bound(spark, d)).withColumn("sigma", (c("mu") - c("_q")) / 10)
+    scale = materialize(scale)
     return rounded(robust.sub_null_tail(df, scale, max_rows=bound(spark, d)), "fraction", "median_over_mu", "power_ratio", "top_unit_share")
 
 
@@ -349,7 +359,8 @@ def kept_excess(spark, d):
 k AS (SELECT physical_channel, 10*log10(min(mu)/min(m.mu0)) AS shift, count(*) FILTER (f > 1.2::DOUBLE*mu)/count(*) AS occ FROM fv JOIN m USING (physical_channel) GROUP BY 1)
 SELECT physical_channel, round(shift, 9) AS mu_shift_db, round(occ, 9) AS occupancy, CASE WHEN shift > 3 OR occ >= 0.5 THEN 'excise' WHEN occ <= 0.1 THEN 'keep, light masking' ELSE 'keep, heavy masking' END AS disposition FROM k""")
 def verdicts(spark, d):
-    ladder_ = Z.calibrate_ladder(valid(spark, d), median_mu(spark, d), etas=[1.2], max_rows=bound(spark, d))
+    df = slim(spark, d)
+    ladder_ = Z.calibrate_ladder(df, materialize(median_mu(spark, d, df)), etas=[1.2], leak=False)
     out = ladder_.select("physical_channel", "mu_shift_db", "occupancy", policy.disposition(c("mu_shift_db"), c("occupancy")).alias("disposition"))
     return rounded(out, "mu_shift_db", "occupancy")
 

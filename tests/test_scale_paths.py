@@ -140,3 +140,30 @@ def test_split_quantiles_keep_groups_and_take_infinities(spark):
         assert sorted(map(repr, plain.collect())) == sorted(map(repr, split.select(*plain.columns).collect()))
     nothing = grouped_quantiles(df.where("k = 1"), [], {"a": ("x", .5)}, limit=50, gather=20).collect()
     assert [tuple(x) for x in nothing] == [(None,)]
+
+
+def test_hot_groups_are_counted_by_cell_first(skewed):
+    pdf, df = skewed
+    want = {k: n for k, n in pdf["k"].value_counts().items() if n > 200}
+    assert {r["k"]: r["_n"] for r in N.hot_groups(df, ["k"], 200).collect()} == want
+    assert N.hot_groups(df, ["k"], 6000).isEmpty()
+
+
+def test_equal_values_need_no_rounds(spark, monkeypatch):
+    """A hot group of few distinct values is answered from their counts."""
+    from bandwarden.operators import quantiles
+    monkeypatch.setattr(quantiles, "_round", None)
+    df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id") % 97 / 7).alias("x"))
+    qs = (0.0, 0.01, 0.31, 0.5, 0.977, 1.0)
+    got = grouped_quantiles(df, ["k"], {f"q{i}": ("x", q) for i, q in enumerate(qs)}, limit=200, bins=8, gather=100).first()
+    np.testing.assert_allclose(list(got)[1:], np.quantile(df.toPandas()["x"], qs), rtol=1e-12)
+
+
+def test_large_frame_tables_take_one_exchange_by_event(spark, monkeypatch):
+    from bandwarden import constants as C
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    small = V.frames(spark, SF)
+    monkeypatch.setattr(C, "HOT_GROUP_ROWS", 100)
+    large = V.frames(spark, SF)
+    assert large.columns == small.columns and sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+    assert "REPARTITION_BY_NUM" in plan(large) and plan(large).count("hashpartitioning(physical_channel") == 0
