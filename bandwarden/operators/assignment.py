@@ -15,6 +15,7 @@ from ..session import materialize
 TODAY, ONE_DAY = datetime.timedelta(0), datetime.timedelta(days=1)
 OUTCOMES = ("exact", "classok", "daypure", "mixed", "orphan")
 SWEEPS = 200              # of the overflow bound before it jumps to its largest value
+TASK_ROWS = 1 << 17       # contested units and events of a task, about
 RESULT = "physical_channel int, unit_id long, event_id long, event_class string, outcome string"
 _ALL = object()
 
@@ -46,7 +47,8 @@ def _runs_of_channel(pdf: pd.DataFrame) -> pd.DataFrame:
     joined = (np.diff(days) == 1) & ((over[:-1] > 0) | (over[1:] > 0))
     run = np.concatenate([[0], np.cumsum(~joined)])
     settled = pdf["enough"].to_numpy(bool) & (np.bincount(run)[run] == 1)
-    return pd.DataFrame({"physical_channel": pdf["physical_channel"], "day": pdf["day"], "run": run, "settled": settled})
+    return pd.DataFrame({"physical_channel": pdf["physical_channel"], "day": pdf["day"], "run": run, "settled": settled,
+                         "rows": pdf["units"] + pdf["events"]})
 
 
 def _runs(units: DataFrame, events: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def _runs(units: DataFrame, events: DataFrame) -> DataFrame:
     per_day = cells.groupBy("physical_channel", "day").agg(
         F.sum("u").alias("units"), F.sum(F.col("n") - F.col("u")).alias("events"),
         F.min(F.col("u") <= F.col("n") - F.col("u")).alias("enough"))
-    return per_day.groupBy("physical_channel").applyInPandas(_runs_of_channel, "physical_channel int, day date, run long, settled boolean")
+    return per_day.groupBy("physical_channel").applyInPandas(_runs_of_channel, "physical_channel int, day date, run long, settled boolean, rows long")
 
 
 class _Pool:
@@ -90,7 +92,10 @@ class _Pool:
             event = self.line[key].popleft()
         self.used.add(event.Index)
         for key in (_ALL, event.n_frames):
-            self.kinds[key] -= Counter([event.event_class])
+            left = self.kinds[key]
+            left[event.event_class] -= 1
+            if not left[event.event_class]:
+                del left[event.event_class]
         return event.id, None if outcome == "mixed" else event.event_class, outcome
 
 
@@ -109,14 +114,18 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_rank(units: DataFrame, events: DataFrame) -> DataFrame:
-    """Outcomes on settled days: the k-th unit with some number of frames takes the k-th such event."""
+    """Outcomes on settled days: the k-th unit with some number of frames takes the k-th such event.
+
+    The events that are free at a rank are those from it to the last.  They are summed from the last one backwards, because
+    a frame that ends with the group is summed anew for every row of it."""
     cell = ["physical_channel", "day", "n_frames"]
     order = W.partitionBy(*cell).orderBy("order", "id")
-    left = order.rowsBetween(W.currentRow, W.unboundedFollowing)
+    left = W.partitionBy(*cell).orderBy(F.desc("order"), F.desc("id")).rowsBetween(W.unboundedPreceding, W.currentRow)
     kind = F.col("event_class")
     ranked = events.select(
-        *cell, F.row_number().over(order).alias("rank"), F.col("id").alias("event_id"), kind, F.count(F.lit(1)).over(left).alias("free"),
-        F.count(kind).over(left).alias("named"), F.min(kind).over(left).eqNullSafe(F.max(kind).over(left)).alias("alike"))
+        *cell, F.col("id").alias("event_id"), kind, F.count(F.lit(1)).over(W.partitionBy(*cell)).alias("all"), F.count(F.lit(1)).over(left).alias("free"),
+        F.count(kind).over(left).alias("named"), F.min(kind).over(left).eqNullSafe(F.max(kind).over(left)).alias("alike")).withColumn(
+        "rank", F.col("all") - F.col("free") + 1)
     pure = F.col("alike") & ((F.col("named") == 0) | (F.col("named") == F.col("free")))
     outcome = F.when(F.col("free") == 1, "exact").when(pure, "classok").otherwise("mixed")
     return units.select(*cell, F.row_number().over(order).alias("rank"), F.col("id").alias("unit_id")).join(ranked, [*cell, "rank"]).select(
@@ -134,10 +143,13 @@ def assign_units(units: DataFrame, events: DataFrame) -> DataFrame:
     placed = F.col("day").isNotNull() & F.col("physical_channel").isNotNull()
     u, e = units.select(*cols).where(placed), events.select(*cols, "event_class").where(placed)
     runs = materialize(_runs(u, e))
-    u, e = (x.join(runs, ["physical_channel", "day"]) for x in (u, e))
+    # Contested rows are short but take long, so their tasks are cut by rows and not by bytes.
+    waiting = runs.where("NOT settled").agg(F.sum("rows")).first()[0] or 0
+    tasks = max(int(u.sparkSession.conf.get("spark.sql.shuffle.partitions")), waiting // TASK_ROWS)
+    u, e = (x.join(runs.drop("rows"), ["physical_channel", "day"]) for x in (u, e))
     both = u.withColumn("event_class", F.lit(None).cast("string")).withColumn("is_unit", F.lit(True)).unionByName(
         e.withColumn("is_unit", F.lit(False)))
-    contested = both.where("NOT settled").drop("settled").groupBy("physical_channel", "run").applyInPandas(_assign, RESULT)
+    contested = both.where("NOT settled").drop("settled").repartition(tasks, "physical_channel", "run").groupBy("physical_channel", "run").applyInPandas(_assign, RESULT)
     nowhere = units.where(~placed).select(
         "physical_channel", F.col("id").alias("unit_id"), F.lit(None).cast("long").alias("event_id"),
         F.lit(None).cast("string").alias("event_class"), F.lit("orphan").alias("outcome"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C, schema
 from ..functions import clock, keys
 from ..operators import align, assignment, blocks, catalogue, evidence, quality as K, spectra as P
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import inventory, products, views as V
 from ..sources.tables import row_bound, stream_table, table
 from ..streaming import incremental, windows
@@ -458,7 +458,7 @@ def incremental_outcomes(spark, d):
 # ----------------------------------------------------------------- assignment
 def _assigned(spark, d):
     """Every unit against the events of its own day and copies, under negative ids, of most events that drifted off it."""
-    u = V.units(spark, d)
+    u = materialize(V.units(spark, d).select("physical_channel", "event_id", "unit_time0", "n_frames", "scope"))
     day = clock.utc_date(c("unit_time0"))
     drift = F.date_add(day, (c("event_id") % 3 - 1).cast("int"))
     un = u.select("physical_channel", c("event_id").alias("id"), c("unit_time0").cast("long").alias("order"), drift.alias("day"), "n_frames")

@@ -465,6 +465,24 @@ def _assigned_one_by_one(units, events):
     return out
 
 
+def test_free_events_are_summed_backwards(spark):
+    """A frame that ends with the group is summed anew for each of its rows, which is quadratic in the units of a day."""
+    units = spark.createDataFrame([], "physical_channel int, id long, order long, day date, n_frames long")
+    plan = assignment._by_rank(units, units.withColumn("event_class", c("n_frames").cast("string")))._jdf.queryExecution().toString()
+    assert "unboundedpreceding" in plan.lower() and "currentrow$(), unboundedfollowing" not in plan.lower()
+
+
+def test_contested_runs_are_spread_by_rows(spark, monkeypatch):
+    """Short rows are not packed into few tasks by their bytes."""
+    monkeypatch.setattr(assignment, "TASK_ROWS", 10)
+    schema = "physical_channel int, id long, order long, day date, n_frames long"
+    row = lambda i: (14, i, i, (pd.Timestamp("2020-01-01") + pd.Timedelta(days=3 * (i % 40))).date(), 1 + i % 2)
+    units = spark.createDataFrame([row(i) for i in range(160)], schema)
+    events = spark.createDataFrame([(*row(i), "A") for i in range(100)], schema + ", event_class string")
+    out = assignment.assign_units(units, events)
+    assert out.count() == 160 and "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("surplus", [-20, 0, 60, 600])
 def test_assignment_equals_one_by_one(spark, surplus):
     r = np.random.default_rng(surplus + 50)
