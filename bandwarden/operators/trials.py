@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import stats
-from .bootstrap import draw
-from .numbering import number_within, running_sums
+from ..session import materialize
+from .bootstrap import resampled_sums
+from .numbering import running_sums
 from .quantiles import grouped_quantiles
 from .small import join_scalar, join_small
 
@@ -96,18 +97,18 @@ def paired_crossing_bootstrap(df: DataFrame, trial: str, x: str, value: str, thr
                               replicates: int, seed: int, max_rows: int | None = None) -> DataFrame:
     """Crossing of resampled trials, one resample shared by all grid values.
 
-    ``df`` is paired.  Each trial becomes one row of outcomes per grid value;
-    draws pick trial ranks, are counted first, and meet the trials in
-    an equi-join."""
-    hits = df.groupBy(trial, x).agg(F.max((F.col(value) > threshold).cast("int")).alias("hit"))
-    ids = number_within(hits.select(F.lit(0).alias("_g"), trial).distinct(), ["_g"], [trial], "_rank", max_rows=max_rows)
-    n = ids.agg(F.count(F.lit(1)).alias("_n"))
-    draws = join_scalar(ids.select(F.col("_rank").alias("_d")), n).select(
-        "_n", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = draw(seed, "replicate", "_d", "_n")
-    times = draws.groupBy("replicate", pick.alias("_rank")).agg(F.count(F.lit(1)).alias("w")).join(ids, "_rank")
-    rates = hits.join(times.select(trial, "replicate", "w"), trial).groupBy("replicate", x).agg(
-        (F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("rate"))
+    ``df`` is paired.  Each trial becomes one row with its outcome at every grid value, of which there are few; a replicate's
+    draws are counted where they are made, and blocks of counts meet the outcomes once."""
+    hits = materialize(df.groupBy(trial, x).agg(F.max((F.col(value) > threshold).cast("int")).alias("hit")))
+    grid = sorted(r[0] for r in hits.where(F.col(x).isNotNull()).select(x).distinct().collect()) or [0]
+    at = [F.col(x) == F.lit(g) for g in grid]
+    wide = hits.groupBy(trial).agg(*[F.max(F.when(a, F.col("hit"))).alias(f"_h{i}") for i, a in enumerate(at)],
+                                   *[F.count_if(a).alias(f"_n{i}") for i, a in enumerate(at)])
+    sums = [f"_{k}{i}" for i in range(len(grid)) for k in "hn"]
+    drawn = resampled_sums(wide.withColumn("_g", F.lit(0)), ["_g"], trial, sums, replicates, seed, max_rows)
+    cells = F.array(*[F.struct(F.lit(g).cast(df.schema[x].dataType).alias(x), F.col(f"_h{i}").alias("h"), F.col(f"_n{i}").alias("n")) for i, g in enumerate(grid)])
+    rates = drawn.select("replicate", F.explode(cells).alias("c")).where("c.n > 0").select(
+        "replicate", f"c.{x}", (F.col("c.h") / F.col("c.n")).alias("rate"))
     cross = crossing(rates, ["replicate"], x, "rate", target)
     ok = cross.where("bracketed").withColumn("_g", F.lit(0))
     return grouped_quantiles(ok, ["_g"], {"low": ("estimate", 0.025), "median": ("estimate", 0.5), "high": ("estimate", 0.975)},

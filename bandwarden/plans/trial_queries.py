@@ -7,6 +7,7 @@ from ..functions import keys
 from ..operators.bootstrap import draw_sql
 from ..operators.numbering import number_within
 from ..operators import census as S, trials as T
+from ..session import materialize
 from ..sources import views as V
 from ..sources.tables import row_bound
 from .distribution_queries import rounded
@@ -118,7 +119,7 @@ lg AS (SELECT *, lag(y) OVER w AS y0, lag(snr_db) OVER w AS x0 FROM mo WINDOW w
 h AS (SELECT replicate, x0 + (snr_db-x0)*(0.6::DOUBLE-y0)/(y-y0) AS e FROM lg WHERE y0 < 0.6::DOUBLE AND y >= 0.6::DOUBLE QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY snr_db) = 1)
 SELECT count(*) AS valid_replicates, round(quantile_cont(e, 0.025), 9) AS low, round(quantile_cont(e, 0.5), 9) AS median, round(quantile_cont(e, 0.975), 9) AS high FROM h HAVING count(*) > 0""")
 def crossing_bootstrap(spark, d):
-    t = T.paired_trials(paired_grid(spark, d), "trial", "snr_db")
+    t = T.paired_trials(materialize(paired_grid(spark, d).select("trial", "snr_db", "ratio")), "trial", "snr_db")
     out = T.paired_crossing_bootstrap(t, "trial", "snr_db", "ratio", 1.004, 0.6, 300, 7, max_rows=bound(spark, d))
     return rounded(out, "low", "median", "high")
 

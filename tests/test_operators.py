@@ -426,6 +426,27 @@ def test_paired_trials_refuse_duplicates(spark):
         trials.paired_trials(df, "trial", "snr", strict=True)
 
 
+def test_crossing_bootstrap_ships_no_draws(spark):
+    """Draws are counted in the task that makes them; the plan explodes replicates, never trials by replicates."""
+    r = np.random.default_rng(4)
+    rows = [(t, s, float(r.random() + s / 10)) for t in range(200) for s in range(8)]
+    df = spark.createDataFrame(rows, "trial long, snr int, v double")
+    out = trials.paired_crossing_bootstrap(df, "trial", "snr", "v", 0.9, 0.4, 50, 7)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    x1 = (np.arange(50)[:, None] * 1000003 + np.arange(200) * 7919 + 7 * 104729 + 12345) % 2147483647
+    x2 = (x1 * x1 + x1 * 48271 + 1) % 2147483647
+    pick = ((x2 * x2 + x2 * 69621 + 3) % 2147483647) % 200
+    hit = np.array([v > 0.9 for _, _, v in rows]).reshape(200, 8)
+    y = np.maximum.accumulate(hit[pick].mean(axis=1), axis=1)
+    found = []
+    for own in y:
+        at = next((i for i in range(1, 8) if own[i - 1] < 0.4 <= own[i]), None)
+        if at is not None:
+            found.append(at - 1 + (0.4 - own[at - 1]) / (own[at] - own[at - 1]))
+    got = out.first()
+    assert got["valid_replicates"] == len(found) and got["median"] == pytest.approx(np.quantile(found, 0.5))
+
+
 def test_census_rules(spark):
     df = spark.createDataFrame([(14, -1.0), (None, 5.0), (15, 5.0)], "rf_channel int, distance_km double")
     assert census.census_violations(df).count() == 2
