@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import stats
 from ..session import materialize
-from .numbering import hot_groups, number_within
+from .numbering import hot_groups, number_within, running_sums
 from .quantiles import grouped_quantiles
 from .small import join_small
 
@@ -69,21 +69,33 @@ def _settle_bounded(data: DataFrame, start: DataFrame, rounds: int) -> DataFrame
 
 
 def _settle_rounds(data: DataFrame, start: DataFrame, rounds: int, max_rows: int | None) -> DataFrame:
-    """Settled centres by one aggregation per round for all channels."""
+    """Settled centres by rounds over the distinct values of all channels.
+
+    A window about a centre is a run of the sorted values, so its median is found by its rank among the running counts,
+    which are made once."""
+    values = materialize(data.groupBy("physical_channel", "f").agg(F.count(F.lit(1)).alias("n")))
+    counted = materialize(running_sums(values, ["physical_channel"], "f", ["n"], max_rows=max_rows).select("physical_channel", "f", "n", "cum_n"))
     rows = {r["physical_channel"]: (r["centre"], r["mu0"]) for r in start.collect()}
     active = set(rows)
 
-    def centres(which):
-        return data.sparkSession.createDataFrame([(ch, *rows[ch]) for ch in sorted(which)],
-                                                 "physical_channel int, centre double, mu0 double")
+    def centred(df, which):
+        """``df`` of some channels with their centre and null ratio as literals; there are few channels."""
+        own = F.col("physical_channel")
+        put = lambda i: F.coalesce(*[F.when(own == ch, F.lit(rows[ch][i])) for ch in sorted(which)], F.lit(None).cast("double"))
+        return df.where(own.isin(sorted(which))).select("*", put(0).alias("centre"), put(1).alias("mu0"))
 
     for _ in range(rounds):
         if not active:
             break
-        near = join_small(data.drop("mu0"), centres(active), ["physical_channel"]).where(
+        near = centred(counted, active).where(
             F.abs(F.col("f") - F.col("centre")) <= F.lit(C.CORE_WINDOW) * F.col("mu0"))
-        found = {r["physical_channel"]: r for r in grouped_quantiles(
-            near, ["physical_channel"], {"m": ("f", 0.5)}, [F.count(F.lit(1)).alias("n")], max_rows=max_rows).collect()}
+        size = near.groupBy("physical_channel").agg(F.sum("n").alias("all"), F.min(F.col("cum_n") - F.col("n")).alias("first"))
+        at = (F.col("all") - 1) / 2
+        holds = lambda rank: (F.col("cum_n") - F.col("n") <= F.col("first") + rank) & (F.col("first") + rank < F.col("cum_n"))
+        ends = join_small(near, size, ["physical_channel"]).groupBy("physical_channel").agg(
+            F.min("all").alias("n"), F.min(F.when(holds(F.floor(at)), F.col("f"))).alias("a"), F.min(F.when(holds(F.ceil(at)), F.col("f"))).alias("b"))
+        found = {r["physical_channel"]: r for r in ends.select(
+            "physical_channel", "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0.5 * F.col("a") + 0.5 * F.col("b")).alias("m")).collect()}
         for ch in sorted(active):
             r = found.get(ch)
             if r is None or r["n"] < 100:
@@ -92,7 +104,7 @@ def _settle_rounds(data: DataFrame, start: DataFrame, rounds: int, max_rows: int
             if abs(r["m"] - rows[ch][0]) < 1e-7:
                 active.discard(ch)
             rows[ch] = (r["m"], rows[ch][1])
-    return centres(rows)
+    return centred(start.select("physical_channel"), rows)
 
 
 def core_zero_point(df: DataFrame, max_rows: int | None = None, rounds: int = 20) -> DataFrame:
