@@ -2,25 +2,45 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import materialize
 from .bootstrap import resampled_sums
+from .numbering import hot_groups
 from .quantiles import grouped_quantiles
 from .small import join_scalar, join_small
 
 UNIT = ["physical_channel", "event_id"]
 
 
+def unit_medians(df: DataFrame, columns: list[str], max_rows: int | None = None, limit: int = C.HOT_GROUP_ROWS) -> DataFrame:
+    """``n_core`` and the medians of the core frames of each unit.
+
+    Units are many and short, for which a value map each is dear: their rows are sorted and the middle ones picked.  With a
+    unit beyond ``limit`` the quantiles of hot groups are used."""
+    core = F.col("core")
+    small = max_rows is not None and max_rows <= limit
+    if not small and not hot_groups(df, UNIT, limit).isEmpty():
+        return grouped_quantiles(df, UNIT, {f"base_{c}": (F.when(core, F.col(c)), 0.5) for c in columns},
+                                 [F.count_if(core).alias("n_core")], max_rows=max_rows, limit=limit)
+    held = df.select(*UNIT, "core", *[F.when(core, F.col(c)).cast("double").alias(f"_v_{c}") for c in columns])
+    for c in columns:
+        w = W.partitionBy(*UNIT)
+        held = held.withColumns({f"_r_{c}": F.row_number().over(w.orderBy(F.asc_nulls_last(f"_v_{c}"))) - 1, f"_n_{c}": F.count(f"_v_{c}").over(w)})
+    picked = [F.max(F.when(F.col(f"_r_{c}") == end((F.col(f"_n_{c}") - 1) / 2), F.col(f"_v_{c}"))).alias(f"_{k}_{c}")
+              for c in columns for k, end in (("a", F.floor), ("b", F.ceil))]
+    g = held.groupBy(*UNIT).agg(F.count_if(core).alias("n_core"), *picked)
+    middle = lambda a, b: F.when(a == b, a).otherwise(0.5 * a + 0.5 * b)
+    return g.select(*UNIT, "n_core", *[middle(F.col(f"_a_{c}"), F.col(f"_b_{c}")).alias(f"base_{c}") for c in columns])
+
+
 def unit_baseline(df: DataFrame, columns: list[str], max_rows: int | None = None, min_core: int = 2) -> DataFrame:
     """Median of core frames per unit, else the median of the channel's unit
     medians.  Needs a ``core`` flag."""
-    core = F.col("core")
-    per = grouped_quantiles(df, UNIT, {f"base_{c}": (F.when(core, F.col(c)), 0.5) for c in columns},
-                            [F.count_if(core).alias("n_core")], max_rows=max_rows)
     ok = F.col("n_core") >= min_core
-    per = per.select(*UNIT, *[F.when(ok, F.col(f"base_{c}")).alias(f"base_{c}") for c in columns])
+    per = materialize(unit_medians(df, columns, max_rows).select(*UNIT, *[F.when(ok, F.col(f"base_{c}")).alias(f"base_{c}") for c in columns]))
     fallback = grouped_quantiles(per, ["physical_channel"], {f"_fb_{c}": (f"base_{c}", 0.5) for c in columns},
                                  max_rows=max_rows)
     j = join_small(per, fallback, ["physical_channel"])
@@ -66,11 +86,11 @@ def tail_decomposition(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     df = materialize(df.select(*UNIT, "lo", "core", "hi", "p_target", "p_ref_sum"))
     base = unit_baseline(df, ["p_target", "p_ref_sum"], max_rows)
     part = F.when(F.col("lo"), "low").when(F.col("hi"), "high").when(F.col("core"), "core")
-    j = df.join(base, UNIT).withColumn("part", part).where(F.col("part").isNotNull())
+    ratio = lambda c: F.col(c) / F.col(f"base_{c}")
+    j = materialize(df.join(base, UNIT).where(part.isNotNull()).select(
+        "physical_channel", part.alias("part"), ratio("p_target").alias("target"), ratio("p_ref_sum").alias("reference")))
     return grouped_quantiles(
-        j, ["physical_channel", "part"],
-        {"target_ratio": (F.col("p_target") / F.col("base_p_target"), 0.5),
-         "reference_ratio": (F.col("p_ref_sum") / F.col("base_p_ref_sum"), 0.5)},
+        j, ["physical_channel", "part"], {"target_ratio": ("target", 0.5), "reference_ratio": ("reference", 0.5)},
         [F.count(F.lit(1)).alias("n")], max_rows=max_rows)
 
 

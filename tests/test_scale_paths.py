@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bandwarden.operators import exposure, numbering as N, presence, zeropoint as Z
+from bandwarden.operators import exposure, numbering as N, presence, robust, zeropoint as Z
 from bandwarden.operators.quantiles import grouped_quantiles
 from bandwarden.sources import views as V
 
@@ -167,3 +167,31 @@ def test_large_frame_tables_take_one_exchange_by_event(spark, monkeypatch):
     large = V.frames(spark, SF)
     assert large.columns == small.columns and sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
     assert "REPARTITION_BY_NUM" in plan(large) and plan(large).count("hashpartitioning(physical_channel") == 0
+
+
+def test_unit_medians_match_quantiles(spark):
+    """Picked middle rows are the quantiles of the value maps, also for units without a core frame, ties and nulls."""
+    r = np.random.default_rng(9)
+    rows = [(14, int(r.integers(0, 60)), bool(r.random() < 0.6), None if r.random() < 0.1 else int(r.integers(0, 30)), float(r.integers(0, 9)) / 7) for _ in range(300)]
+    df = spark.createDataFrame(rows, "physical_channel int, event_id long, core boolean, p long, x double")
+    got = robust.unit_medians(df, ["p", "x"])
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    key = lambda d: sorted(tuple(row) for row in d.select("event_id", "n_core", "base_p", "base_x").fillna(-1.0).collect())
+    assert key(got) == key(robust.unit_medians(df, ["p", "x"], limit=10))
+
+
+def test_settled_centres_read_distinct_values_only(spark, monkeypatch):
+    """Rounds over running counts give the centres of rounds over frames; no quantile is searched in a round."""
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame({"physical_channel": np.repeat([14, 15], 900), "f": np.round(1 + 0.004 * r.standard_normal(1800), 4)})
+    df = spark.createDataFrame(pdf).withColumn("physical_channel", F.col("physical_channel").cast("int")).withColumn("mu0", F.lit(1.0))
+    start = spark.createDataFrame([(14, 1.001, 1.0), (15, 0.9985, 1.0)], "physical_channel int, centre double, mu0 double")
+    monkeypatch.setattr(Z, "grouped_quantiles", None)
+    got = {x["physical_channel"]: x["centre"] for x in Z._settle_rounds(df, start, 20, None).collect()}
+    for ch, m in ((14, 1.001), (15, 0.9985)):
+        f = pdf["f"][pdf["physical_channel"] == ch].to_numpy()
+        for _ in range(20):
+            last, m = m, float(np.median(f[np.abs(f - m) <= 6e-3]))
+            if abs(m - last) < 1e-7:
+                break
+        assert got[ch] == m
