@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import clock
+from ..session import materialize
 from .exposure import unit_stats
 from .quantiles import grouped_quantiles
 from .small import CHANNEL_ROWS, join_small
@@ -79,8 +80,8 @@ def segment(levels: DataFrame, max_rows: int | None = None) -> DataFrame:
             "physical_channel": pdf["physical_channel"].iloc[0], "era": range(len(edges) - 1),
             "month_start": [months[a] for a in edges[:-1]], "month_end": [months[b - 1] for b in edges[1:]]})
 
-    bounds = monthly_levels(levels, max_rows).groupBy("physical_channel").applyInPandas(
-        cut, "physical_channel int, era int, month_start int, month_end int")
+    bounds = materialize(monthly_levels(levels, max_rows).groupBy("physical_channel").applyInPandas(
+        cut, "physical_channel int, era int, month_start int, month_end int"))
     tagged = assign_era(levels, bounds)
     return grouped_quantiles(
         tagged, ["physical_channel", "era", "month_start", "month_end"],
@@ -106,7 +107,8 @@ def quiet_era_floor(frames: DataFrame, eras: DataFrame, value: str = "shelf_db",
     """High quantile of the value in the quietest era of each channel whose
     level is low and which has enough finite values."""
     quiet = eras.where(F.col("level_median_db") <= level_db)
-    g = grouped_quantiles(assign_era(frames, quiet), ["physical_channel", "era"], {"floor_db": (value, q)},
+    held = materialize(assign_era(frames, quiet).select("physical_channel", "era", value))
+    g = grouped_quantiles(held, ["physical_channel", "era"], {"floor_db": (value, q)},
                           [F.count(value).alias("n")], max_rows=max_rows).where(F.col("n") >= min_n)
     j = g.join(F.broadcast(eras.select("physical_channel", "era", "level_median_db")), ["physical_channel", "era"])
     return j.groupBy("physical_channel").agg(

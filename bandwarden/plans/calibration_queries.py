@@ -441,8 +441,10 @@ def _stepped(spark, d):
     return V.with_detector(df.withColumn("p_target", F.when(up, c("p_target") * 10).otherwise(c("p_target"))))
 
 
-def _eras(spark, d):
-    return eras.segment(eras.unit_levels(_stepped(spark, d)), max_rows=bound(spark, d))
+def _eras(spark, d, df=None):
+    """Eras of the stepped frames, or of ``df``, which holds them; every table is written once and read by what follows."""
+    levels = materialize(eras.unit_levels(_stepped(spark, d) if df is None else df))
+    return materialize(eras.segment(levels, max_rows=bound(spark, d)))
 
 
 @query("era_segmentation")
@@ -464,9 +466,11 @@ def latest_era(spark, d):
 
 @query("quiet_era_floor")
 def quiet_floor(spark, d):
-    df = _stepped(spark, d).where("healthy").withColumn("month", clock.month_index(c("unit_time0")))
+    df = materialize(_stepped(spark, d).where("healthy").select("physical_channel", "event_id", "unit_time0", "f", "mu0", "healthy"))
+    found = _eras(spark, d, df)
+    df = df.withColumn("month", clock.month_index(c("unit_time0")))
     df = df.withColumn("shelf_db", units.excess_to_shelf_db(units.to_db(c("f") / c("mu0") - 1)))
-    return eras.quiet_era_floor(df, _eras(spark, d), max_rows=bound(spark, d))
+    return eras.quiet_era_floor(df, found, max_rows=bound(spark, d))
 
 
 @query("era_agreement")

@@ -670,3 +670,10 @@ def test_bytes_by_class_counts_units_without_frames_and_sizes(spark):
     bad = spark.createDataFrame([("c",), ("c",)], "unit_key string")
     got = {r["scope"]: r for r in evidence.bytes_by_class(inventory_, units, bad, 2.0).collect()}
     assert tuple(got["s"])[1:] == (3, 2, 1, 5, 1, 10.0, 15, 10, 5) and tuple(got["t"])[1:] == (1, 0, 0, 0, 0, 0.0, 7, 0, 0)
+
+
+def test_eras_are_written_once(spark):
+    """Levels, months and eras are read back by later passes; the frames are not joined and numbered anew in each."""
+    from bandwarden.plans import calibration_queries as Q
+    for run in (Q.era_segmentation, Q.quiet_floor):
+        assert "lineitem" not in run(spark, SF)._jdf.queryExecution().toString()
