@@ -63,11 +63,12 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     """Frame rows: powers, norms, baseband power, unit start, frame in unit.
 
     On a large table one exchange by event, into tasks of about ``TASK_ROWS`` rows,
-    serves the numbering, the join and whatever is grouped by unit."""
+    serves the numbering, the join and whatever is grouped by unit.  The numbering sorts by
+    event first, which is the order the join wants, so a task sorts its frames once."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     rows = frame_bound(spark, folder)
     spread = (_tasks(spark, rows), "event_id") if rows > C.HOT_GROUP_ROWS else None
-    numbered = number_within(_powers(_base(table(spark, folder, "lineitem")), *order), ["physical_channel", "event_id"],
+    numbered = number_within(_powers(_base(table(spark, folder, "lineitem")), *order), ["event_id", "physical_channel"],
                              order, "frame_in_unit", max_rows=rows, spread=spread)
     powers = _with_norms(numbered.withColumn("frame_in_unit", F.col("frame_in_unit").cast("int")), "frame_in_unit")
     orders = table(spark, folder, "orders").select(

@@ -195,3 +195,17 @@ def test_settled_centres_read_distinct_values_only(spark, monkeypatch):
             if abs(m - last) < 1e-7:
                 break
         assert got[ch] == m
+
+
+def test_a_large_frame_view_sorts_its_frames_once(spark, monkeypatch):
+    """The order of the numbering serves the join with the orders, whose side is the only other sort."""
+    want = sorted(map(tuple, V.frames(spark, SF).select(*sorted(V.frames(spark, SF).columns)).collect()))
+    monkeypatch.setattr(V.C, "HOT_GROUP_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = V.frames(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("- Sort [") == 2
+        assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
