@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 KEYS_LISTED = 3
 
 
@@ -98,6 +100,7 @@ def audit(tables: dict[str, tuple[DataFrame, str]], rules: Iterable[Rule] = RULE
     for name, (df, key) in tables.items():
         part = broken_rules(df, [r for r in rules if r.table == name], key)
         bad = part if bad is None else bad.unionByName(part)
+    bad = materialize(bad)  # each table is read once; what is written are violations only
     # Counts combine inside tasks, and the limit by rank keeps a rule that all rows break from gathering their keys.
     counts = bad.groupBy("table", "rule").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("table", "rule").orderBy("key")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C, schema
@@ -135,15 +136,15 @@ fb AS (SELECT {_replaced(_BIN_WRONG, 'frame_id', 97)} FROM (SELECT *, bin AS pla
 ut AS (SELECT {_replaced(_UNIT_WRONG, 'event_id', 1013)} FROM (SELECT *, n_frames - 1 AS last_frame, 1 AS key_rows FROM u)),
 """ + catalogue.audit_sql({"header": ("hd", _KEYS["header"]), "frames": ("fm", _KEYS["frames"]), "fine": ("fb", _KEYS["fine"]), "units": ("ut", _KEYS["units"])}))
 def audit_catalogue(spark, d):
-    """All rules over headers, frames, fine bins and units with violations planted under each."""
-    df = V.detector_frames(spark, d)
+    """All rules over headers, frames, fine bins and units with violations planted under each.
+
+    Frames are joined and numbered once and written; headers, frame rules and units read that table."""
+    df = V.with_detector(materialize(V.frames(spark, d)))
     header = df.select("physical_channel", "target_norm_sq", "reference_norm_sum_sq").distinct().selectExpr("*", *[f"{v} AS {k}" for k, v in _HEADER_COLUMNS.items()])
     frames = df.selectExpr("*", "f / mu0 - 1 AS rho", "frame_in_unit AS row_number")
     bins = V.fine_bins(V.fine(spark, d)).selectExpr("*", "bin AS place", *[f"{v} AS {k}" for k, v in _BIN_COLUMNS.items()])
-    u = V.units(spark, d)
-    twice = u.groupBy("unit_key").agg(F.count(F.lit(1)).alias("key_rows"))
-    last = df.groupBy("physical_channel", "event_id").agg(F.max("frame_in_unit").cast("long").alias("last_frame"))
-    units = u.join(twice, "unit_key").join(last, ["physical_channel", "event_id"])
+    u = V.units_of(spark, d, df, F.max("frame_in_unit").cast("long").alias("last_frame"))
+    units = u.withColumn("key_rows", F.count(F.lit(1)).over(W.partitionBy("unit_key")))
     return catalogue.audit({
         "header": (_planted(header, _HEADER_WRONG, "physical_channel", 4), _KEYS["header"]),
         "frames": (_planted(frames, _FRAME_WRONG, "event_id", 1013), _KEYS["frames"]),

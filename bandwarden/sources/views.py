@@ -5,7 +5,7 @@ them with the same text.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,19 +105,25 @@ def freq_id(channel) :
 
 def units(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (channel, event): start, frames, trigger scope, keys."""
+    return units_of(spark, folder, frames(spark, folder))
+
+
+def units_of(spark: SparkSession, folder: str, found: DataFrame, *more: Column) -> DataFrame:
+    """The units of the frames ``found``, with further aggregates of their frames."""
     c = F.col
     prio = table(spark, folder, "orders").select(
         c("o_orderkey").alias("event_id"),
         F.when(c("o_orderpriority").startswith("5"), "scheduled").otherwise("triggered_event").alias("scope"),
         c("o_orderstatus").alias("status"))
     fid = freq_id(c("physical_channel"))
+    per_unit = found.groupBy("physical_channel", "event_id").agg(
+        F.min("unit_time0").alias("unit_time0"), F.count(F.lit(1)).alias("n_frames"), *more)
     return (
-        frames(spark, folder).groupBy("physical_channel", "event_id")
-        .agg(F.min("unit_time0").alias("unit_time0"), F.count(F.lit(1)).alias("n_frames"))
-        .join(prio, "event_id")
+        per_unit.join(prio, "event_id")
         .select("physical_channel", "event_id", "unit_time0", "n_frames", "scope", fid.alias("freq_id"),
                 F.concat(F.lit("ns/"), c("status"), F.lit("/baseband_"), c("event_id").cast("string"),
-                         F.lit("_"), fid.cast("string"), F.lit(".h5")).alias("unit_key"))
+                         F.lit("_"), fid.cast("string"), F.lit(".h5")).alias("unit_key"),
+                *per_unit.columns[4:])
     )
 
 

@@ -209,3 +209,21 @@ def test_a_large_frame_view_sorts_its_frames_once(spark, monkeypatch):
         assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_audit_reads_its_tables_once(spark):
+    """The report is made from the violations that one pass has written, not from the tables again."""
+    from bandwarden.operators.catalogue import Rule, audit
+    df = spark.range(50).selectExpr("id AS v", "lpad(CAST(id AS STRING), 3, '0') AS k")
+    out = audit({"t": (df, "k")}, [Rule("t", "all", "true"), Rule("t", "odd", "v % 2 = 1"), Rule("t", "none", "v < 0")])
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["rule"], r["n"], r["first_keys"]) for r in out.collect()) == [
+        ("all", 50, "000 001 002"), ("none", 0, ""), ("odd", 25, "001 003 005")]
+
+
+def test_catalogue_query_joins_frames_once(spark, monkeypatch):
+    from bandwarden.plans import product_queries as Q
+    made, plain = [], V.frames
+    monkeypatch.setattr(V, "frames", lambda *a: made.append(a) or plain(*a))
+    out = Q.audit_catalogue(spark, SF)
+    assert len(made) == 1 and "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString()
