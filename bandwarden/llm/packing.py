@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ END_ID = 2
 GROUP = 4096             # examples of a packing task
 _CACHE_WORDS = 700_000   # words whose ids a worker remembers from task to task; it starts afresh beyond
 _CACHE_RUNS = 400_000    # the same for runs of letters, digits or signs
+_NO_ID = 2 ** 32 - 1     # stands between the ids of words that are spelled together
+_BREAK = np.array([_NO_ID], "<u4").tobytes()
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "tokens long, segments long, loss_tokens long")
@@ -56,31 +59,31 @@ class WordEncoder:
         self.model = Tokenizer(self.whole.model)
         self.plain = regex.compile("(?:(?!<\\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e])+").fullmatch
         # The pattern that this tokenizer's file gives for cutting words into runs.
-        self.runs = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.runs = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
         self.known: dict[bytes, bytes] = {}
-        self.known_runs: dict[str, bytes] = {}
+        self.known_runs: dict[str, bytes] = {"\n": _BREAK}
         self.letters = _byte_letters()
 
     def _learn(self, missing: list[bytes]) -> None:
-        cut, other = [], []
-        for word in missing:
-            text = word.decode("utf-8", "replace")
-            if self.plain(text):
-                cut.append((word, self.runs(text.lower())))
-            else:
-                other.append((word, text))
+        """Words are cut and spelled all at once, with line breaks, which no word has, between them."""
+        found = b"\n".join(missing).decode("utf-8", "replace").split("\n")
+        plain = [t.isprintable() and "<|" not in t if t.isascii() else self.plain(t) is not None for t in found]
+        cut, lines = list(compress(missing, plain)), list(compress(found, plain))
+        other = [pair for pair, known in zip(zip(missing, found), plain) if not known]
         if len(self.known_runs) > _CACHE_RUNS:
-            self.known_runs = {}
-        runs = list({r for _, parts in cut for r in parts if r not in self.known_runs})
-        if runs:
-            spelled = [r if r.isascii() else r.encode().decode("latin-1").translate(self.letters) for r in runs]
-            done = self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(done.ids, "<u4")
-            bounds = np.searchsorted(np.array(done.word_ids), np.arange(len(runs) + 1)) * 4
-            flat = ids.tobytes()
-            self.known_runs.update((r, flat[a:e]) for r, a, e in zip(runs, bounds, bounds[1:]))
-        look = self.known_runs.__getitem__
-        self.known.update((word, b"".join(map(look, parts))) for word, parts in cut)
+            self.known_runs = {"\n": _BREAK}
+        if cut:
+            parts = self.runs("\n".join(lines).lower())
+            runs = list(set(parts).difference(self.known_runs))
+            if runs:
+                spelled = [r if r.isascii() else r.encode().decode("latin-1").translate(self.letters) for r in runs]
+                done = self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+                flat = np.array(done.ids, "<u4").tobytes()
+                bounds = (np.searchsorted(np.array(done.word_ids), np.arange(len(runs) + 1)) * 4).tolist()
+                self.known_runs.update(zip(runs, [flat[a:e] for a, e in zip(bounds, bounds[1:])]))
+            flat = b"".join(map(self.known_runs.__getitem__, parts))
+            ends = (np.flatnonzero(np.frombuffer(flat, "<u4") == _NO_ID) * 4).tolist()
+            self.known.update(zip(cut, [flat[a:e] for a, e in zip([0, *(e + 4 for e in ends)], [*ends, len(flat)])]))
         if other:
             done = self.whole.encode_batch_fast([t for _, t in other], add_special_tokens=False)
             self.known.update((word, np.array(e.ids, "<u4").tobytes()) for (word, _), e in zip(other, done))
@@ -91,7 +94,8 @@ class WordEncoder:
         if len(self.known) + len(missing) > _CACHE_WORDS:
             self.known = {}
             missing = set().union(*split)
-        self._learn(list(missing))
+        if missing:
+            self._learn(list(missing))
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 

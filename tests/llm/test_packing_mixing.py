@@ -150,3 +150,15 @@ def test_blocks_grow_before_the_draws_overflow(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b c d e", "s") for i in range(20)], "doc_id long, text string, source string")
     _, pieces = M.mix_sources(docs)
     assert pieces.select("block").distinct().count() <= 3 and pieces.agg(F.sum("n_words")).first()[0] == 100
+
+
+def test_words_are_spelled_together_as_the_tokenizer_spells_them():
+    encoder = P.WordEncoder(P.tokenizer_path())
+    calls, runs = [], encoder.runs
+    encoder.runs = lambda text: calls.append(text) or runs(text)
+    texts = [*(t or "" for t in ODD), "don't\n's 'S x'll\nA1b22\n--a!? Été naïve’s \x7f \x01a <|", "a" * 300 + " 'd\x0b'm", "日本 ---\n..."]
+    tk = Tokenizer.from_file(P.tokenizer_path())
+    for _ in range(2):
+        got = encoder.texts([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1
