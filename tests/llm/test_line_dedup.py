@@ -131,3 +131,41 @@ def test_texts_that_share_an_id_lose_only_their_own_lines(spark):
     assert got == [(1, 1, 0, ()), (5, 2, 0, ()), (5, 2, 1, (0,)), (5, 2, 1, (0,))]
     kept = sorted(r["text"] for r in L.without_repeated_lines(docs).collect())
     assert kept == sorted([line, "q w e r t y u", "q w e r t y u", "UNIQUE line that nobody else has here\nr t y u i o p"])
+
+
+def test_first_filter_ships_one_row_a_range_and_two_records_a_token():
+    """800 different lines share their first words; a line of each text is repeated."""
+    import pyarrow as pa
+    rows = [(d, f"a b c d e f g h x{d}\nsame words in every text here\nk l m n o p{d % 7}") for d in range(800)]
+    batch = pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows]), pa.array([d.to_bytes(16, "big") for d, _ in rows])],
+                            names=["doc_id", "text", "row"])
+    blocks = list(L._line_blocks(4)(batch))
+    assert [len(b) for b in blocks] == [4]
+    table = pa.Table.from_batches(blocks)
+    tokens, hits, lines, repeats = (L._records(table, c, kind) for c, kind in (("tokens", L.TOKEN), ("hits", L.TOKEN), ("lines", L.LINE), ("repeats", L.LINE)))
+    assert np.unique(tokens["token"], return_counts=True)[1].max() == 2
+    assert len(hits) >= 798 and set(hits["token"]) <= set(tokens["token"])
+    assert (len(lines), len(repeats)) == (800 + 1 + 7, 799 + 793)
+    found = L._settled(2)(table)
+    assert {(r["doc_id"], r["line"]) for r in found.to_pylist() if r["gone"]} == {(d, 1) for d in range(1, 800)} | {(d, 2) for d in range(7, 800)}
+    shared = L._records(found.filter(pa.compute.is_valid(found["part"])), "hits", L.TOKEN)
+    assert len(set(shared["key"][np.isin(shared["token"], hits["token"])])) >= 800
+
+
+@pytest.mark.parametrize("listed", [1, 3, 24])
+def test_first_shared_is_that_of_pairs_one_by_one(monkeypatch, listed):
+    monkeypatch.setattr(L, "_RUN", listed)
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sizes = rng.integers(1, 40, 30)
+        sets_of = rng.integers(2, 6, 60)
+        rare = [np.array(sorted((int(sets_of[t]), int(t), int(rng.integers(0, 12))) for t in rng.choice(60, rng.integers(1, 9), False)), np.int64) for _ in sizes]
+        need, want = L.needed(sizes), np.zeros((30, 30), bool)
+        for i in range(30):
+            for j in range(i + 1, 30):
+                a, b = ({(s, t): p for s, t, p in rare[x].tolist()} for x in (i, j))
+                both = sorted(set(a) & set(b))
+                if both:
+                    room = min(L.prefix_length(sizes[i]) - a[both[0]], L.prefix_length(sizes[j]) - b[both[0]])
+                    want[i, j] = room >= min(need[i], need[j])
+        assert (L.first_shared(rare, sizes) == want).all()
