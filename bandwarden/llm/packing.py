@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import table, written
+from .tables import release_worker_memory, table, worker_memory, written
 
 TOKENS, SEGMENTS, LOSS_TOKENS = 4096, 128, 4096
 END_ID = 2
@@ -100,14 +100,11 @@ class WordEncoder:
         return [b"".join(map(look, words)) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def worker_encoder(path: str) -> WordEncoder:
-    """The worker's encoder; what it has learned serves later tasks too."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The worker's encoder; what it has learned serves later tasks too, until the worker is given other work."""
+    if path not in worker_memory:
+        worker_memory[path] = WordEncoder(path)
+    return worker_memory[path]
 
 
 def document_pieces(path: str, limit: int):
@@ -130,6 +127,8 @@ def document_pieces(path: str, limit: int):
                         rows.append((doc, start, n, zlib.crc32(part), total, n, 1, n - 1))
                 columns = list(zip(*rows))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=_SCHEMA)
+            del batch, ids, texts
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -187,6 +186,7 @@ def pack(examples: DataFrame, key: list[str], limits: tuple[int, int, int] = (TO
     bound = np.array(limits, np.int64)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        release_worker_memory()
         frame = frame.sort_values(key + ["tokens"], kind="stable").reset_index(drop=True)
         demand = frame[["tokens", "segments", "loss_tokens"]].fillna(0).to_numpy(np.int64)
         sequence, offset = place(demand, bound)

@@ -162,3 +162,15 @@ def test_words_are_spelled_together_as_the_tokenizer_spells_them():
         got = encoder.texts([t.encode() for t in texts])
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(calls) == 1
+
+
+def test_worker_forgets_words_when_it_is_given_other_work():
+    import pyarrow as pa
+    from bandwarden.llm.tables import batches, worker_memory
+    path = P.tokenizer_path()
+    encoder = P.worker_encoder(path)
+    encoder.texts([b"some words to keep"])
+    assert P.worker_encoder(path) is encoder and encoder.known
+    batch = pa.record_batch([pa.array([1])], names=["x"])
+    assert list(batches(lambda b: iter([b]))(iter([batch, batch]))) == [batch, batch]
+    assert not worker_memory and P.worker_encoder(path) is not encoder
