@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -103,6 +104,67 @@ def test_filters_never_lose_a_linked_pair():
         assert bool(found) == linked
 
 
+def test_a_large_group_ships_texts_in_proportion(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rng = random.Random(21)
+    base = rng.choices([f"w{i}" for i in range(4000)], k=120)
+    rows = []
+    for d in range(240):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{d}"
+        rows.append((d, " ".join(own)))
+    compare, folder = N._links_of_group, str(tmp_path)
+
+    def counted(frame):
+        import uuid
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(frame)))
+        return compare(frame)
+
+    monkeypatch.setattr(N, "_links_of_group", counted)
+    assert rows_of(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.jaccard_components(rows)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 4 * len(rows)
+
+
+def test_chains_over_many_blocks_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(900)]
+    rows = [(d * 7 % 61, " ".join(words[12 * d:12 * d + 180])) for d in range(60)]
+    assert len({c for _, _, c in brute.jaccard_components(rows)}) == 1
+    assert rows_of(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.jaccard_components(rows)
+
+
+def test_tables_do_not_hold_tokens_that_nobody_shares(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(300)) for _ in range(200)]
+    sizes, write = [], N.written
+
+    def sized(df):
+        out = write(df)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(N, "written", sized)
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts])), "doc_id long, text string").coalesce(1)
+    assert N.near_duplicates(docs).select("component_id").distinct().count() == len(texts)
+    assert sum(sizes) < 0.1 * sum(map(len, texts))
+
+
+def test_a_linked_pair_shares_a_rarest_token(spark):
+    rows = [(d, t) for d, t in enumerate(varied(31, 10)) if brute.words(t)]
+    texts = {}
+    for d, t in rows:
+        s = next(slices(pa.array([t])))
+        tokens = N.shingle_sets(s)[0]
+        texts.setdefault(N.node_of(tokens), (int(N.key_of(np.frombuffer(N.node_of(tokens), np.uint8).reshape(1, 16)).view(np.int64)[0]), tokens, t))
+    frame = spark.createDataFrame([(k, len(s), t) for k, s, t in texts.values()], "key long, n long, text string")
+    rare = {r.key: set(r.rare) for r in N._rare_tokens(frame, 3).collect()}
+    sets = [(k, set(s.tolist())) for k, s, _ in texts.values()]
+    linked = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 100 * len(x & y) >= 80 * len(x | y)]
+    assert linked and all(rare[a] & rare[b] for a, b in linked)
+
+
 @pytest.mark.parametrize("n", [1, 2, 31, 40, 41, 500, 640, 641, 20000])
 def test_need_is_monotone(n):
     assert N.needed(n) <= N.needed(n + 1) and N.needed(n) <= N.shared_least(n) and N.prefix_length(n) <= n
